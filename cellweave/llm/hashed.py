@@ -142,12 +142,12 @@ def once(docs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Ftrl:
     """Parameters of FTRL-proximal: w = -(z - sign(z) l1) / ((beta + sqrt n) / alpha + l2)."""
 
-    alpha: float = 0.08
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 1.5
-    l2: float = 0.5
-    epochs: int = 4
-    least_docs: int = 3
+    l1: float = 3.0
+    l2: float = 0.0
+    epochs: int = 10
+    least_docs: int = 4
 
 
 def train(rows: list[np.ndarray], labels: np.ndarray, p: Ftrl) -> tuple[float, np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .hashed import WORDS_AND_SYMBOLS, Ftrl, Model, fit, score
 
-PER_CLASS = 3000
+PER_CLASS = 4000
 THRESHOLD = 0.3
 
 
