@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .quality import op10
+from .simhash import op7
 from .toxicity import op1
 
 
@@ -19,8 +20,13 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": _op1,
+    "op7_simhash": _op7,
     "op10_quality": _op10,
 }
 
