@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .packing import op5
 from .quality import op10
 from .simhash import op7
 from .toxicity import op1
@@ -20,12 +21,17 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5(table(spark, sf_dir, "documents"))
+
+
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": _op1,
+    "op5_packing": _op5,
     "op7_simhash": _op7,
     "op10_quality": _op10,
 }
