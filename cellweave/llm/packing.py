@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import pieces_of, saved
 
@@ -132,9 +133,9 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids:
     A document is the ids of its whole text (null: empty) and one end id; it is
     cut only where it is longer than ``capacity``.
     """
-    schema = docs.select("doc_id").schema.add("piece", "int").add("start", "long").add("length", "long").add("ids_crc32", "long")
+    schema = docs.select("doc_id").schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
     if with_ids:
-        schema = schema.add("ids", "array<int>")
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .packing import op5
 from .quality import op10
+from .secrets import op8
 from .simhash import op7
 from .toxicity import op1
 
@@ -17,6 +18,10 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8(table(spark, sf_dir, "documents"))
+
+
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": _op1,
     "op5_packing": _op5,
     "op7_simhash": _op7,
+    "op8_secrets": _op8,
     "op10_quality": _op10,
 }
 
