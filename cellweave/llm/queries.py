@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .fingerprint import op6
 from .packing import op5
 from .quality import op10
 from .secrets import op8
@@ -30,6 +31,10 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5(table(spark, sf_dir, "documents"))
 
 
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6(table(spark, sf_dir, "documents"))
+
+
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7(table(spark, sf_dir, "documents"))
 
@@ -37,6 +42,7 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": _op1,
     "op5_packing": _op5,
+    "op6_fingerprint": _op6,
     "op7_simhash": _op7,
     "op8_secrets": _op8,
     "op10_quality": _op10,
