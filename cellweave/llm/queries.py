@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .embeddings import op9
 from .fingerprint import op6
 from .packing import op5
 from .quality import op10
@@ -23,6 +24,10 @@ def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8(table(spark, sf_dir, "documents"))
 
 
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9(table(spark, sf_dir, "embeddings"))
+
+
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_fingerprint": _op6,
     "op7_simhash": _op7,
     "op8_secrets": _op8,
+    "op9_embeddings": _op9,
     "op10_quality": _op10,
 }
 
