@@ -84,7 +84,8 @@ class WordEncoder:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        # a copy: some kernels misread an array that is a slice of a larger one
+        texts = pa.array([x or "" for x in texts.to_pylist()], pa.large_string())
         odd = set(np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)).tolist())
         plain = pc.if_else(pc.match_substring(texts, "<|"), "", texts) if odd else texts
         spaced = pc.replace_substring_regex(pc.ascii_lower(plain), r"(\pL)([.,;:!?%$#&*|])", r"\1 \2")
