@@ -11,6 +11,7 @@ from .embeddings import op9
 from .fingerprint import op6
 from .packing import op5
 from .quality import op10
+from .repeats import op3
 from .secrets import op8
 from .simhash import op7
 from .toxicity import op1
@@ -32,6 +33,10 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3(table(spark, sf_dir, "documents"))
+
+
 def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5(table(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": _op1,
+    "op3_repeats": _op3,
     "op5_packing": _op5,
     "op6_fingerprint": _op6,
     "op7_simhash": _op7,
