@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chunks import op4
 from .common import table
 from .embeddings import op9
 from .fingerprint import op6
@@ -37,6 +38,10 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3(table(spark, sf_dir, "documents"))
 
 
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4(table(spark, sf_dir, "documents"))
+
+
 def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5(table(spark, sf_dir, "documents"))
 
@@ -52,6 +57,7 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": _op1,
     "op3_repeats": _op3,
+    "op4_chunks": _op4,
     "op5_packing": _op5,
     "op6_fingerprint": _op6,
     "op7_simhash": _op7,
