@@ -11,6 +11,7 @@ from .common import table
 from .embeddings import op9
 from .fingerprint import op6
 from .packing import op5
+from .pieces import op2
 from .quality import op10
 from .repeats import op3
 from .secrets import op8
@@ -34,6 +35,10 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2(table(spark, sf_dir, "documents"))
+
+
 def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": _op1,
+    "op2_sentencepiece": _op2,
     "op3_repeats": _op3,
     "op4_chunks": _op4,
     "op5_packing": _op5,
