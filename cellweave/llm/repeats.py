@@ -11,8 +11,11 @@ samples at the ends of its runs. The longest match of each position with any
 other is streamed from the samples: between two of them it only loses a byte a
 step. Windows whose match has ``size`` bytes or more are repeated.
 
-An anchor with more than ``CROWD`` distinct stretches is not put into one
-batch; its windows are counted one by one, each under its own digest.
+An anchor with more than ``CROWD`` distinct stretches is not put into one batch.
+Its windows are counted in blocks instead, lined up by the anchor: if the bytes
+that all windows of a block share occur once, none of them is repeated; if all
+bytes of a block occur twice, all of them are; only blocks between the two are
+halved further, down to single windows. Each count has its own digest as key.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from .common import pieces_of, saved, utf8
 
 SIZE = 400
 CROWD = 256
+#: Sizes of the blocks in which windows of crowded anchors are counted.
+STEPS = (64, 8, 1)
 BATCH = 1 << 20
 
 
@@ -66,7 +71,8 @@ class RunIndex:
                 ahead[: n - depth] = rank[depth:]
             key = (rank.astype(np.uint64) << np.uint64(32)) | ahead
             depth *= 2
-        last = text[order - 1]  # the code before each suffix; before the first, the last
+        last = text[order - 1].astype(np.int16)  # the code before each suffix
+        last[order == 0] = -1  # nothing stands before the first: a run of its own
         new = np.concatenate(([True], last[1:] != last[:-1]))
         first = np.flatnonzero(new)
         end = np.concatenate((first[1:], [n])) - 1
@@ -128,7 +134,10 @@ def repeated_windows(strings: list[bytes], size: int) -> list[tuple[np.ndarray,
 
 
 def _stretches(docs: DataFrame, size: int) -> DataFrame:
-    """k, th, lo, w, anchor, digest: stretches of windows with one anchor, of every text."""
+    """k, th, lo, w, off, anchor, digest: stretches of windows with one anchor, of every text.
+
+    A stretch has w windows from byte lo of its text, and its anchor at byte off.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h64, signed = xxhash.xxh3_64_intdigest, lambda x: np.array(x, dtype=np.uint64).view(np.int64)
@@ -143,11 +152,11 @@ def _stretches(docs: DataFrame, size: int) -> DataFrame:
                     digest.append(h64(x[s : e + size], p - s))
                 rows = pa.array(t)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("k").take(rows), b.column("th").take(rows), pa.array(lo.astype(np.int32)), pa.array((hi - lo + 1).astype(np.int32)), pa.array(signed(anchor)), pa.array(signed(digest))],
-                    ["k", "th", "lo", "w", "anchor", "digest"],
+                    [b.column("k").take(rows), b.column("th").take(rows), pa.array(lo.astype(np.int32)), pa.array((hi - lo + 1).astype(np.int32)), pa.array((at - lo).astype(np.int32)), pa.array(signed(anchor)), pa.array(signed(digest))],
+                    ["k", "th", "lo", "w", "off", "anchor", "digest"],
                 )
 
-    return docs.select("k", "th", "text").mapInArrow(run, "k long, th int, lo int, w int, anchor long, digest long")
+    return docs.select("k", "th", "text").mapInArrow(run, "k long, th int, lo int, w int, off int, anchor long, digest long")
 
 
 def _indexed(stretches: DataFrame, size: int) -> DataFrame:
@@ -179,21 +188,59 @@ def _indexed(stretches: DataFrame, size: int) -> DataFrame:
     return stretches.mapInArrow(run, "anchor long, digest long, first int, last int")
 
 
-def _counted(stretches: DataFrame, size: int) -> DataFrame:
-    """As ``_indexed``, for anchors of any number of stretches: windows are counted one by one."""
+def _blocks(step: int, before: int, size: int):
+    """Blocks of ``step`` windows of each stretch, of those among ``active`` blocks of ``before`` windows."""
+    far = 1 << 20  # keeps places relative to the anchor positive
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h128 = xxhash.xxh3_128_digest
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, mask = xxhash.xxh3_128_digest, (1 << 64) - 1
         for b in batches:
-            for anchor, digest, n, x in zip(*(b.column(c).to_pylist() for c in ("anchor", "digest", "n", "bytes")), strict=True):
+            out: list[tuple] = []
+            inner, outer = [], []
+            for anchor, own, n, off, x, active in zip(*(b.column(c).to_pylist() for c in ("anchor", "digest", "n", "off", "bytes", "active")), strict=True):
                 w = len(x) - size + 1
-                h = np.frombuffer(b"".join(h128(x[i : i + size]) for i in range(w)), dtype=np.int64).reshape(-1, 2)
-                same = lambda v, t: pa.array(np.full(w, v, t))
-                yield pa.RecordBatch.from_arrays([same(anchor, np.int64), same(digest, np.int64), same(min(n, 2), np.int32), pa.array(np.arange(w, dtype=np.int32)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["anchor", "digest", "n", "i", "h1", "h2"])
+                base = far - off
+                seen = set(active) if active is not None else None
+                for k in range(base // step, (base + w - 1) // step + 1):
+                    if seen is not None and k * step // before not in seen:
+                        continue
+                    low = k * step - base
+                    first, last = max(low, 0), min(low + step - 1, w - 1)
+                    inner.append(digest(x[low + step - 1 : low + size], (anchor * 31 + k) & mask))
+                    outer.append(digest(x[first : last + size], (anchor * 31 + first + base) & mask))
+                    out.append((anchor, own, min(n, 2), k, first, last))
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            h = [np.frombuffer(b"".join(v), dtype=np.int64).reshape(-1, 2) for v in (inner, outer)]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+            made = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*made, *(pa.array(v[:, i].copy()) for v in h for i in (0, 1))], ["anchor", "digest", "n", "k", "first", "last", "i1", "i2", "u1", "u2"])
+
+    return run
 
-    every = stretches.mapInArrow(windows, "anchor long, digest long, n int, i int, h1 long, h2 long")
-    twice = saved(every.groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter("n > 1").select("h1", "h2"), "windows")
-    return every.filter("n = 1").join(twice, ["h1", "h2"]).select("anchor", "digest", F.col("i").alias("first"), F.col("i").alias("last"))
+
+def _counted(stretches: DataFrame, size: int) -> DataFrame:
+    """As ``_indexed``, for anchors of any number of stretches, in blocks of windows.
+
+    stretches: anchor, digest, n, off, bytes. Stretches that occur twice count
+    twice; each round keeps the blocks that share their inner bytes with one
+    that is not decided.
+    """
+    held = saved(stretches, "crowded")
+    active: DataFrame | None = None
+    marks: DataFrame | None = None
+    schema = "anchor long, digest long, n int, k int, first int, last int, i1 long, i2 long, u1 long, u2 long"
+    for i, step in enumerate(STEPS):
+        source = held.withColumn("active", F.lit(None).cast("array<int>")) if i == 0 else held.join(active, ["anchor", "digest"])
+        rows = saved(source.mapInArrow(_blocks(step, STEPS[max(i - 1, 0)], size), schema), "blocks")
+        inner, outer = ["i1", "i2"], ["u1", "u2"]
+        each = saved(rows.groupBy(*inner, *outer).agg(F.sum("n").alias("all")), "outer")
+        hit = rows.filter("n = 1").join(each.filter(F.col("all") > 1).select(*inner, *outer), [*inner, *outer]).select("anchor", "digest", "first", "last")
+        marks = hit if marks is None else marks.unionByName(hit)
+        if step > 1:
+            open_ = each.groupBy(*inner).agg(F.sum("all").alias("n"), F.min("all").alias("least")).filter("n > 1 AND least = 1")
+            left = rows.join(saved(open_.select(*inner), "open"), inner)
+            active = saved(left.groupBy("anchor", "digest").agg(F.collect_list("k").alias("active")), "active")
+    return marks
 
 
 def with_spans(docs: DataFrame, keep: dict[str, Column], size: int = SIZE, text_of_all: bool = False, crowd: int = CROWD) -> DataFrame:
@@ -206,13 +253,13 @@ def with_spans(docs: DataFrame, keep: dict[str, Column], size: int = SIZE, text_
     occ = saved(_stretches(rows, size), "stretches")
     often = saved(occ.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchors")
     again = saved(occ.join(often, "anchor"), "again")
-    place = F.struct("k", "th", "lo", "w")
+    place = F.struct("k", "th", "lo", "w", "off")
     kinds = saved(again.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(place).alias("at")), "kinds")
     mixed = kinds.groupBy("anchor").agg(F.count("*").alias("d"), F.min("n").alias("least")).filter("d > 1 AND least = 1")
     mixed = saved(mixed.select("anchor", "d"), "mixed")
     wanted = kinds.join(mixed, "anchor")
     whole = again.join(saved(kinds.filter("n > 1").select("anchor", "digest"), "twice"), ["anchor", "digest"])
-    reps = wanted.select("at.k", "at.th", F.struct("anchor", "digest", "n", "d", "at.lo", "at.w").alias("rep"), F.lit(None).cast("struct<start:int,end:int>").alias("span"))
+    reps = wanted.select("at.k", "at.th", F.struct("anchor", "digest", "n", "d", "at.lo", "at.w", "at.off").alias("rep"), F.lit(None).cast("struct<start:int,end:int>").alias("span"))
     spans = whole.select("k", "th", F.lit(None).cast(reps.schema["rep"].dataType).alias("rep"), F.struct(F.col("lo").alias("start"), (F.col("lo") + F.col("w") - 1 + size).alias("end")).alias("span"))
     by_doc = reps.unionByName(spans).groupBy("k", "th").agg(F.collect_list("rep").alias("reps"), F.collect_list("span").alias("spans"))
     joined = rows.join(by_doc, ["k", "th"], "left")
@@ -220,8 +267,8 @@ def with_spans(docs: DataFrame, keep: dict[str, Column], size: int = SIZE, text_
         joined = joined.withColumn("text", F.when(F.col("reps").isNotNull(), F.col("text")))
     joined = saved(joined, "candidates")
     text = joined.filter(F.size("reps") > 0).select(F.explode("reps").alias("r"), F.col("text").cast("binary").alias("b"))
-    text = text.select("r.anchor", "r.digest", "r.n", "r.d", F.substr(F.col("b"), F.col("r.lo") + 1, F.col("r.w") + size - 1).alias("bytes"))
-    few = text.filter(F.col("d") <= crowd).drop("d").repartition("anchor").sortWithinPartitions("anchor", "digest")
+    text = text.select("r.anchor", "r.digest", "r.n", "r.d", "r.off", F.substr(F.col("b"), F.col("r.lo") + 1, F.col("r.w") + size - 1).alias("bytes"))
+    few = text.filter(F.col("d") <= crowd).drop("d", "off").repartition("anchor").sortWithinPartitions("anchor", "digest")
     many = text.filter(F.col("d") > crowd).drop("d")
     marks = _indexed(few, size).unionByName(_counted(many, size))
     single = kinds.filter("n = 1").select("anchor", "digest", "at")
