@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
@@ -128,7 +129,7 @@ def unpack(packed: np.ndarray) -> np.ndarray:
     return full
 
 
-@pandas_udf("struct<values:array<double>,vectors:array<double>>")
+@pandas_udf(T.StructType([T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("values", "vectors")]))
 def eigen(t: pd.Series) -> pd.DataFrame:
     """Eigenvalues (ascending) and eigenvectors (by columns, row after row) of packed symmetric tensors."""
     values, vectors = np.linalg.eigh(unpack(np.stack(t.to_numpy()))) if len(t) else (np.zeros((0, 3)), np.zeros((0, 3, 3)))

@@ -12,8 +12,10 @@ the flow and the cut on the sink's side exact.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,34 +28,150 @@ def arcs_of(edges: DataFrame) -> DataFrame:
     return forward.unionByName(edges.select("eid", F.col("b").alias("src"), F.col("a").alias("dst"), F.col("w_bwd").alias("res")))
 
 
-def levels(vertices: DataFrame, arcs: DataFrame, least: float = 0.0, batch: int = 4) -> DataFrame:
+#: Graphs of at most so many arcs are solved in one task.
+SMALL = 100_000
+
+
+def _one_task(vertices: DataFrame, arcs: DataFrame, solve, schema: str) -> DataFrame:
+    """``solve`` of the rows of both tables, in one task; only for graphs whose size was checked."""
+    v = vertices.select(F.lit(0).alias("kind"), "id", F.lit(0).cast("long").alias("src"), F.lit(0).cast("long").alias("dst"), F.col(vertices.columns[1]).cast("double").alias("a"), F.col(vertices.columns[-1]).cast("double").alias("b"))
+    e = arcs.select(F.lit(1).alias("kind"), F.col("eid").cast("long").alias("id"), "src", "dst", F.col("res").cast("double").alias("a"), F.lit(0.0).alias("b"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(parts)
+        if held:
+            rows = pd.concat(held)
+            yield solve(rows[rows.kind == 0], rows[rows.kind == 1].sort_values("id", kind="stable"))
+
+    return v.unionByName(e).repartition(1).mapInPandas(run, schema)
+
+
+def _breadth_first(starts: list, into: dict) -> dict:
+    level, queue = dict.fromkeys(starts, 1), deque(starts)
+    while queue:
+        u = queue.popleft()
+        for w in into.get(u, ()):
+            if w not in level:
+                level[w] = level[u] + 1
+                queue.append(w)
+    return level
+
+
+def _local_levels(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+    into: dict = {}
+    for s, d in zip(e.src, e.dst, strict=True):
+        into.setdefault(d, []).append(s)
+    level = _breadth_first(v.id[v.a > 0].tolist(), into)
+    return pd.DataFrame({"id": list(level), "level": list(level.values())})
+
+
+def _local_flow(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+    """Blocking flows by levels, from virtual ends; (id, side), and the flow as the row of id -1."""
+    source, sink = -2, -3
+    ends: dict = {}
+    to: list = []
+    room: list = []
+
+    def arc(a, b, forward: float, backward: float) -> None:
+        for x, y, c in ((a, b, forward), (b, a, backward)):
+            ends.setdefault(x, []).append(len(to))
+            to.append(y)
+            room.append(c)
+
+    for i, s, t in zip(v.id, v.a, v.b, strict=True):
+        ends.setdefault(i, [])
+        if s > 0:
+            arc(source, i, s, 0.0)
+        if t > 0:
+            arc(i, sink, t, 0.0)
+    for s, d, c in zip(e.src, e.dst, e.a, strict=True):
+        if c > 0:
+            arc(s, d, c, 0.0)
+    flow, tiny = 0.0, 1e-12
+    while True:
+        level, queue = {source: 0}, deque([source])
+        while queue:
+            u = queue.popleft()
+            for k in ends.get(u, ()):
+                if room[k] > tiny and to[k] not in level:
+                    level[to[k]] = level[u] + 1
+                    queue.append(to[k])
+        if sink not in level:
+            break
+        at = dict.fromkeys(ends, 0)
+        path: list = []
+        u = source
+        while True:
+            if u == sink:
+                d = min(room[k] for k in path)
+                flow += d
+                for k in path:
+                    room[k] -= d
+                    room[k ^ 1] += d
+                full = next(i for i, k in enumerate(path) if room[k] <= tiny)
+                u = to[path[full] ^ 1]
+                del path[full:]
+                continue
+            while at[u] < len(ends[u]):
+                k = ends[u][at[u]]
+                if room[k] > tiny and level.get(to[k], -1) == level[u] + 1:
+                    break
+                at[u] += 1
+            if at[u] < len(ends[u]):
+                path.append(ends[u][at[u]])
+                u = to[path[-1]]
+            elif path:
+                u = to[path.pop() ^ 1]
+                at[u] += 1
+            else:
+                break
+    into: dict = {}
+    for u, ks in ends.items():
+        for k in ks:
+            if room[k] > tiny:
+                into.setdefault(to[k], []).append(u)
+    reach = _breadth_first([sink], into)
+    ids = v.id.tolist()
+    return pd.DataFrame({"id": [*ids, -1], "side": [float(i in reach) for i in ids] + [flow]})
+
+
+def levels(vertices: DataFrame, arcs: DataFrame, least: float = 0.0, small: int = SMALL) -> DataFrame:
     """id, level: 1 where the sink link has room, and one more for each residual arc on the way to it.
 
-    Only the frontier is joined. ``batch`` levels are planned before a job runs.
-    Vertices that cannot reach the sink are not in the result.
+    Graphs of at most ``small`` arcs are searched in one task; beyond that each
+    level is a job, and only its frontier is joined and written. Vertices that
+    cannot reach the sink are not in the result.
     """
+    open_arcs = arcs.filter(F.col("res") > least)
+    if open_arcs.count() <= small:
+        return saved(_one_task(vertices.select("id", "room"), open_arcs, _local_levels, "id long, level int"), "levels")
     back = arcs.filter(F.col("res") > least).select(F.col("src").alias("next"), F.col("dst").alias("id"))
     front = saved(vertices.filter("room > 0").select("id", F.lit(1).alias("level")), "levels")
     seen, depth = front, 1
     while not front.isEmpty():
-        for _ in range(batch):
-            depth += 1
-            new = front.join(back, "id").select(F.col("next").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
-            front = new.withColumn("level", F.lit(depth))
-            seen = seen.unionByName(front)
-        seen = saved(seen, "levels")
-        front = seen.filter(F.col("level") == depth)
+        depth += 1
+        new = front.join(back, "id").select(F.col("next").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+        front = saved(new.withColumn("level", F.lit(depth)), "levels")
+        seen = seen.unionByName(front)
+        if depth % 16 == 0:
+            seen = saved(seen, "levels")
     return seen
 
 
-def max_flow(vertices: DataFrame, edges: DataFrame, sweeps: int = 4, least: float = 0.0, limit: int = 2000, trace: Callable[[str, int, float], None] | None = None) -> tuple[float, DataFrame]:
+def max_flow(vertices: DataFrame, edges: DataFrame, sweeps: int = 4, least: float = 0.0, limit: int = 2000, small: int = SMALL, trace: Callable[[str, int, float], None] | None = None) -> tuple[float, DataFrame]:
     """(flow, segments): the value of the maximum flow, and id with side 1 for the sink's side of a minimum cut, else 0.
 
     sweeps: pushes between two rounds of levels. least: residuals up to this
-    count as none when levels are found. trace: called with what was done, the
-    round, and the flow so far.
+    count as none when levels are found. small: graphs of at most so many arcs
+    are solved in one task, by blocking flows. trace: called with what was done,
+    the round, and the flow so far.
     """
     arcs = saved(arcs_of(edges), "arcs")
+    if arcs.count() <= small:
+        own = vertices.select("id", "cap_src", "cap_snk")
+        rows = saved(_one_task(own, arcs, _local_flow, "id long, side double"), "flow")
+        found = rows.filter("id = -1").first()
+        return (found["side"] if found else 0.0), rows.filter("id >= 0").select("id", F.col("side").cast("int").alias("side"))
     state = vertices.select("id", F.col("cap_src").cast("double").alias("excess"), F.col("cap_snk").cast("double").alias("room"), F.lit(0.0).alias("sunk"))
     state = saved(state, "vertices")
 
@@ -64,7 +182,7 @@ def max_flow(vertices: DataFrame, edges: DataFrame, sweeps: int = 4, least: floa
     flow = 0.0
     for turn in range(limit):
         state = saved(serve(state), "vertices")
-        level = levels(state, arcs, least)
+        level = levels(state.select("id", "room"), arcs, least, small)
         if trace:
             trace("relabel", turn, flow)
         active = state.filter("excess > 0").join(level, "id", "left_semi")

@@ -58,7 +58,7 @@ def _near(grid: str, nx: str, ny: str, border: bool = True) -> str:
         on = f"b.x = least({nx} - 1, greatest(0, c.x + o.dx)) AND b.y = least({ny} - 1, greatest(0, c.y + o.dy))"
     else:
         on = "b.x = c.x + o.dx AND b.y = c.y + o.dy"
-    return f"n AS (SELECT c.x, c.y, c.v, o.k, o.dx, o.dy, b.x AS bx, b.y AS by, b.v AS nv FROM {grid} c CROSS JOIN o JOIN {grid} b ON {on})"
+    return f"n AS (SELECT c.x, c.y, c.v, o.k, o.dx, o.dy, b.x AS ox, b.y AS oy, b.v AS nv FROM {grid} c CROSS JOIN o JOIN {grid} b ON {on})"
 
 
 NEAR_LI = _near("li", "32", "32")
@@ -90,7 +90,7 @@ def grid_stats(spark, sf_dir):
 @query(f"""WITH {LI}, c AS (SELECT *, v % 256 AS r, v * 7 % 256 AS g, v * 13 % 256 AS b FROM li)
 SELECT x, y, 255 - r AS negative, CAST((r + 2 * g + b) // 4 AS BIGINT) AS gray, CASE WHEN v < 900 THEN 0 ELSE 255 END AS over, CAST(least(255, greatest(0, v / 3.0)) AS DOUBLE) - CAST(least(255, greatest(0, v / 3.0)) AS DOUBLE) + floor(least(255, greatest(0, v / 3.0))) AS byte,
 v * 123 % 256 AS c0, v * 7 % 256 AS c1, v * 13 % 256 AS c2, v * v AS sq, round(sqrt(v), 6) AS rt, greatest(800, v) AS low, least(1000, v) AS up, CASE WHEN v < 800 THEN -1 ELSE v END AS lowr, CASE WHEN v > 1000 THEN -2 ELSE v END AS upr,
-CASE WHEN x % 3 != 0 THEN v ELSE -5 END AS masked, CASE WHEN x % 3 = 0 THEN 0 ELSE x + 32 * y + 1 END AS mid, CASE WHEN r + g + b > 300 THEN 0 ELSE 1 END AS alive, r + g + b AS channels, round(r / 255.0, 6) AS u, abs(v - 900) AS dist FROM c""")
+CASE WHEN x % 3 != 0 THEN v ELSE -5 END AS masked, CASE WHEN x % 3 = 0 THEN 0 ELSE CAST(x + 32 * y + 1 AS BIGINT) END AS mid, CASE WHEN r + g + b > 300 THEN 0 ELSE 1 END AS alive, r + g + b AS channels, round(r / 255.0, 6) AS u, abs(v - 900) AS dist FROM c""")
 def cell_functions(spark, sf_dir):
     g = li(spark, sf_dir)
     v, r, gr, b = F.col("v"), F.col("v") % 256, F.col("v") * 7 % 256, F.col("v") * 13 % 256
@@ -102,7 +102,7 @@ def cell_functions(spark, sf_dir):
     ).df
 
 
-@query(f"""WITH {LI} SELECT a.x, a.y, 0.5 * a.v + 2 * b.v AS lin, a.v + b.v AS plus, a.v - b.v AS minus, a.v * b.v AS times, round(a.v / nullif(b.v, 0), 6) AS ratio, a.v + a.x - a.y AS placed, a.v + b.v + 3 AS three
+@query(f"""WITH {LI} SELECT a.x, a.y, CAST(0.5 * a.v + 2 * b.v AS DOUBLE) AS lin, a.v + b.v AS plus, a.v - b.v AS minus, a.v * b.v AS times, round(a.v / nullif(b.v, 0), 6) AS ratio, a.v + a.x - a.y AS placed, a.v + b.v + 3 AS three
 FROM li a JOIN li b ON b.x = 31 - a.x AND b.y = 31 - a.y""")
 def view_arithmetic(spark, sf_dir):
     a = li(spark, sf_dir)
@@ -138,7 +138,7 @@ def vector_math(spark, sf_dir):
 
 
 @query(f"""WITH {LI}, t AS (SELECT x, y, v % 11 + 1.0 AS a, x % 5 - 2.0 AS b, y % 3 + 0.0 AS c, v % 7 + 2.0 AS d, x % 4 - 1.0 AS e, y % 6 + 1.0 AS f FROM li)
-SELECT x, y, round(a + d + f, 4) AS trace, round(a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d), 4) AS det, round(a * 1 + b * 2 + c * 3, 4) AS m0, true AS rebuilt FROM t""")
+SELECT x, y, CAST(a + d + f AS DOUBLE) AS trace, CAST(a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS DOUBLE) AS det, CAST(a * 1 + b * 2 + c * 3 AS DOUBLE) AS m0, true AS rebuilt FROM t""")
 def tensor_math(spark, sf_dir):
     g = li(spark, sf_dir)
     t = [F.col("v") % 11 + 1.0, F.col("x") % 5 - 2.0, F.col("y") % 3 + 0.0, F.col("v") % 7 + 2.0, F.col("x") % 4 - 1.0, F.col("y") % 6 + 1.0]
@@ -164,7 +164,7 @@ UNION ALL SELECT 'ids', x, y, x + 40 * y + 1 FROM g
 UNION ALL SELECT 'basins', x, y, greatest(abs(x % 20 - 10), abs(y % 20 - 10)) FROM g
 UNION ALL SELECT 'radial', x, y, CAST(floor(sqrt((x - 20) * (x - 20) + (y - 20) * (y - 20))) AS BIGINT) FROM g
 UNION ALL SELECT 'constant', x, y, 7 FROM g
-UNION ALL SELECT 'mesh', x, y, (5 - x) * 100 + (y + 2) FROM g
+UNION ALL SELECT 'mesh', x, y, (5 - x) * 100 + (y - 2) FROM g
 UNION ALL SELECT 'spiral', x, y, CASE WHEN (x % 2 = 1 AND ((x < 20 AND y > x AND y <= 40 - x) OR (x >= 20 AND y >= 40 - x - 1 AND y <= x))) OR (y < 20 AND y % 2 = 0 AND x >= y - 1 AND x < 40 - y) OR (y >= 20 AND y % 2 = 1 AND x > 40 - y AND x < y) THEN 255 ELSE 0 END FROM g""")
 def generators(spark, sf_dir):
     size = (40, 40)
@@ -216,7 +216,7 @@ def border_rules(spark, sf_dir):
     return g.map(**{f"{b}_{i + 1}": F.col(f"n_{b}")[i] for b in stencil.BORDERS for i in (0, 1)}).df
 
 
-@query(f"""WITH {EMB}, {MOORE2}, {NEAR_EMB} SELECT x, y, min(nv) AS low, max(nv) AS high, CAST(sum(nv) AS BIGINT) AS total, CASE WHEN v <= min(nv) THEN x + 64 * y + 1 ELSE 0 END AS label, CAST(min(nv) < v AS INT) AS smaller, v + CAST(max(nv) <= v AND min(nv) < v AS INT) AS raised, CAST(sum(CASE WHEN k IN (2, 4, 5, 7) THEN nv END) AS BIGINT) AS sides FROM n GROUP BY x, y, v""")
+@query(f"""WITH {EMB}, {MOORE2}, {NEAR_EMB} SELECT x, y, min(nv) AS low, max(nv) AS high, CAST(sum(nv) AS BIGINT) AS total, CASE WHEN v <= min(nv) THEN CAST(x + 64 * y + 1 AS BIGINT) ELSE 0 END AS label, CAST(min(nv) < v AS INT) AS smaller, v + CAST(max(nv) <= v AND min(nv) < v AS INT) AS raised, CAST(sum(CASE WHEN k IN (2, 4, 5, 7) THEN nv END) AS BIGINT) AS sides FROM n GROUP BY x, y, v""")
 def moore_stencil(spark, sf_dir):
     g = stencil.neighbours(emb(spark, sf_dir), "v", stencil.moore(2))
     low, high, v, n = F.array_min("n"), F.array_max("n"), F.col("v"), F.col("n")
@@ -322,9 +322,9 @@ def scans(spark, sf_dir):
     return reduce.scan(g, "scan", "y", out="integral").map(scan=F.col("scan"), top=F.col("top"), integral=F.col("integral")).df
 
 
-@query("SELECT o_orderkey, CAST(sum(CAST(o_totalprice AS BIGINT)) OVER (ORDER BY o_orderkey) AS BIGINT) AS scan FROM orders")
+@query("SELECT o_orderkey, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) OVER (ORDER BY o_orderkey) AS BIGINT) AS scan FROM orders")
 def long_scan(spark, sf_dir):
-    df = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("long").alias("p"))
+    df = _table(spark, sf_dir, "orders").select("o_orderkey", F.floor("o_totalprice").alias("p"))
     return reduce.scan_long(df, "o_orderkey", "p", chunk=4096).select("o_orderkey", "scan")
 
 
@@ -388,8 +388,8 @@ def marker_text(spark, sf_dir):
 _ON = "CASE WHEN v >= 950 THEN 1 ELSE 0 END"
 
 
-@query(f"""WITH RECURSIVE {LI}, m AS (SELECT x, y, x + 32 * y AS id FROM li WHERE v >= 950), r(id, at) AS (SELECT id, id FROM m UNION SELECT r.id, b.id FROM r JOIN m a ON a.id = r.at JOIN m b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1)
-SELECT li.x, li.y, CAST(coalesce((SELECT min(at) + 1 FROM r WHERE r.id = li.x + 32 * li.y), 0) AS BIGINT) AS label FROM li""")
+@query(f"""WITH RECURSIVE {LI}, m AS MATERIALIZED (SELECT x, y, x + 32 * y AS id FROM li WHERE v >= 950), e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1), r(id, u) AS (SELECT a, b FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.u),
+l AS (SELECT id, min(u) + 1 AS label FROM r GROUP BY id) SELECT li.x, li.y, CAST(coalesce(l.label, 0) AS BIGINT) AS label FROM li LEFT JOIN l ON l.id = li.x + 32 * li.y""")
 def component_labels(spark, sf_dir):
     g = li(spark, sf_dir).map(v=C.threshold(F.col("v"), 950, 0, 1))
     return A.label_components(g).map(label=F.col("label")).df
@@ -424,9 +424,9 @@ def reaction_diffusion(spark, sf_dir):
     return A.Automaton(g, stencil.von_neumann(2), A.reaction_diffusion()).iterate(2).map(u=F.round("u", 6), w=F.round("w", 6)).df
 
 
-PLAT = "p AS (SELECT x, y, v // 60 AS v, x + 32 * y AS id FROM li)"
-_MIN = f"""WITH RECURSIVE {LI}, {PLAT}, r(id, at) AS (SELECT id, id FROM p UNION SELECT r.id, b.id FROM r JOIN p a ON a.id = r.at JOIN p b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND a.v = b.v),
-f AS (SELECT id, min(at) AS root FROM r GROUP BY id), low AS (SELECT p.id, max(CASE WHEN q.v < p.v THEN 1 ELSE 0 END) AS bad FROM p JOIN p q ON abs(p.x - q.x) <= 1 AND abs(p.y - q.y) <= 1 GROUP BY p.id),
+PLAT = "p AS MATERIALIZED (SELECT x, y, v // 60 AS v, x + 32 * y AS id FROM li)"
+_MIN = f"""WITH RECURSIVE {LI}, {PLAT}, e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND a.v = b.v), r(id, u) AS (SELECT a, b FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.u),
+f AS (SELECT id, min(u) AS root FROM r GROUP BY id), low AS (SELECT p.id, max(CASE WHEN q.v < p.v THEN 1 ELSE 0 END) AS bad FROM p JOIN p q ON abs(p.x - q.x) <= 1 AND abs(p.y - q.y) <= 1 GROUP BY p.id),
 bad AS (SELECT root, max(bad) AS bad FROM f JOIN low USING (id) GROUP BY root), m AS (SELECT p.x, p.y, p.v, p.id, CAST(CASE WHEN bad.bad = 0 THEN f.root + 1 ELSE 0 END AS BIGINT) AS label FROM p JOIN f USING (id) JOIN bad USING (root))"""
 
 
@@ -450,8 +450,8 @@ def watershed_labels(spark, sf_dir):
     return A.watershed(_plateau_grid(spark, sf_dir), method="distance").map(label=F.col("label")).df
 
 
-@query(f"""WITH RECURSIVE {LI}, {CROSS2}, {CUT_LI}, t AS (SELECT x, y, x + 32 * y AS id, arg_min(bx + 32 * by, (nv, -k)) AS low FROM n WHERE k > 0 AND nv <= v GROUP BY x, y), e AS (SELECT id AS a, low AS b FROM t UNION SELECT low, id FROM t),
-r(id, at) AS (SELECT x + 32 * y, x + 32 * y FROM li UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.at) SELECT CAST(id % 32 AS INT) AS x, CAST(id // 32 AS INT) AS y, CAST(min(at) + 1 AS BIGINT) AS label FROM r GROUP BY id""")
+@query(f"""WITH RECURSIVE {LI}, {CROSS2}, {CUT_LI}, t AS (SELECT x, y, x + 32 * y AS id, arg_min(ox + 32 * oy, (nv, -k)) AS low FROM n WHERE k > 0 AND nv <= v GROUP BY x, y), e AS MATERIALIZED (SELECT id AS a, low AS b FROM t UNION SELECT low, id FROM t),
+r(id, u) AS (SELECT CAST(x + 32 * y AS INT), CAST(x + 32 * y AS INT) FROM li UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.u) SELECT CAST(id % 32 AS INT) AS x, CAST(id // 32 AS INT) AS y, CAST(min(u) + 1 AS BIGINT) AS label FROM r GROUP BY id""")
 def watershed_merged(spark, sf_dir):
     return A.watershed_merged(li(spark, sf_dir), complete=False).map(label=F.col("label")).df
 
@@ -471,7 +471,7 @@ def watershed_simple(spark, sf_dir):
     return A.watershed(li(spark, sf_dir), method="descent_simple").map(label=F.col("label")).df
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 50 AS a, l_suppkey % 50 + 50 AS b FROM lineitem WHERE l_quantity > 49 AND l_partkey % 7 = 0), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, at) AS (SELECT a, a FROM s UNION SELECT r.id, s.b FROM r JOIN s ON s.a = r.at) SELECT id, min(at) AS root FROM r GROUP BY id""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 50 AS a, l_suppkey % 50 + 50 AS b FROM lineitem WHERE l_quantity > 49 AND l_partkey % 7 = 0), s AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, u) AS (SELECT a, a FROM s UNION SELECT r.id, s.b FROM r JOIN s ON s.a = r.u) SELECT id, min(u) AS root FROM r GROUP BY id""")
 def merged_labels(spark, sf_dir):
     e = _table(spark, sf_dir, "lineitem").filter("l_quantity > 49 AND l_partkey % 7 = 0")
     return A.merge_labels(e.select((F.col("l_partkey") % 50).alias("a"), (F.col("l_suppkey") % 50 + 50).alias("b")))
@@ -492,7 +492,7 @@ def lattice_edges(spark, sf_dir):
     return _lattice(spark, sf_dir)[1]
 
 
-@query(f"""WITH RECURSIVE {LI}, e AS (SELECT a.x + 32 * a.y AS a, b.x + 32 * b.y AS b FROM li a JOIN li b ON abs(a.x - b.x) + abs(a.y - b.y) = 1 AND abs(a.v - b.v) % 17 > 6), r(id, level) AS (SELECT x + 32 * y, 1 FROM li WHERE y = 31 UNION SELECT e.a, r.level + 1 FROM r JOIN e ON e.b = r.id WHERE r.level < 400) SELECT CAST(id AS BIGINT) AS id, CAST(min(level) AS INT) AS level FROM r GROUP BY id""")
+@query(f"""WITH RECURSIVE {LI}, e AS MATERIALIZED (SELECT a.x + 32 * a.y AS a, b.x + 32 * b.y AS b FROM li a JOIN li b ON abs(a.x - b.x) + abs(a.y - b.y) = 1 AND abs(a.v - b.v) % 17 > 6), r(id, level) AS (SELECT x + 32 * y, 1 FROM li WHERE y = 31 UNION SELECT e.a, r.level + 1 FROM r JOIN e ON e.b = r.id WHERE r.level < 400) SELECT CAST(id AS BIGINT) AS id, CAST(min(level) AS INT) AS level FROM r GROUP BY id""")
 def bfs_levels(spark, sf_dir):
     v, e = _lattice(spark, sf_dir)
     arcs = maxflow.arcs_of(e).filter("res > 7")
@@ -524,7 +524,7 @@ def fused_expression(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {LI}, g AS (SELECT x, y, CAST((255 - v % 256 + 2 * (255 - v * 7 % 256) + 255 - v * 13 % 256) // 4 AS BIGINT) AS v FROM li), e AS (SELECT c.x, c.y, abs(l.v - c.v) + abs(u.v - c.v) AS v FROM g c JOIN g l ON l.x = greatest(0, c.x - 1) AND l.y = c.y JOIN g u ON u.x = c.x AND u.y = greatest(0, c.y - 1)),
-m AS (SELECT x, y, x + 32 * y AS id FROM e WHERE v >= 80), r(id, at) AS (SELECT id, id FROM m UNION SELECT r.id, b.id FROM r JOIN m a ON a.id = r.at JOIN m b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1), l AS (SELECT id, min(at) + 1 AS label FROM r GROUP BY id)
+m AS MATERIALIZED (SELECT x, y, x + 32 * y AS id FROM e WHERE v >= 80), t AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1), r(id, u) AS (SELECT a, b FROM t UNION SELECT r.id, t.b FROM r JOIN t ON t.a = r.u), l AS (SELECT id, min(u) + 1 AS label FROM r GROUP BY id)
 SELECT e.x, e.y, e.v AS edge, CAST(coalesce(label, 0) * 123 % 256 AS INT) AS c0, CAST(coalesce(label, 0) * 7 % 256 AS INT) AS c1, CAST(coalesce(label, 0) * 13 % 256 AS INT) AS c2 FROM e LEFT JOIN l ON l.id = e.x + 32 * e.y""")
 def edge_components(spark, sf_dir):
     g = li(spark, sf_dir).map(r=F.col("v") % 256, g=F.col("v") * 7 % 256, b=F.col("v") * 13 % 256)
