@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_of, saved, utf8
+from .common import pieces_of, saved, thrifty, utf8
 from .repeats import cut, merged
 
 #: A chunk has LEAST bytes at least, unless it is a whole text, and MOST at most
@@ -86,7 +86,7 @@ def chunks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
                 rows = pa.array(of, pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(key).take(rows), b.column("th").take(rows), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], schema.names)
 
-    return docs.select(key, F.xxhash64("text").alias("th"), "text").mapInArrow(run, schema)
+    return docs.select(key, F.xxhash64("text").alias("th"), "text").mapInArrow(thrifty(run), schema)
 
 
 def duplicate_chunks(docs: DataFrame) -> DataFrame:
@@ -123,4 +123,4 @@ def op4(documents: DataFrame) -> DataFrame:
             gone = pa.array([len(t) - len(k) for t, k in zip(texts, kept, strict=True)], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), sizes, b.column("repeated_bytes"), gone, pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())], schema.names)
 
-    return both.select("doc_id", "text", F.coalesce("repeated_bytes", F.lit(0)).alias("repeated_bytes"), "spans").mapInArrow(run, schema)
+    return both.select("doc_id", "text", F.coalesce("repeated_bytes", F.lit(0)).alias("repeated_bytes"), "spans").mapInArrow(thrifty(run), schema)

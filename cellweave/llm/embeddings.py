@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, thrifty
 from .components import components
 
 THRESHOLD = 0.95
@@ -101,7 +101,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
             codes = codes * 4096 + (sizes % 4096)[:, None]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), lists, pa.array(list(codes), pa.list_(pa.int64()))], ["id", "n", "v", "codes"])
 
-    signed = saved(groups.select("id", "n", "v").mapInArrow(sign, "id long, n long, v array<double>, codes array<long>"), "signed")
+    signed = saved(groups.select("id", "n", "v").mapInArrow(thrifty(sign), "id long, n long, v array<double>, codes array<long>"), "signed")
     spots = signed.select("id", F.posexplode("codes").alias("t", "code"))
     sizes = spots.groupBy("t", "code").agg(F.count("*").alias("size")).filter("size > 1")
     sizes = saved(sizes.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")), "buckets")

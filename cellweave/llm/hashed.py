@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_of, utf8
+from .common import pieces_of, thrifty, utf8
 
 BITS = 24
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -244,7 +244,7 @@ def fit(
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in pieces_of(whole, "text", 4 << 20):
+            for b in pieces_of(whole, "text", 1 << 20):
                 texts = utf8(b.column("text"))
                 of, ids = once(*features(texts, words, shape))
                 cut = np.searchsorted(of, np.arange(len(texts) + 1)).astype(np.int32)
@@ -261,8 +261,8 @@ def fit(
         bias, ids, w = train([lists[i] for i in order], np.array([ys[i] for i in order], dtype=float), params)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(ids, -1)), pa.array(np.append(w, bias))], ["id", "w"])
 
-    made = rows.mapInArrow(make, "doc_id long, y int, ids array<int>")
-    learned = made.repartition(1).mapInArrow(learn, "id long, w double").toPandas().sort_values("id")
+    made = rows.mapInArrow(thrifty(make), "doc_id long, y int, ids array<int>")
+    learned = made.repartition(1).mapInArrow(thrifty(learn), "id long, w double").toPandas().sort_values("id")
     if learned.empty:
         return Model(words, shape)
     bias = float(learned.w[learned.id < 0].iloc[0])
@@ -278,10 +278,10 @@ def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in pieces_of(whole, "text", 4 << 20):
+            for b in pieces_of(whole, "text", 1 << 20):
                 s = sent.value.scores(utf8(b.column("text")))
                 yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(s)], [*names, out])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(thrifty(run), schema)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces_of, saved
+from .common import pieces_of, saved, thrifty
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -43,7 +43,7 @@ class WordEncoder:
     which do not keep to words; they are encoded whole.
     """
 
-    KEPT = 600_000
+    KEPT = 250_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -141,7 +141,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for whole in batches:
-            for b in pieces_of(whole, "text", 12 << 20):
+            for b in pieces_of(whole, "text", 4 << 20):
                 doc, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i, x in enumerate(enc.encode(b.column("text"))):
                     x = np.append(x, np.uint32(END)).astype("<u4")
@@ -159,7 +159,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids:
                     made.append(pa.array(ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(made, schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(thrifty(run), schema)
 
 
 @dataclass

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pieces_of
+from .common import pieces_of, thrifty
 
 MODEL = "piece_bpe_32k.model"
 MARK = "\u2581"
@@ -75,7 +75,7 @@ class SuffixArray:
 class PieceModel:
     """The pieces of a model file, and the ids of units met so far."""
 
-    KEPT = 500_000
+    KEPT = 250_000
     LONG = 400
 
     def __init__(self, path: str):
@@ -309,11 +309,11 @@ def encode_documents(docs: DataFrame, path: str | None = None, key: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in pieces_of(whole, "text", 8 << 20):
+            for b in pieces_of(whole, "text", 4 << 20):
                 ids = piece_model(path).encode([t or "" for t in b.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([b.column(key), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], [key, "ids"])
 
-    return docs.select(key, "text").mapInArrow(run, f"{key} {schema.dtypes[0][1]}, ids array<int>")
+    return docs.select(key, "text").mapInArrow(thrifty(run), f"{key} {schema.dtypes[0][1]}, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None, key: str = "doc_id") -> DataFrame:
@@ -326,7 +326,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None, key: str = "do
             texts = [piece_model(path).decode(np.asarray(x or [], np.int64)) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(texts, pa.string())], [key, "text"])
 
-    return encoded.select(key, "ids").mapInArrow(run, f"{key} {kind}, text string")
+    return encoded.select(key, "ids").mapInArrow(thrifty(run), f"{key} {kind}, text string")
 
 
 def op2(documents: DataFrame, path: str | None = None) -> DataFrame:
@@ -342,7 +342,7 @@ def op2(documents: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(path)
         for whole in batches:
-            for b in pieces_of(whole, "text", 8 << 20):
+            for b in pieces_of(whole, "text", 4 << 20):
                 texts = [t or "" for t in b.column("text").to_pylist()]
                 ids = model.encode(texts)
                 back = [model.decode(x) for x in ids]
@@ -354,4 +354,4 @@ def op2(documents: DataFrame, path: str | None = None) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], schema.names)
 
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    return documents.select("doc_id", "text").mapInArrow(thrifty(run), schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_of, saved, utf8
+from .common import pieces_of, saved, thrifty, utf8
 from .components import components
 
 SEED = 42
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, out: str = "fp") -> DataFrame:
                 fps = np.array([simhash(t) for t in utf8(b.column("text"))], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(fps)], [*names, out])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(thrifty(run), schema)
 
 
 def _distance(a, b):
