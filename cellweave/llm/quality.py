@@ -31,7 +31,9 @@ def score_quality(docs: DataFrame, model: Model, out: str = "score") -> DataFram
 
 def keep_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score is ``threshold`` or more, with their own columns."""
-    name = "_quality_score"
+    name = "score"
+    while name in docs.columns:
+        name += "_"
     return score_quality(docs, model, name).filter(F.col(name) >= threshold).select(*docs.columns)
 
 

@@ -128,10 +128,11 @@ def redact(docs: DataFrame, owner: str = "source", owners: int = OWNERS, mark: s
     text = F.coalesce("text", F.lit(""))
     may = text.rlike(_ANY)
     ident = F.xxhash64(F.col("text"), F.col("doc_id"))
-    keyed = docs.filter(may).withColumn("_id", F.struct("doc_id", ident.alias("h")))
-    spans = scan(keyed.select(F.struct(F.col("doc_id"), ident.alias("h")).alias("_id"), F.col("doc_id"), F.col(owner), "text"), "_id", owner, "doc_id", owners)
-    spans = spans.filter(F.size("spans") > 0).groupBy("_id").agg(F.first("spans").alias("spans")).select("_id", "spans")
-    joined = keyed.join(spans, "_id", "left")
+    row = F.struct(*(F.col(n).alias(f"c{i}") for i, n in enumerate(docs.columns)))  # no name of ``docs`` meets one of ours
+    keyed = docs.filter(may).select(F.struct("doc_id", ident.alias("h")).alias("id"), F.col("doc_id").alias("repository"), F.col(owner).alias("owner"), "text", row.alias("row"))
+    spans = scan(keyed.select("id", "repository", "owner", "text"), "id", "owner", "repository", owners)
+    spans = spans.filter(F.size("spans") > 0).groupBy("id").agg(F.first("spans").alias("spans"))
+    joined = keyed.join(spans, "id", "left")
 
     def step(acc: Column, s: Column) -> Column:
         inside = s["start"] < acc["at"]
@@ -141,10 +142,11 @@ def redact(docs: DataFrame, owner: str = "source", owners: int = OWNERS, mark: s
 
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     new = F.aggregate(F.col("spans"), begin, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1)))
-    changed = joined.withColumn("text", F.when(F.col("spans").isNotNull(), new).otherwise(F.col("text")))
+    changed = joined.select("row", F.col("spans").isNotNull().alias("hit"), F.when(F.col("spans").isNotNull(), new).otherwise(F.col("text")).alias("text"))
+    columns = {n: F.col(f"row.c{i}") for i, n in enumerate(docs.columns)} | {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return docs.filter(~may).select(*docs.columns).unionByName(changed.select(*docs.columns))
+        columns["n_chars"] = F.when(F.col("hit"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return docs.filter(~may).unionByName(changed.select(*(columns[n].alias(n) for n in docs.columns)))
 
 
 def op8(documents: DataFrame) -> DataFrame:
