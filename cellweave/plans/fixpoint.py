@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,15 +38,47 @@ def until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame], chang
     raise NotStable(f"not stable after {limit} steps")
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+#: Lists of at most so many links are closed in one task.
+SMALL = 200_000
+
+
+def _close(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, smallest id reachable), by hooking and jumping on whole arrays."""
+    ids, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(ids))
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            return ids, ids[root]
+        root = new
+
+
+def _close_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = list(batches)
+    if held:
+        u, v = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("u", "v"))
+        ids, root = _close(u, v)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(root)], ["id", "root"])
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", small: int = SMALL) -> DataFrame:
     """(id, root): the smallest id reachable from each id of ``links``.
 
     Nodes hook to the smallest of their closed neighbourhood, look one hook
     further, and the links are contracted; rounds grow with the logarithm of the
-    longest path, not with its length.
+    longest path, not with its length. Once at most ``small`` links are left, one
+    task closes them.
     """
-    u, v = F.col(a), F.col(b)
+    u, v = F.col(a).cast("long"), F.col(b).cast("long")
     edges = saved(links.filter(u != v).select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct(), "links")
+    if edges.count() <= small:
+        return saved(edges.repartition(1).mapInArrow(_close_task, "id long, root long"), "closed")
     found: DataFrame | None = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.selectExpr("v AS u", "u AS v"))

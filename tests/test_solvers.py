@@ -189,7 +189,9 @@ def test_levels(spark):
 
 def test_components_and_roots(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(50, 51), (7, 7)], "a long, b long")
-    assert {r.root for r in fixpoint.components(links).filter("id < 50").collect()} == {0}
+    for small in (0, fixpoint.SMALL):
+        got = {r.id: r.root for r in fixpoint.components(links, small=small).collect()}
+        assert {got[i] for i in range(41)} == {0} and got[51] == 50 and 7 in got
     chain = spark.createDataFrame([(i, max(i - 1, 0)) for i in range(20)], "id long, parent long")
     assert {r.root for r in fixpoint.roots(chain).collect()} == {0}
 
