@@ -151,3 +151,9 @@ def lower_completion(grid: Grid, column: str = "v", out: str = "v") -> Grid:
     v = F.col(column)
     rim = (F.array_max("_n") <= v) & (F.array_min("_n") < v)
     return g.add(**{out: v + rim.cast("int")}).of_without("_n")
+
+
+def scaled(grid: Grid, column: str, to: float = 100.0, out: str | None = None) -> Grid:
+    """Values scaled so that the most is ``to``; the most is one number, found first."""
+    most = grid.df.agg(F.max(column)).first()[0] or 0.0
+    return grid.add(**{out or column: F.col(column) * F.lit(to / most if most else 0.0)})

@@ -66,3 +66,30 @@ def region_segmentation(grid: Grid, mask: Grid, column: str = "v", strong: float
     graph = edges.select((F.col("l1") * (1 << 31) + F.col("l2")).alias("eid"), F.col("l1").alias("a"), F.col("l2").alias("b"), F.col("s").alias("w_fwd"), F.col("s").alias("w_bwd"))
     _, segments = maxflow.max_flow(vertices, graph)
     return regions.of(regions.df.join(segments.select(F.col("id").alias("label"), "side"), "label").select(*grid.axes, "label", "side"))
+
+
+def image_watershed(rgb: Grid, method: str = "distance") -> Grid:
+    """Sum of channels, gradient with negative values cut, watershed, colours of labels."""
+    v = C.total(*(F.col(c) for c in rgb.values))
+    edge = filters.backward_magnitude(rgb.map(v=v), out="g")
+    cells = edge.map(v=C.lower_limit(F.col("g"), 0, 0))
+    labelled = automata.watershed(cells, "v", method)
+    c0, c1, c2 = C.colour(F.col("label"))
+    return labelled.map(label=F.col("label"), c0=c0, c1=c1, c2=c2)
+
+
+def reaction_image(rgb: Grid, steps: int) -> Grid:
+    """Reaction and diffusion of the first and last channel, as bytes between the least and most concentration."""
+    from ..operators.stencil import von_neumann
+
+    u, w = C.reaction(F.col(rgb.values[0]), F.col(rgb.values[-1]))
+    state = automata.Automaton(rgb.map(u=u, w=w), von_neumann(len(rgb.axes)), automata.reaction_diffusion()).iterate(steps)
+    state = state.of(saved(state.df, "reaction"))
+    low = state.df.agg(F.min("u"), F.max("u"), F.min("w"), F.max("w")).first()
+    lit = [F.lit(x) for x in low]
+    return state.map(c0=C.concentration_colour(F.col("u"), lit[0], lit[1]), c2=C.concentration_colour(F.col("w"), lit[2], lit[3]))
+
+
+def edge_weights(edges: DataFrame, column: str = "w_fwd") -> DataFrame:
+    """Least, most and mean weight of edges, one row."""
+    return edges.agg(F.min(column).alias("least"), F.max(column).alias("most"), F.avg(column).alias("mean"))

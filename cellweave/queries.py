@@ -9,7 +9,7 @@ from .functions import cells as C
 from .functions import vectors as V
 from .grid import Grid, coords_of, empty_grid
 from .operators import automata as A
-from .operators import filters, maxflow, reduce, stencil, tiles
+from .operators import filters, maps, maxflow, reduce, stencil, tiles
 from .plans import pipelines
 from .sources import generate, tables, text
 
@@ -531,6 +531,40 @@ def edge_components(spark, sf_dir):
     return pipelines.edge_components(g, at=80).df
 
 
+@query(f"""WITH {LI}, {MOORE2}, {NEAR_LI}, s AS (SELECT x, y, CAST(sum(nv * {SOBEL_X}) AS DOUBLE) AS sx, CAST(sum(nv * {SOBEL_Y}) AS DOUBLE) AS sy FROM n GROUP BY x, y), m AS (SELECT x, y, sqrt(sx * sx + sy * sy) AS g FROM s)
+SELECT x, y, round(g * (100.0 / (SELECT max(g) FROM m)), 4) AS g FROM m""")
+def scaled_gradient(spark, sf_dir):
+    g = filters.sobel_magnitude(li(spark, sf_dir))
+    return filters.scaled(g, "g").map(g=F.round("g", 4)).df
+
+
+@query(f"""WITH {LI}, e AS (SELECT CAST(1 + abs(a.v - b.v) % 17 AS DOUBLE) AS w FROM li a JOIN li b ON (b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y + 1)) SELECT min(w) AS least, max(w) AS most, round(avg(w), 6) AS mean FROM e""")
+def edge_weights(spark, sf_dir):
+    return pipelines.edge_weights(_lattice(spark, sf_dir)[1]).withColumn("mean", F.round("mean", 6))
+
+
+@query(f"""WITH {LI} SELECT c.x, c.y, c.v + coalesce(l.v, 0) AS left_sum, 2 * c.v AS doubled, c.v - c.x AS placed, c.v + 2 * m.v AS scaled FROM li c LEFT JOIN li l ON l.x = c.x - 1 AND l.y = c.y JOIN li m ON m.x = 31 - c.x AND m.y = c.y""")
+def map_operators(spark, sf_dir):
+    g = li(spark, sf_dir)
+    both = maps.transform_locator(g.add(left_sum=F.col("v")), lambda n: n[0], [(-1, 0)], "zero", out="left_sum", assign="add")
+    both = maps.transform(both, lambda v: v * 2, out="doubled")
+    both = maps.transform_position(both, lambda v, x, y: v - x, out="placed")
+    other = maps.add_scaled(g, 2, stencil.flip(g, "x"))
+    return both.zip(other.map(scaled=F.col("v"))).map(left_sum=F.col("left_sum"), doubled=F.col("doubled"), placed=F.col("placed"), scaled=F.col("scaled")).df
+
+
+@query()
+def image_watershed(spark, sf_dir):
+    g = li(spark, sf_dir).map(r=F.col("v") % 256, g=F.col("v") * 7 % 256, b=F.col("v") * 13 % 256)
+    return pipelines.image_watershed(g, "descent_gs").df
+
+
+@query()
+def reaction_image(spark, sf_dir):
+    g = li(spark, sf_dir).map(r=F.col("v") % 256, g=F.col("v") * 7 % 256, b=F.col("v") * 13 % 256)
+    return pipelines.reaction_image(g, 2).df
+
+
 @query()
 def region_segmentation(spark, sf_dir):
     g = stencil.subview(li(spark, sf_dir), (0, 0), (12, 12))
