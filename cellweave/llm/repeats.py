@@ -30,13 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import anchors
-from .common import pieces_of, saved, utf8
+from .common import pieces_of, saved, thrifty, utf8
 
 SIZE = 400
 CROWD = 256
 #: Sizes of the blocks in which windows of crowded anchors are counted.
 STEPS = (64, 8, 1)
-BATCH = 1 << 20
+BATCH = 1 << 19
 
 
 class RunIndex:
@@ -134,9 +134,11 @@ def repeated_windows(strings: list[bytes], size: int) -> list[tuple[np.ndarray,
 
 
 def _stretches(docs: DataFrame, size: int) -> DataFrame:
-    """k, th, lo, w, off, anchor, digest: stretches of windows with one anchor, of every text.
+    """k, th, los, n, w, off, anchor, digest: distinct stretches of windows with one anchor, of every text.
 
-    A stretch has w windows from byte lo of its text, and its anchor at byte off.
+    A stretch has w windows from each of the n bytes los of its text, and its
+    anchor off bytes further. Text that repeats itself at short range thus
+    costs a row a text, not a row a period.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,18 +147,29 @@ def _stretches(docs: DataFrame, size: int) -> DataFrame:
             for b in pieces_of(whole, "text", 1 << 20):
                 texts = utf8(b.column("text"))
                 t, lo, hi, at = anchors(texts, size)
-                anchor, digest = [], []
+                of, los, w, off, anchor, digest = [], [], [], [], [], []
+                text, seen = -1, {}
                 for i, s, e, p in zip(t.tolist(), lo.tolist(), hi.tolist(), at.tolist(), strict=True):
-                    x = texts[i]
+                    if i != text:
+                        text, x, seen = i, texts[i], {}
+                    d = h64(x[s : e + size], p - s)
+                    if d in seen:
+                        los[seen[d]].append(s)
+                        continue
+                    seen[d] = len(of)
+                    of.append(i)
+                    los.append([s])
+                    w.append(e - s + 1)
+                    off.append(p - s)
                     anchor.append(h64(x[p : p + 64]))
-                    digest.append(h64(x[s : e + size], p - s))
-                rows = pa.array(t)
+                    digest.append(d)
+                rows = pa.array(of, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("k").take(rows), b.column("th").take(rows), pa.array(lo.astype(np.int32)), pa.array((hi - lo + 1).astype(np.int32)), pa.array((at - lo).astype(np.int32)), pa.array(signed(anchor)), pa.array(signed(digest))],
-                    ["k", "th", "lo", "w", "off", "anchor", "digest"],
+                    [b.column("k").take(rows), b.column("th").take(rows), pa.array(los, pa.list_(pa.int32())), pa.array([len(v) for v in los], pa.int32()), pa.array(w, pa.int32()), pa.array(off, pa.int32()), pa.array(signed(anchor)), pa.array(signed(digest))],
+                    ["k", "th", "los", "n", "w", "off", "anchor", "digest"],
                 )
 
-    return docs.select("k", "th", "text").mapInArrow(run, "k long, th int, lo int, w int, off int, anchor long, digest long")
+    return docs.select("k", "th", "text").mapInArrow(thrifty(run), "k long, th int, los array<int>, n int, w int, off int, anchor long, digest long")
 
 
 def _indexed(stretches: DataFrame, size: int) -> DataFrame:
@@ -185,7 +198,7 @@ def _indexed(stretches: DataFrame, size: int) -> DataFrame:
         if held:
             yield solve(held)
 
-    return stretches.mapInArrow(run, "anchor long, digest long, first int, last int")
+    return stretches.mapInArrow(thrifty(run), "anchor long, digest long, first int, last int")
 
 
 def _blocks(step: int, before: int, size: int):
@@ -231,7 +244,7 @@ def _counted(stretches: DataFrame, size: int) -> DataFrame:
     schema = "anchor long, digest long, n int, k int, first int, last int, i1 long, i2 long, u1 long, u2 long"
     for i, step in enumerate(STEPS):
         source = held.withColumn("active", F.lit(None).cast("array<int>")) if i == 0 else held.join(active, ["anchor", "digest"])
-        rows = saved(source.mapInArrow(_blocks(step, STEPS[max(i - 1, 0)], size), schema), "blocks")
+        rows = saved(source.mapInArrow(thrifty(_blocks(step, STEPS[max(i - 1, 0)], size)), schema), "blocks")
         inner, outer = ["i1", "i2"], ["u1", "u2"]
         each = saved(rows.groupBy(*inner, *outer).agg(F.sum("n").alias("all")), "outer")
         hit = rows.filter("n = 1").join(each.filter(F.col("all") > 1).select(*inner, *outer), [*inner, *outer]).select("anchor", "digest", "first", "last")
@@ -251,17 +264,17 @@ def with_spans(docs: DataFrame, keep: dict[str, Column], size: int = SIZE, text_
     """
     rows = docs.select(*(c.alias(f"_{n}") for n, c in keep.items()), F.xxhash64("doc_id").alias("k"), F.hash("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
     occ = saved(_stretches(rows, size), "stretches")
-    often = saved(occ.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchors")
+    often = saved(occ.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor"), "anchors")
     again = saved(occ.join(often, "anchor"), "again")
-    place = F.struct("k", "th", "lo", "w", "off")
-    kinds = saved(again.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(place).alias("at")), "kinds")
+    place = F.struct("k", "th", F.col("los")[0].alias("lo"), "w", "off")
+    kinds = saved(again.groupBy("anchor", "digest").agg(F.sum("n").alias("n"), F.min(place).alias("at")), "kinds")
     mixed = kinds.groupBy("anchor").agg(F.count("*").alias("d"), F.min("n").alias("least")).filter("d > 1 AND least = 1")
     mixed = saved(mixed.select("anchor", "d"), "mixed")
     wanted = kinds.join(mixed, "anchor")
     whole = again.join(saved(kinds.filter("n > 1").select("anchor", "digest"), "twice"), ["anchor", "digest"])
-    reps = wanted.select("at.k", "at.th", F.struct("anchor", "digest", "n", "d", "at.lo", "at.w", "at.off").alias("rep"), F.lit(None).cast("struct<start:int,end:int>").alias("span"))
-    spans = whole.select("k", "th", F.lit(None).cast(reps.schema["rep"].dataType).alias("rep"), F.struct(F.col("lo").alias("start"), (F.col("lo") + F.col("w") - 1 + size).alias("end")).alias("span"))
-    by_doc = reps.unionByName(spans).groupBy("k", "th").agg(F.collect_list("rep").alias("reps"), F.collect_list("span").alias("spans"))
+    reps = wanted.select("at.k", "at.th", F.struct("anchor", "digest", "n", "d", "at.lo", "at.w", "at.off").alias("rep"), F.lit(None).cast("array<struct<start:int,end:int>>").alias("span"))
+    spans = whole.select("k", "th", F.lit(None).cast(reps.schema["rep"].dataType).alias("rep"), F.transform("los", lambda lo: F.struct(lo.alias("start"), (lo + F.col("w") - 1 + size).alias("end"))).alias("span"))
+    by_doc = reps.unionByName(spans).groupBy("k", "th").agg(F.collect_list("rep").alias("reps"), F.flatten(F.collect_list("span")).alias("spans"))
     joined = rows.join(by_doc, ["k", "th"], "left")
     if not text_of_all:
         joined = joined.withColumn("text", F.when(F.col("reps").isNotNull(), F.col("text")))
@@ -308,21 +321,23 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     What is left of a character cut in two is dropped; n_chars, where there is
     one, is counted again. Null texts stay null.
     """
-    keep = {n: F.col(n) for n in docs.columns if n != "text"} | {"was_null": F.col("text").isNull()}
-    names = list(keep)
-    found = with_spans(docs, keep, size, text_of_all=True)
+    rest = [n for n in docs.columns if n != "text"]
+    row = F.struct(F.col("text").isNull().alias("null"), *(F.col(n).alias(f"c{i}") for i, n in enumerate(rest)))
+    found = with_spans(docs, {"row": row}, size, text_of_all=True)  # a struct: no name of ``docs`` meets one of ours
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b for whole in batches for b in pieces_of(whole, "text", 4 << 20)):
             texts = [cut(t, merged(s)).decode("utf-8", "ignore") for t, s in zip(utf8(b.column("text")), b.column("spans").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(texts, pa.string())], [*names, "text"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string()), pa.array([True] * len(texts))], ["row", "text", "changed"])
 
-    plain = found.filter("spans IS NULL").drop("spans")
-    changed = found.filter("spans IS NOT NULL").mapInArrow(run, plain.select(*names, "text").schema)
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    both = plain.unionByName(changed).withColumn("text", F.when(~F.col("was_null"), F.col("text")))
-    return both.select(*docs.columns)
+    plain = found.filter("spans IS NULL").select("row", "text", F.lit(False).alias("changed"))
+    cut_ = found.filter("spans IS NOT NULL").mapInArrow(thrifty(run), plain.schema)
+    both = plain.unionByName(cut_)
+    columns = {n: F.col(f"row.c{i}") for i, n in enumerate(rest)} | {"text": F.when(~F.col("row.null"), F.col("text"))}
+    if "n_chars" in rest:
+        count = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.col("changed"), count).otherwise(columns["n_chars"])
+    return both.select(*(columns[n].alias(n) for n in docs.columns))
 
 
 def op3(documents: DataFrame) -> DataFrame:
@@ -337,13 +352,13 @@ def op3(documents: DataFrame) -> DataFrame:
     schema = documents.select("doc_id").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b for whole in batches for b in pieces_of(whole, "text", 4 << 20)):
             runs = [merged(s) for s in b.column("spans").to_pylist()]
             kept = [hashlib.sha256(cut(t, r)).hexdigest() for t, r in zip(utf8(b.column("text")), runs, strict=True)]
             gone = pa.array([sum(e - s for s, e in r) for r in runs], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), gone, pa.array([len(r) for r in runs], pa.int64()), pa.array(kept, pa.string())], schema.names)
 
-    changed = found.filter("spans IS NOT NULL").select("doc_id", "n_bytes", "text", "spans").mapInArrow(run, schema)
+    changed = found.filter("spans IS NOT NULL").select("doc_id", "n_bytes", "text", "spans").mapInArrow(thrifty(run), schema)
     zero = F.lit(0).cast("long")
     plain = found.filter("spans IS NULL").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"))
     return plain.unionByName(changed)
