@@ -72,4 +72,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": _op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others hash, train, encode or pack in ways that SQL does not have, or not
+#: over whole tables; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op9_embeddings": """
+        WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+        p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id != b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+        n AS (SELECT a, count(*) AS n FROM p GROUP BY a),
+        r(id, u) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.id, p.b FROM r JOIN p ON p.a = r.u),
+        c AS (SELECT id, min(u) AS component_id FROM r GROUP BY id)
+        SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+        FROM v JOIN c ON c.id = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+    """,
+}

@@ -101,3 +101,13 @@ def test_registry():
     found = __spark_entry__.queries()
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11)) and queries.QUERIES.items() <= found.items()
     assert found["pipeline"] is corpus_pipeline.run and set(__spark_entry__.oracle_sql()) <= set(found)
+
+
+def test_embeddings_against_sql(spark, folder):
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet'")
+    want = c.sql(queries.ORACLE_SQL["op9_embeddings"])
+    got = queries.QUERIES["op9_embeddings"](spark, folder)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(want.fetchall())
