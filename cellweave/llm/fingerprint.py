@@ -70,18 +70,19 @@ def as_text(hashes: str, bound: str) -> Column:
     return F.concat_ws(":", F.lower(F.hex(bound)), F.array_join(F.transform(hashes, lambda h: F.lower(F.hex(h))), ","))
 
 
-def with_next(docs: DataFrame, per_bucket: int = 512) -> DataFrame:
+def with_next(docs: DataFrame, per_bucket: int = 512, most_buckets: int = 65536) -> DataFrame:
     """doc_id, text and bucket of every row, plus one row a bucket that repeats the head of the next.
 
     Rows stand in descending order of doc_id (nulls last; equal ids by text). A
     bucket is a stretch of this order between quantiles of doc_id, so all are
     of a like size. The extra rows (tail = 1) let a window inside each bucket
     see the row after its last; the last bucket is followed by the first.
+    There are at most ``most_buckets`` buckets, so what the driver holds is bounded.
     """
     spark = docs.sparkSession
     ids = docs.select("doc_id")
     n = ids.count()
-    many = max(1, n // per_bucket)
+    many = max(1, min(most_buckets, n // per_bucket))
     coarse = min(many, 256)
     fan = -(-many // coarse)
     shares = [k / coarse for k in range(coarse + 1)]
@@ -97,7 +98,7 @@ def with_next(docs: DataFrame, per_bucket: int = 512) -> DataFrame:
     else:
         bucket = F.lit(last)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), bucket.cast("int").alias("bucket"))
-    heads = rows.groupBy("bucket").agg(F.max("doc_id").alias("doc_id")).collect()  # one id a bucket
+    heads = rows.groupBy("bucket").agg(F.max("doc_id").alias("doc_id")).collect()  # one id for each of a bounded number of buckets
     order = sorted(r["bucket"] for r in heads)
     before = {b: order[i - 1] for i, b in enumerate(order)}
     if not heads:
