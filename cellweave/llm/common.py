@@ -70,6 +70,11 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on send at most ``rows`` rows a batch to Python in this session: whole texts are large."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def release() -> None:
     """Give freed memory of this process back to the system."""
     pa.default_memory_pool().release_unused()

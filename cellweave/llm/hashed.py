@@ -7,6 +7,8 @@ there is no Python step for a word.
 
 from __future__ import annotations
 
+import itertools
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -166,7 +168,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, p: Ftrl) -> tuple[float, n
     for r in rows:
         at = np.searchsorted(ids, r)
         at[at == len(ids)] = 0
-        compact.append(at[ids[at] == r] if len(ids) else at[:0])
+        compact.append((at[ids[at] == r] if len(ids) else at[:0]).astype(np.int32))
     z, n = np.zeros(len(ids) + 1), np.zeros(len(ids) + 1)
     bias = len(ids)
 
@@ -187,7 +189,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, p: Ftrl) -> tuple[float, n
             z[at] += g - (np.sqrt(n[at]) - root) / p.alpha * w
     w = weights(np.arange(len(z)))
     kept = np.flatnonzero(w[:-1])
-    return float(w[-1]), ids[kept], w[:-1][kept]
+    return float(w[-1]), ids[kept].astype(np.int64), w[:-1][kept]
 
 
 @dataclass
@@ -256,8 +258,9 @@ def fit(
         for b in batches:
             keys += b.column("doc_id").to_pylist()
             ys += b.column("y").to_pylist()
-            lists += [np.asarray(x.values.to_numpy(), dtype=np.int64) for x in b.column("ids")]
-        order = sorted(range(len(keys)), key=lambda i: (keys[i], len(lists[i]), lists[i].tobytes()))
+            at, flat = b.column("ids").offsets.to_numpy(), b.column("ids").values.to_numpy()
+            lists += [flat[s:e].copy() for s, e in itertools.pairwise(at)]
+        order = sorted(range(len(keys)), key=lambda i: (keys[i], len(lists[i]), zlib.crc32(lists[i])))
         bias, ids, w = train([lists[i] for i in order], np.array([ys[i] for i in order], dtype=float), params)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(ids, -1)), pa.array(np.append(w, bias))], ["id", "w"])
 

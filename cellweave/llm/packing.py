@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces_of, saved, thrifty
+from .common import pieces_of, saved, small_batches, thrifty
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -43,7 +43,8 @@ class WordEncoder:
     which do not keep to words; they are encoded whole.
     """
 
-    KEPT = 250_000
+    KEPT = 200_000
+    AT_ONCE = 16_384
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -96,8 +97,8 @@ class WordEncoder:
         if len(self.known) + len(names) > self.KEPT:
             self.clear()
         fresh = [w for w in names if w and w not in self.known]
-        if fresh:
-            self.keep(fresh)
+        for k in range(0, len(fresh), self.AT_ONCE):  # encodings are many times larger than their ids
+            self.keep(fresh[k : k + self.AT_ONCE])
         lookup = np.array([self.known.get(w, -1) for w in names], dtype=np.int64)
         at = lookup[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
         size = np.where(at >= 0, self.starts[at + 1] - self.starts[at], 0) if len(at) else at
@@ -370,6 +371,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
     ids of the pieces too. A null or empty text is one piece of one end id; a
     null doc_id is a document like any other. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     made = saved(token_pieces(docs, path or tokenizer_path(), capacity, with_ids), "pieces")
     return pack(made, capacity)
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import anchors
-from .common import pieces_of, saved, thrifty, utf8
+from .common import pieces_of, saved, small_batches, thrifty, utf8
 
 SIZE = 400
 CROWD = 256
@@ -262,6 +262,7 @@ def with_spans(docs: DataFrame, keep: dict[str, Column], size: int = SIZE, text_
     spans: array of (start, end) in bytes, unordered and overlapping, null where
     there is none. Text is null for rows without spans unless ``text_of_all``.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(*(c.alias(f"_{n}") for n, c in keep.items()), F.xxhash64("doc_id").alias("k"), F.hash("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
     occ = saved(_stretches(rows, size), "stretches")
     often = saved(occ.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor"), "anchors")
