@@ -169,7 +169,7 @@ def _stretches(docs: DataFrame, size: int) -> DataFrame:
                     ["k", "th", "los", "n", "w", "off", "anchor", "digest"],
                 )
 
-    return docs.select("k", "th", "text").mapInArrow(thrifty(run), "k long, th int, los array<int>, n int, w int, off int, anchor long, digest long")
+    return docs.select("k", "th", "text").mapInArrow(thrifty(run), "k long, th long, los array<int>, n int, w int, off int, anchor long, digest long")
 
 
 def _indexed(stretches: DataFrame, size: int) -> DataFrame:
@@ -263,7 +263,7 @@ def with_spans(docs: DataFrame, keep: dict[str, Column], size: int = SIZE, text_
     there is none. Text is null for rows without spans unless ``text_of_all``.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(*(c.alias(f"_{n}") for n, c in keep.items()), F.xxhash64("doc_id").alias("k"), F.hash("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(*(c.alias(f"_{n}") for n, c in keep.items()), F.xxhash64("doc_id").alias("k"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
     occ = saved(_stretches(rows, size), "stretches")
     often = saved(occ.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor"), "anchors")
     again = saved(occ.join(often, "anchor"), "again")

@@ -72,6 +72,14 @@ def test_repeats_small_table(spark, small, odd):
     assert repeats.op3(odd.limit(0)).isEmpty()
 
 
+def test_repeats_of_texts_whose_short_hashes_meet(spark):
+    p, a, b = (" ".join(f"{w}{i}" for i in range(n)) for w, n in (("shared", 80), ("left", 90), ("right", 100)))
+    one, two = f"{p} {a} 2674", f"{b} 64834"
+    df = spark.createDataFrame([(None, one), (None, two), (7, f"other words {p}")], "doc_id long, text string")
+    assert df.filter("doc_id IS NULL").select(F.hash("text")).distinct().count() == 1
+    assert as_rows(repeats.op3(df)) == brute_repeats([tuple(r) for r in df.collect()])
+
+
 def test_run_index():
     rng = random.Random(9)
     for t in range(60):
