@@ -477,6 +477,13 @@ def merged_labels(spark, sf_dir):
     return A.merge_labels(e.select((F.col("l_partkey") % 50).alias("a"), (F.col("l_suppkey") % 50 + 50).alias("b")))
 
 
+@query()
+def merged_keys(spark, sf_dir):
+    """Classes of the keys of parts (2 · key) and suppliers (2 · key + 1) that any row of lineitem links."""
+    e = _table(spark, sf_dir, "lineitem")
+    return A.merge_labels(e.select((F.col("l_partkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b")))
+
+
 # ---------------------------------------------------------------- graphs
 
 

@@ -91,3 +91,10 @@ def test_flagship(spark):
     rows = __spark_entry__.entry(spark).collect()
     nodes = [r for r in rows if r.tag == "n"]
     assert sum(r.n for r in nodes) == 64 * 500 and {r.l1 for r in nodes} == set(range(1, len(nodes) + 1))
+
+
+def test_merged_keys_of_every_row(spark, tmp_path):
+    pairs = [(1, 1, 1.0), (2, 1, 2.0), (2, 2, 50.0), (7, 3, 1.0), (107, 3, 50.0), (57, 4, 3.0)]
+    spark.createDataFrame(pairs, "l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.id: r.root for r in queries.QUERIES["merged_keys"](spark, str(tmp_path)).collect()}
+    assert got == {2: 2, 4: 2, 3: 2, 5: 2, 14: 7, 214: 7, 7: 7, 114: 9, 9: 9}
