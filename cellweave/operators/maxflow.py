@@ -65,18 +65,24 @@ def _local_levels(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": list(level), "level": list(level.values())})
 
 
-def _local_flow(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-    """Blocking flows by levels, from virtual ends; (id, side), and the flow as the row of id -1."""
+def _local_flow(v: pd.DataFrame, e: pd.DataFrame, least: float = 0.0) -> pd.DataFrame:
+    """Blocking flows by levels, from virtual ends; (id, side), and the flow as the row of id -1.
+
+    The flow at the levels of round t is the row of id -2 - 2t, that after its pushes of id -3 - 2t.
+    """
     source, sink = -2, -3
     ends: dict = {}
     to: list = []
     room: list = []
+    floor: list = []  # residuals up to this count as none when levels are found
+    tiny = 1e-12
 
-    def arc(a, b, forward: float, backward: float) -> None:
+    def arc(a, b, forward: float, backward: float, none: float = tiny) -> None:
         for x, y, c in ((a, b, forward), (b, a, backward)):
             ends.setdefault(x, []).append(len(to))
             to.append(y)
             room.append(c)
+            floor.append(none)
 
     for i, s, t in zip(v.id, v.a, v.b, strict=True):
         ends.setdefault(i, [])
@@ -86,16 +92,17 @@ def _local_flow(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
             arc(i, sink, t, 0.0)
     for s, d, c in zip(e.src, e.dst, e.a, strict=True):
         if c > 0:
-            arc(s, d, c, 0.0)
-    flow, tiny = 0.0, 1e-12
+            arc(s, d, c, 0.0, max(least, tiny))
+    flow, told = 0.0, []
     while True:
         level, queue = {source: 0}, deque([source])
         while queue:
             u = queue.popleft()
             for k in ends.get(u, ()):
-                if room[k] > tiny and to[k] not in level:
+                if room[k] > floor[k] and to[k] not in level:
                     level[to[k]] = level[u] + 1
                     queue.append(to[k])
+        told.append(flow)
         if sink not in level:
             break
         at = dict.fromkeys(ends, 0)
@@ -125,14 +132,15 @@ def _local_flow(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
                 at[u] += 1
             else:
                 break
+        told.append(flow)
     into: dict = {}
     for u, ks in ends.items():
         for k in ks:
-            if room[k] > tiny:
+            if room[k] > floor[k]:
                 into.setdefault(to[k], []).append(u)
     reach = _breadth_first([sink], into)
     ids = v.id.tolist()
-    return pd.DataFrame({"id": [*ids, -1], "side": [float(i in reach) for i in ids] + [flow]})
+    return pd.DataFrame({"id": [*ids, -1, *(-2 - i for i in range(len(told)))], "side": [float(i in reach) for i in ids] + [flow, *told]})
 
 
 def levels(vertices: DataFrame, arcs: DataFrame, least: float = 0.0, small: int = SMALL) -> DataFrame:
@@ -169,8 +177,11 @@ def max_flow(vertices: DataFrame, edges: DataFrame, sweeps: int = 4, least: floa
     arcs = saved(arcs_of(edges), "arcs")
     if arcs.count() <= small:
         own = vertices.select("id", "cap_src", "cap_snk")
-        rows = saved(_one_task(own, arcs, _local_flow, "id long, side double"), "flow")
+        rows = saved(_one_task(own, arcs, lambda v, e: _local_flow(v, e, least), "id long, side double"), "flow")
         found = rows.filter("id = -1").first()
+        if trace:
+            for r in rows.filter("id < -1").orderBy(F.desc("id")).collect():
+                trace("push" if r["id"] % 2 else "relabel", (-2 - r["id"]) // 2, r["side"])
         return (found["side"] if found else 0.0), rows.filter("id >= 0").select("id", F.col("side").cast("int").alias("side"))
     state = vertices.select("id", F.col("cap_src").cast("double").alias("excess"), F.col("cap_snk").cast("double").alias("room"), F.lit(0.0).alias("sunk"))
     state = saved(state, "vertices")

@@ -98,3 +98,37 @@ def test_merged_keys_of_every_row(spark, tmp_path):
     spark.createDataFrame(pairs, "l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r.id: r.root for r in queries.QUERIES["merged_keys"](spark, str(tmp_path)).collect()}
     assert got == {2: 2, 4: 2, 3: 2, 5: 2, 14: 7, 214: 7, 7: 7, 114: 9, 9: 9}
+
+
+def test_max_flow_of_the_whole_lattice(spark):
+    v = array(queries.li(spark, SMALL)).astype(int)
+    room = {}
+    for y in range(32):
+        room["s"] = room.get("s", {}) | {(y, 0): 100000}
+        room.setdefault((y, 31), {})["t"] = 100000
+        for x in range(32):
+            for a, b in ((x + 1, y), (x, y + 1), (x - 1, y), (x, y - 1)):
+                if 0 <= a < 32 and 0 <= b < 32:
+                    room.setdefault((x, y), {})[a, b] = 1 + abs(v[y, x] - v[b, a]) % 17
+    want = 0
+    while True:  # shortest paths, one at a time
+        seen, queue = {"s": None}, ["s"]
+        for u in queue:
+            for w, c in room.get(u, {}).items():
+                if c > 0 and w not in seen:
+                    seen[w] = u
+                    queue.append(w)
+        if "t" not in seen:
+            break
+        path, u = [], "t"
+        while seen[u] is not None:
+            path.append((seen[u], u))
+            u = seen[u]
+        d = min(room[a][b] for a, b in path)
+        for a, b in path:
+            room[a][b] -= d
+            back = room.setdefault(b, {})
+            back[a] = back.get(a, 0) + d
+        want += d
+    row = queries.QUERIES["max_flow"](spark, SMALL).first()
+    assert row.flow == row.capacity == want

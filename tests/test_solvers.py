@@ -180,6 +180,18 @@ def test_layered_graph(spark):
     assert maxflow.max_flow(swapped, e)[0] == 8 * 4 * 2
 
 
+@pytest.mark.parametrize("small", [0, maxflow.SMALL])
+def test_max_flow_least_and_trace(spark, small):
+    v = spark.createDataFrame([(0, 9.0, 0.0), (1, 0.0, 0.0), (2, 0.0, 9.0)], "id long, cap_src double, cap_snk double")
+    e = spark.createDataFrame([(0, 0, 1, 5.0, 0.0), (1, 1, 2, 3.0, 0.0), (2, 0, 2, 0.5, 0.0)], "eid long, a long, b long, w_fwd double, w_bwd double")
+    told = []
+    flow, _ = maxflow.max_flow(v, e, small=small, trace=lambda *t: told.append(t))
+    assert flow == 3.5 and told[0] == ("relabel", 0, 0.0) and told[-1][0] == "relabel" and told[-1][2] == 3.5
+    assert [t[0] for t in told] == ["relabel", "push"] * (len(told) // 2) + ["relabel"]
+    none, segments = maxflow.max_flow(v, e, least=5.0, small=small)
+    assert none == 0.0 and {r.id: r.side for r in segments.collect()} == {0: 0, 1: 0, 2: 1}
+
+
 def test_levels(spark):
     arcs = spark.createDataFrame([(0, 0, 1, 1.0), (1, 1, 2, 1.0), (2, 3, 2, 0.0)], "eid long, src long, dst long, res double")
     v = spark.createDataFrame([(i, float(i == 2)) for i in range(4)], "id long, room double")
