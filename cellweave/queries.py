@@ -515,7 +515,10 @@ def max_flow(spark, sf_dir):
 
 @query()
 def grid_segmentation(spark, sf_dir):
-    g = stencil.subview(li(spark, sf_dir), (0, 0), (8, 8)).add(m=F.when((F.col("x") == 2) & (F.col("y") == 2), 128).when((F.col("x") == 5) & (F.col("y") == 5), 255).otherwise(0))
+    g = li(spark, sf_dir)
+    w, h = g.size
+    near, far = ((F.col("x") == w * k // 8) & (F.col("y") == h * k // 8) for k in (2, 5))
+    g = g.add(m=F.when(near, 128).when(far, 255).otherwise(0))
     return pipelines.grid_segmentation(g, sigma=0.01).df
 
 
@@ -574,8 +577,9 @@ def reaction_image(spark, sf_dir):
 
 @query()
 def region_segmentation(spark, sf_dir):
-    g = stencil.subview(li(spark, sf_dir), (0, 0), (12, 12))
-    mask = g.map(m=F.when(F.col("x") < 2, 128).when(F.col("x") > 9, 255).otherwise(0))
+    g = li(spark, sf_dir)
+    rim = g.size[0] // 6
+    mask = g.map(m=F.when(F.col("x") < rim, 128).when(F.col("x") >= g.size[0] - rim, 255).otherwise(0))
     return pipelines.region_segmentation(g, mask).df
 
 

@@ -132,3 +132,11 @@ def test_max_flow_of_the_whole_lattice(spark):
         want += d
     row = queries.QUERIES["max_flow"](spark, SMALL).first()
     assert row.flow == row.capacity == want
+
+
+@pytest.mark.parametrize("name", ["grid_segmentation", "region_segmentation"])
+def test_segmentations_of_the_whole_grid(spark, name):
+    side = {(r.x, r.y): r.side for r in queries.QUERIES[name](spark, SMALL).collect()}
+    assert set(side) == {(x, y) for x in range(32) for y in range(32)}
+    if name == "grid_segmentation":
+        assert side[8, 8] == 0 and side[20, 20] == 1
