@@ -200,25 +200,31 @@ def watershed_plateaus(grid: Grid, column: str = "v", offsets: list[Offset] | No
     return grid.of(joined.withColumn("label", F.coalesce("root", "id") + 1).drop("id", "root"))
 
 
-def watershed_simple(grid: Grid, column: str = "v", offsets: list[Offset] | None = None, limit: int = 200) -> tuple[Grid, bool]:
+def watershed_simple(grid: Grid, column: str = "v", offsets: list[Offset] | None = None) -> tuple[Grid, bool]:
     """Every cell takes the label of the neighbour it descends to, step by step, from unique labels.
 
     Plateaus can make labels swing for ever: returns the state and whether it
-    is stable; a state equal to the one before the last ends the steps.
+    is stable. Steps are doubled until that moves no label, or there were as
+    many as cells: then only swinging labels are not at the end of their descent.
     """
     offsets = offsets or von_neumann(len(grid.axes))
     base = lower_completion(grid, column, column)
-    fixed = saved(_descent(base, column, offsets, "_to").df.withColumn("id", grid.index()).select("*", (F.col("id") + 1).alias("label"), F.lit(-1).cast("long").alias("_prior")), "descent")
-    state = fixed
-    for _ in range(limit):
-        below = state.select(F.col("id").alias("_to"), F.col("label").alias("_new"))
-        moved = state.join(below, "_to", "left").select(*grid.coords, column, "_to", "id", F.coalesce("_new", "label").alias("label"), F.col("label").alias("_last"), "_prior")
-        moved = saved(moved, "simple")
-        changed = moved.agg(F.sum((F.col("label") != F.col("_last")).cast("int")), F.sum((F.col("label") != F.col("_prior")).cast("int"))).first()
-        state = moved.withColumn("_prior", F.col("_last")).drop("_last")
-        if not changed[0] or not changed[1]:
-            return grid.of(state.drop("_to", "id", "_prior")), not changed[0]
-    return grid.of(state.drop("_to", "id", "_prior")), False
+    fixed = saved(_descent(base, column, offsets, "_to").df.withColumn("id", grid.index()), "descent")
+    cells = 1
+    for n in grid.size:
+        cells *= n
+    one = fixed.select("id", F.coalesce("_to", "id").alias("root"))
+    state = one
+    for _ in range(cells.bit_length()):
+        far = state.select(F.col("id").alias("root"), F.col("root").alias("far"))
+        state = saved(state.join(far, "root").select("id", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")), "simple")
+        if state.filter("moved").isEmpty():
+            break
+        state = state.drop("moved")
+    ahead = one.select(F.col("id").alias("root"), F.col("root").alias("far"))
+    stable = state.join(ahead, "root").filter("far != root").isEmpty()
+    named = state.select("id", (F.col("root") + 1).alias("label"))
+    return grid.of(fixed.drop("_to").join(named, "id").drop("id")), stable
 
 
 def merge_labels(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -232,6 +238,11 @@ def relabel(labels: DataFrame, table: DataFrame, column: str = "label") -> DataF
     return labels.join(t, column, "left").withColumn(column, F.coalesce("root", column)).drop("root")
 
 
+def _simple(grid: Grid, *args, **kwargs) -> Grid:
+    found, stable = watershed_simple(grid, *args, **kwargs)
+    return found.add(stable=F.lit(stable))
+
+
 #: Methods of watershed by name.
 WATERSHEDS = {
     "distance": watershed_distance,
@@ -239,12 +250,15 @@ WATERSHEDS = {
     "descent_pointer": watershed_pointers,
     "descent_gs": watershed_merged,
     "plateaus": watershed_plateaus,
-    "descent_simple": lambda g, *a, **k: watershed_simple(g, *a, **k)[0],
+    "descent_simple": _simple,
 }
 
 
 def watershed(grid: Grid, column: str = "v", method: str = "distance") -> Grid:
-    """Watershed labels in a column ``label``, by the method named."""
+    """Watershed labels in a column ``label``, by the method named.
+
+    descent_simple adds a column ``stable``: false in every cell if any label swings for ever.
+    """
     if method not in WATERSHEDS:
         raise ValueError(f"no watershed method {method}; there are {', '.join(WATERSHEDS)}")
     return WATERSHEDS[method](grid, column)

@@ -468,7 +468,7 @@ def watershed_plateaus(spark, sf_dir):
 
 @query()
 def watershed_simple(spark, sf_dir):
-    return A.watershed(li(spark, sf_dir), method="descent_simple").map(label=F.col("label")).df
+    return A.watershed(li(spark, sf_dir), method="descent_simple").map(label=F.col("label"), stable=F.col("stable")).df
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 50 AS a, l_suppkey % 50 + 50 AS b FROM lineitem WHERE l_quantity > 49 AND l_partkey % 7 = 0), s AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, u) AS (SELECT a, a FROM s UNION SELECT r.id, s.b FROM r JOIN s ON s.a = r.u) SELECT id, min(u) AS root FROM r GROUP BY id""")

@@ -129,6 +129,16 @@ def test_watersheds(spark):
         A.watershed(of(spark, v), method="none")
 
 
+def test_simple_watershed_of_a_long_descent(spark):
+    ramp = np.arange(260).reshape(1, 260)
+    found, stable = A.watershed_simple(of(spark, ramp))
+    assert stable and set(array(found, "label")[0]) == {1}
+    g = A.watershed(of(spark, ramp), method="descent_simple").df
+    assert g.filter("stable AND label = 1").count() == 260
+    flat = A.watershed(of(spark, np.zeros((2, 2), int)), method="descent_simple").df
+    assert flat.filter("NOT stable").count() == 4
+
+
 def plain_flow(n, edges, src, snk):
     cap = {}
     for a, b, f, w in edges:
