@@ -254,14 +254,15 @@ WATERSHEDS = {
 }
 
 
-def watershed(grid: Grid, column: str = "v", method: str = "distance") -> Grid:
+def watershed(grid: Grid, column: str = "v", method: str = "distance", offsets: list[Offset] | None = None) -> Grid:
     """Watershed labels in a column ``label``, by the method named.
 
+    offsets: the neighbourhood (all cells around).
     descent_simple adds a column ``stable``: false in every cell if any label swings for ever.
     """
     if method not in WATERSHEDS:
         raise ValueError(f"no watershed method {method}; there are {', '.join(WATERSHEDS)}")
-    return WATERSHEDS[method](grid, column)
+    return WATERSHEDS[method](grid, column, offsets or moore(len(grid.axes)))
 
 
 __all__ = ["Automaton", "conway", "label_components", "local_minima", "merge_labels", "reaction_diffusion", "regional_minima", "relabel", "roots", "watershed"]

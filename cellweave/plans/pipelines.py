@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import cells as C
 from ..grid import Grid
 from ..operators import automata, filters, maxflow, reduce
+from ..operators.stencil import moore
 from ..sources.generate import lattice
 from .storage import saved
 
@@ -28,7 +29,7 @@ def edge_components(rgb: Grid, at: int = 80) -> Grid:
 def region_graph(grid: Grid, column: str = "v") -> DataFrame:
     """Regions of the gradient's watershed and their graph: tag n or e, labels, counts and sums."""
     edge = filters.backward_magnitude(grid, column, "g")
-    regions = automata.watershed_merged(edge, "g", complete=False)
+    regions = automata.watershed_merged(edge, "g", moore(len(grid.axes)), complete=False)
     regions = regions.of(saved(reduce.dense_labels(regions.df), "regions"))
     nodes = reduce.region_nodes(regions, column="g").select(F.lit("n").alias("tag"), F.col("label").alias("l1"), F.lit(0).cast("long").alias("l2"), "n", F.col("s").cast("double").alias("s"))
     edges = reduce.region_edges(regions, column="g").select(F.lit("e").alias("tag"), "l1", "l2", "n", "s")
@@ -54,7 +55,7 @@ def grid_segmentation(grid: Grid, column: str = "v", mask: str = "m", sigma: flo
 
 def region_segmentation(grid: Grid, mask: Grid, column: str = "v", strong: float = 1e4) -> Grid:
     """Minimum cut of the region graph between marked regions: side 1 for cells of regions on the side of markers 255."""
-    regions = automata.watershed_merged(grid, column, complete=False)
+    regions = automata.watershed_merged(grid, column, moore(len(grid.axes)), complete=False)
     regions = regions.of(saved(regions.df, "regions"))
     marks = reduce.markers(regions.map(label=F.col("label")), mask)
     edges = saved(reduce.region_edges(regions, column=column), "edges")

@@ -139,6 +139,17 @@ def test_simple_watershed_of_a_long_descent(spark):
     assert flat.filter("NOT stable").count() == 4
 
 
+@pytest.mark.parametrize("method", ["distance", "descent_pointer", "descent_gs", "plateaus", "descent_simple"])
+def test_watersheds_spread_over_corners(spark, method):
+    g = A.watershed(of(spark, np.array([[0, 9], [9, 5]])), method=method)
+    assert (array(g, "label") == 1).all()
+    if method == "distance":
+        assert array(g, "distance")[1, 1] == 5
+    if method == "descent_gs":
+        four = A.watershed(of(spark, np.array([[0, 9], [9, 5]])), method=method, offsets=stencil.von_neumann(2))
+        assert array(four, "label")[1, 1] == 4
+
+
 def plain_flow(n, edges, src, snk):
     cap = {}
     for a, b, f, w in edges:
