@@ -182,6 +182,24 @@ def watershed_merged(grid: Grid, column: str = "v", offsets: list[Offset] | None
     return grid.of(pointed.join(found, "id", "left").withColumn("label", F.coalesce("root", "id") + 1).drop("id", "root", "_to"))
 
 
+def watershed_smaller(grid: Grid, column: str = "v", offsets: list[Offset] | None = None, complete: bool = True) -> Grid:
+    """Merging with neighbours that are not above the cell and have a smaller label, from unique labels.
+
+    Of these the smallest is taken, the last of equals; rounds run until no cell has one.
+    """
+    offsets = offsets or moore(len(grid.axes))
+    base = lower_completion(grid, column, column) if complete else grid
+    state = saved(base.add(label=(grid.index() + 1).cast("long")).df, "smaller")
+    while True:
+        g = neighbours(neighbours(grid.of(state), "label", offsets[1:], "none", out="_ls"), column, offsets[1:], "none", out="_vs")
+        ranked = F.transform(F.sequence(F.lit(0), F.lit(len(offsets) - 2)), lambda i: F.struct(F.get("_vs", i).alias("v"), (-i).alias("k"), F.get("_ls", i).alias("l")))
+        best = F.array_min(F.filter(ranked, lambda s: (s["v"] <= F.col(column)) & (s["l"] < F.col("label"))))
+        links = saved(g.df.select(F.col("label").alias("a"), best["l"].alias("b")).filter("b IS NOT NULL"), "links")
+        if links.isEmpty():
+            return grid.of(state)
+        state = saved(relabel(state, components(links)), "smaller")
+
+
 def watershed_plateaus(grid: Grid, column: str = "v", offsets: list[Offset] | None = None) -> Grid:
     """As ``watershed_merged``, with plateaus told apart: a cell joins its smallest strictly lower neighbour (first of equals), a cell without one its plateau neighbours that have none either."""
     offsets = offsets or moore(len(grid.axes))
@@ -249,6 +267,7 @@ WATERSHEDS = {
     "distance_async": watershed_distance,
     "descent_pointer": watershed_pointers,
     "descent_gs": watershed_merged,
+    "descent_smaller": watershed_smaller,
     "plateaus": watershed_plateaus,
     "descent_simple": _simple,
 }

@@ -150,6 +150,39 @@ def test_watersheds_spread_over_corners(spark, method):
         assert array(four, "label")[1, 1] == 4
 
 
+def smaller_steps(v):
+    """Synchronous rounds of merging with lower neighbours of smaller label."""
+    h, w = v.shape
+    label = np.arange(h * w).reshape(h, w) + 1
+    while True:
+        root = {int(i): int(i) for i in label.ravel()}
+
+        def find(i, root=root):
+            return i if root[i] == i else find(root[i])
+
+        moved = False
+        for y in range(h):
+            for x in range(w):
+                low, to = v[y, x], None
+                for dx, dy in MOORE:
+                    a, b = x + dx, y + dy
+                    if 0 <= a < w and 0 <= b < h and v[b, a] <= low and label[b, a] < label[y, x]:
+                        low, to = v[b, a], int(label[b, a])
+                if to is not None:
+                    p, q = sorted((find(int(label[y, x])), find(to)))
+                    root[q], moved = p, True
+        if not moved:
+            return label
+        label = np.array([find(int(i)) for i in label.ravel()]).reshape(h, w)
+
+
+def test_watershed_of_smaller_labels(spark):
+    row = A.watershed(of(spark, np.array([[3, 5, 1]])), method="descent_smaller")
+    assert array(row, "label").tolist() == [[1, 1, 3]]
+    v = np.random.default_rng(5).integers(0, 9, (7, 8))
+    assert (array(A.watershed_smaller(of(spark, v), complete=False), "label") == smaller_steps(v)).all()
+
+
 def plain_flow(n, edges, src, snk):
     cap = {}
     for a, b, f, w in edges:
