@@ -17,6 +17,10 @@ from cellweave.llm.repeats import remove_repeats
 from cellweave.llm.secrets import redact
 from cellweave.llm.simhash import keep_one
 
+#: Bytes of the shortest stretch that counts as a repeated passage: the passages
+#: looked for have over 50 words, which are 300 bytes at the least.
+PASSAGE = 256
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality classifier, trained on the labelled ones, does not reject."""
@@ -29,8 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes that repeated stretches of 400 bytes cover."""
-    return remove_repeats(docs)
+    """All documents, without the bytes that repeated stretches of ``PASSAGE`` bytes cover."""
+    return remove_repeats(docs, PASSAGE)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
