@@ -36,6 +36,20 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
+def _smallest(h: np.ndarray, width: int) -> np.ndarray:
+    """For every window of ``width`` hashes the place of its smallest, the leftmost of equals.
+
+    The low bits of the hashes give way to their places, so that one sliding
+    minimum finds both; where that has hidden a smaller hash, the window is
+    looked through again. What is found thus depends on the window alone.
+    """
+    bits = np.uint64(int(len(h)).bit_length())
+    at = (_sliding_min((h >> bits << bits) | np.arange(len(h), dtype=np.uint64), width) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    for i in np.flatnonzero(h[at] != _sliding_min(h, width)):
+        at[i] = i + np.argmin(h[i : i + width])
+    return at
+
+
 def anchors(texts: list[bytes], size: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(text, first window start, last window start, anchor) of every stretch of windows with one anchor.
 
@@ -48,10 +62,7 @@ def anchors(texts: list[bytes], size: int, gram: int = GRAM) -> tuple[np.ndarray
         return none
     ends = np.cumsum([len(t) for t in texts])
     starts = ends - [len(t) for t in texts]
-    bits = int(len(joined)).bit_length()
-    h = _grams(joined, gram)
-    h = (h >> np.uint64(bits) << np.uint64(bits)) | np.arange(len(h), dtype=np.uint64)
-    at = (_sliding_min(h, size - gram + 1) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    at = _smallest(_grams(joined, gram), size - gram + 1)
     of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])[: len(at)]
     inside = np.flatnonzero(np.arange(len(at)) + size <= ends[of])
     if not len(inside):

@@ -1,17 +1,20 @@
-"""What the text operators share: shared-folder storage, tables, batch reading."""
+"""What the text operators share: tables, batch reading, joins on hot keys."""
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..plans.storage import saved, shared_dir
+
+__all__ = ["batches_of", "hot_join", "pieces_of", "release", "saved", "shared_dir", "table", "thrifty", "utf8"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,36 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    A folder of this machine is used, and set as checkpoint folder, only where
-    the session names none, as in tests.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(found)
-        return found.rstrip("/")
-    if (own := spark.sparkContext.getCheckpointDir()) is not None:
-        return own.rstrip("/")
-    own = "file://" + os.path.join(tempfile.gettempdir(), "cellweave-checkpoints")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-def saved(df: DataFrame, name: str = "t") -> DataFrame:
-    """``df`` written as parquet to the shared folder and read back.
-
-    Cuts lineage: what follows reads files that outlive any executor, and joins
-    on the result are plain exchanges, which adaptive execution can split.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cellweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def pieces_of(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose texts hold about ``limit`` bytes at most.
 
@@ -70,9 +43,29 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """From now on send at most ``rows`` rows a batch to Python in this session: whole texts are large."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs inside send at most ``rows`` rows a batch to Python: whole texts are large. The setting is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def hot_join(big: DataFrame, small: DataFrame, on: list[str], n: str, total: int, share: int = 1000) -> DataFrame:
+    """``big`` joined with ``small`` on ``on``, where ``n`` of ``small`` counts the rows of ``big`` (``total`` in all) with its key.
+
+    Keys that hold more than one row in ``share`` of ``big`` are ``share`` at
+    most; theirs go by broadcast, so that no task gathers a hot key.
+    """
+    often = F.col(n) * share > total
+    hot = small.filter(often)
+    many = big.join(F.broadcast(hot), on)
+    rest = big.join(F.broadcast(hot.select(*on).distinct()), on, "left_anti")
+    return rest.join(small.filter(~often), on).unionByName(many)
 
 
 def release() -> None:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces_of, saved, small_batches, thrifty
+from .common import batches_of, pieces_of, saved, thrifty
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -371,8 +371,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
     ids of the pieces too. A null or empty text is one piece of one end id; a
     null doc_id is a document like any other. An empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
-    made = saved(token_pieces(docs, path or tokenizer_path(), capacity, with_ids), "pieces")
+    with batches_of(docs.sparkSession):
+        made = saved(token_pieces(docs, path or tokenizer_path(), capacity, with_ids), "pieces")
     return pack(made, capacity)
 
 

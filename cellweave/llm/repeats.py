@@ -1,21 +1,23 @@
 """Removal of repeated stretches of bytes by run-length indexes.
 
 Every window of ``size`` bytes has an anchor gram that content alone chooses
-(``anchors``), so windows can only be equal if their anchors are. Stretches of
-windows with one anchor are counted by (anchor, digest of the stretch): what
-occurs twice is repeated as it stands, so copies of whole texts cost one row a
-stretch. What is left are the stretches around the edges of repeats. They are
-brought together by anchor, and for each bounded batch of anchors a
-run-compressed Burrows-Wheeler transform of their stretches is built with
-samples at the ends of its runs. The longest match of each position with any
-other is streamed from the samples: between two of them it only loses a byte a
-step. Windows whose match has ``size`` bytes or more are repeated.
-
-An anchor with more than ``CROWD`` distinct stretches is not put into one batch.
-Its windows are counted in blocks instead, lined up by the anchor: if the bytes
-that all windows of a block share occur once, none of them is repeated; if all
-bytes of a block occur twice, all of them are; only blocks between the two are
-halved further, down to single windows. Each count has its own digest as key.
+(``anchors``), so windows can only be equal if their anchors are. A stretch is
+what the windows of one place with one anchor cover; all stretches of an anchor
+that occurs twice are brought together, and for each bounded batch of anchors a
+run-compressed Burrows-Wheeler transform of them is built, with samples at the
+ends of its runs. The longest match of each position with any other is streamed
+from the samples: between two of them it only loses a byte a step. Windows whose
+match has ``size`` bytes or more are repeated; nothing else decides that.
+
+Stretches that are equal byte by byte enter an index twice at most, however
+often they occur, which changes no match: so copies of whole texts cost two
+strings a stretch, and these fall into the same runs.
+
+An anchor with more than ``CROWD`` distinct stretches does not fit a bounded
+batch. Its stretches are cut into blocks of windows, lined up by the anchor, and
+the bytes that all windows of a block share take the place of the anchor: equal
+windows still meet. Groups that are still too large are cut finer, down to
+single windows, of which all are equal.
 """
 
 from __future__ import annotations
@@ -29,47 +31,53 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import anchors
-from .common import pieces_of, saved, small_batches, thrifty, utf8
+from .anchors import GRAM, anchors
+from .common import batches_of, hot_join, pieces_of, saved, thrifty, utf8
 
 SIZE = 400
-CROWD = 256
-#: Sizes of the blocks in which windows of crowded anchors are counted.
+#: Bytes of the passages that ``op3`` reports beside its contract: fewer than 51 short words have.
+PASSAGE = 256
+CROWD = 64
+#: Windows in a block of a crowded anchor, from one round to the next.
 STEPS = (64, 8, 1)
 BATCH = 1 << 19
+_SPANS = "array<struct<start:int,end:int>>"
 
 
 class RunIndex:
     """A run-compressed Burrows-Wheeler transform of a byte text, sampled at run ends.
 
-    Byte 0xFF does not occur in UTF-8; codes are bytes plus one, and 0 ends each
-    string. ``heads`` and ``tails`` are text positions of the first and last row
-    of each run, ``runs`` the first row and code of each run.
+    Byte 0xFF does not occur in UTF-8; codes are ranks of the bytes that occur,
+    and 0 ends each string. ``heads`` and ``tails`` are text positions of the
+    first and last row of each run, ``runs`` the first row and code of each run.
+    Suffixes are sorted by their first codes, then by twice as many with each
+    round; ``ranks`` keeps the order by so many codes.
     """
 
     def __init__(self, strings: list[bytes]):
-        text = np.zeros(sum(len(s) + 1 for s in strings), dtype=np.uint8)
         raw = np.frombuffer(b"\xff".join(strings) + b"\xff", dtype=np.uint8)
-        np.add(raw, 1, out=text)
-        self.text, n = text, len(text)
-        padded = np.concatenate((text, np.zeros(8, np.uint8))).astype(np.uint64)
+        met = np.zeros(256, dtype=bool)
+        met[raw] = True
+        met[255] = False
+        code = np.cumsum(met, dtype=np.uint8)
+        code[255] = 0
+        self.text = text = code[raw]
+        n = len(text)
+        place, width = n.bit_length(), max(int(code[254]).bit_length(), 1)
+        self.first = depth = max(min((64 - place) // width, n), 1)
         key = np.zeros(n, dtype=np.uint64)
-        for j in range(8):
-            key = (key << np.uint64(8)) | padded[j : j + n]
+        padded = np.concatenate((text, np.zeros(depth, np.uint8)))
+        for j in range(depth):
+            key <<= np.uint64(width)
+            key |= padded[j : j + n]
         self.ranks: dict[int, np.ndarray] = {}
-        depth = 8
         while True:
-            order = np.argsort(key)
-            ordered = key[order]
-            rank = np.zeros(n, dtype=np.uint32)
-            rank[order] = np.cumsum(np.concatenate(([1], ordered[1:] != ordered[:-1]))).astype(np.uint32)
+            order, rank = self._sorted(key, place)
             self.ranks[depth] = rank
             if int(rank[order[-1]]) == n:
                 break
-            ahead = np.zeros(n, dtype=np.uint64)
-            if depth < n:
-                ahead[: n - depth] = rank[depth:]
-            key = (rank.astype(np.uint64) << np.uint64(32)) | ahead
+            key = rank.astype(np.uint64) << np.uint64(place)
+            key[: max(n - depth, 0)] |= rank[depth:]
             depth *= 2
         last = text[order - 1].astype(np.int16)  # the code before each suffix
         last[order == 0] = -1  # nothing stands before the first: a run of its own
@@ -81,6 +89,21 @@ class RunIndex:
         # longest common prefixes at the borders between runs, the irreducible ones
         self.border = self._common(self.heads[1:], self.tails[:-1])
 
+    @staticmethod
+    def _sorted(key: np.ndarray, place: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in the order of ``key``, and the rank from 1 of each position, equal for equal keys."""
+        n = len(key)
+        if int(key.max()).bit_length() + place <= 64:  # key and position in one word: sorting words is fast
+            word = np.sort((key << np.uint64(place)) | np.arange(n, dtype=np.uint64))
+            order = (word & np.uint64((1 << place) - 1)).astype(np.int64)
+            ordered = word >> np.uint64(place)
+        else:
+            order = np.argsort(key, kind="stable")
+            ordered = key[order]
+        rank = np.empty(n, dtype=np.uint32)
+        rank[order] = np.cumsum(np.concatenate(([True], ordered[1:] != ordered[:-1])), dtype=np.uint32)
+        return order, rank
+
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         a, b = a.copy(), b.copy()
         n = len(self.text)
@@ -88,12 +111,11 @@ class RunIndex:
         for depth in sorted(self.ranks, reverse=True):
             rank = self.ranks[depth]
             inside = (a < n) & (b < n)
-            same = inside & (rank[np.minimum(a, n - 1)] == rank[np.minimum(b, n - 1)])
-            step = np.where(same, depth, 0)
+            step = np.where(inside & (rank[np.minimum(a, n - 1)] == rank[np.minimum(b, n - 1)]), depth, 0)
             total += step
             a += step
             b += step
-        for _ in range(7):
+        for _ in range(self.first - 1):
             inside = (a < n) & (b < n)
             same = inside & (self.text[np.minimum(a, n - 1)] == self.text[np.minimum(b, n - 1)])
             total += same
@@ -133,16 +155,20 @@ def repeated_windows(strings: list[bytes], size: int) -> list[tuple[np.ndarray,
     return out
 
 
+def _signed(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
+
+
 def _stretches(docs: DataFrame, size: int) -> DataFrame:
-    """k, th, los, n, w, off, anchor, digest: distinct stretches of windows with one anchor, of every text.
+    """t1, t2, k, los, n, w, off, anchor, digest: distinct stretches of windows with one anchor, of every text.
 
     A stretch has w windows from each of the n bytes los of its text, and its
-    anchor off bytes further. Text that repeats itself at short range thus
-    costs a row a text, not a row a period.
+    anchor off bytes further. Text that repeats itself at short range thus costs
+    a row a text, not a row a period.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h64, signed = xxhash.xxh3_64_intdigest, lambda x: np.array(x, dtype=np.uint64).view(np.int64)
+        h64 = xxhash.xxh3_64_intdigest
         for whole in batches:
             for b in pieces_of(whole, "text", 1 << 20):
                 texts = utf8(b.column("text"))
@@ -161,139 +187,162 @@ def _stretches(docs: DataFrame, size: int) -> DataFrame:
                     los.append([s])
                     w.append(e - s + 1)
                     off.append(p - s)
-                    anchor.append(h64(x[p : p + 64]))
+                    anchor.append(h64(x[p : p + GRAM]))
                     digest.append(d)
                 rows = pa.array(of, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("k").take(rows), b.column("th").take(rows), pa.array(los, pa.list_(pa.int32())), pa.array([len(v) for v in los], pa.int32()), pa.array(w, pa.int32()), pa.array(off, pa.int32()), pa.array(signed(anchor)), pa.array(signed(digest))],
-                    ["k", "th", "los", "n", "w", "off", "anchor", "digest"],
+                    [*(b.column(c).take(rows) for c in ("t1", "t2", "k")), pa.array(los, pa.list_(pa.int32())), pa.array([len(v) for v in los], pa.int32()), pa.array(w, pa.int32()), pa.array(off, pa.int32()), _signed(anchor), _signed(digest)],
+                    ["t1", "t2", "k", "los", "n", "w", "off", "anchor", "digest"],
                 )
 
-    return docs.select("k", "th", "text").mapInArrow(thrifty(run), "k long, th long, los array<int>, n int, w int, off int, anchor long, digest long")
+    return docs.select("t1", "t2", "k", "text").mapInArrow(thrifty(run), "t1 long, t2 long, k long, los array<int>, n int, w int, off int, anchor long, digest long")
 
 
-def _indexed(stretches: DataFrame, size: int) -> DataFrame:
-    """anchor, digest, first, last: repeated windows of stretches that occur once, by run-length indexes.
+def _strings(candidates: DataFrame, size: int) -> DataFrame:
+    """g, d, n, many, off, bytes: the stretches that ``reps`` of each row names. Rows that repeat one text give them once a task."""
 
-    stretches: anchor, digest, n, bytes; those of one anchor are together.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple[int, int]] = set()
+        names = ["g", "d", "n", "many", "off", "bytes"]
+        for b in (b for whole in batches for b in pieces_of(whole, "text", 1 << 20)):
+            found: list[list] = [[] for _ in names]
+            for key, x, reps in zip(zip(b.column("t1").to_pylist(), b.column("t2").to_pylist(), strict=True), utf8(b.column("text")), b.column("reps").to_pylist(), strict=True):
+                if key in done:
+                    continue
+                done.add(key)
+                for r in reps:
+                    for c, v in zip(found, (*(r[c] for c in names[:-1]), x[r["lo"] : r["lo"] + r["w"] - 1 + size]), strict=True):
+                        c.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, kinds, strict=True)], names)
+
+    return candidates.filter(F.size("reps") > 0).select("t1", "t2", "text", "reps").mapInArrow(thrifty(run), "g long, d long, n int, many long, off int, bytes binary")
+
+
+def _indexed(strings: DataFrame, size: int) -> DataFrame:
+    """g, d, first, last: repeated windows of strings, by run-length indexes.
+
+    strings: g, d, n, bytes; those of one g are together. One that occurs twice
+    (n) stands in its index twice.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(rows: list[tuple]) -> pa.RecordBatch:
-            found = [x for x in zip(rows, repeated_windows([r[3] for r in rows], size), strict=True) if x[0][2] == 1]
-            out = [(r[0], r[1], int(a), int(z)) for r, (first, last) in found for a, z in zip(first, last, strict=True)]
-            cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["anchor", "digest", "first", "last"])
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        copies = [min(r[2], 2) for r in rows]
+        found = repeated_windows([r[3] for r, n in zip(rows, copies, strict=True) for _ in range(n)], size)
+        at = np.cumsum([0, *copies[:-1]]).tolist()
+        out = [(r[0], r[1], x, y) for r, i in zip(rows, at, strict=True) for x, y in zip(found[i][0].tolist(), found[i][1].tolist(), strict=True)]
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["g", "d", "first", "last"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         total = 0
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("anchor", "digest", "n", "bytes")), strict=True):
+            for row in zip(*(b.column(c).to_pylist() for c in ("g", "d", "n", "bytes")), strict=True):
+                if held and row[:2] == held[-1][:2]:
+                    continue  # the same string, from another task
                 if held and row[0] != held[-1][0] and total > BATCH:
                     yield solve(held)
                     held, total = [], 0
                 held.append(row)
-                total += len(row[3])
+                total += len(row[3]) * min(row[2], 2)
         if held:
             yield solve(held)
 
-    return stretches.mapInArrow(thrifty(run), "anchor long, digest long, first int, last int")
+    ordered = strings.select("g", "d", "n", "bytes").repartition("g").sortWithinPartitions("g", "d")
+    return ordered.mapInArrow(thrifty(run), "g long, d long, first int, last int")
 
 
-def _blocks(step: int, before: int, size: int):
-    """Blocks of ``step`` windows of each stretch, of those among ``active`` blocks of ``before`` windows."""
+def _blocks(step: int, size: int):
+    """Blocks of ``step`` windows of each string: of which string, its first window in it, and what it is as a string."""
     far = 1 << 20  # keeps places relative to the anchor positive
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, mask = xxhash.xxh3_128_digest, (1 << 64) - 1
+        h64, mask = xxhash.xxh3_64_intdigest, (1 << 64) - 1
         for b in batches:
             out: list[tuple] = []
-            inner, outer = [], []
-            for anchor, own, n, off, x, active in zip(*(b.column(c).to_pylist() for c in ("anchor", "digest", "n", "off", "bytes", "active")), strict=True):
-                w = len(x) - size + 1
-                base = far - off
-                seen = set(active) if active is not None else None
+            keys: tuple[list[int], list[int]] = ([], [])
+            for g, d, n, off, x in zip(*(b.column(c).to_pylist() for c in ("g", "d", "n", "off", "bytes")), strict=True):
+                w, base = len(x) - size + 1, far - off
                 for k in range(base // step, (base + w - 1) // step + 1):
-                    if seen is not None and k * step // before not in seen:
-                        continue
                     low = k * step - base
                     first, last = max(low, 0), min(low + step - 1, w - 1)
-                    inner.append(digest(x[low + step - 1 : low + size], (anchor * 31 + k) & mask))
-                    outer.append(digest(x[first : last + size], (anchor * 31 + first + base) & mask))
-                    out.append((anchor, own, min(n, 2), k, first, last))
+                    part = x[first : last + size]
+                    keys[0].append(h64(x[low + step - 1 : low + size], (g * 31 + k) & mask))
+                    keys[1].append(h64(part, first - low))
+                    out.append((g, d, min(n, 2), first, off - first, part))
             cols = list(zip(*out, strict=True)) or [()] * 6
-            h = [np.frombuffer(b"".join(v), dtype=np.int64).reshape(-1, 2) for v in (inner, outer)]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
             made = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*made, *(pa.array(v[:, i].copy()) for v in h for i in (0, 1))], ["anchor", "digest", "n", "k", "first", "last", "i1", "i2", "u1", "u2"])
+            yield pa.RecordBatch.from_arrays([*made, *map(_signed, keys)], ["pg", "pd", "n", "start", "off", "bytes", "g", "d"])
 
     return run
 
 
-def _counted(stretches: DataFrame, size: int) -> DataFrame:
-    """As ``_indexed``, for anchors of any number of stretches, in blocks of windows.
+def _decided(strings: DataFrame, size: int, crowd: int, steps: tuple[int, ...] = STEPS) -> DataFrame:
+    """As ``_indexed``, for groups g of any number of strings.
 
-    stretches: anchor, digest, n, off, bytes. Stretches that occur twice count
-    twice; each round keeps the blocks that share their inner bytes with one
-    that is not decided.
+    strings: a saved table of g, d, n, many (distinct strings of the group), off,
+    bytes. Groups of more than ``crowd`` strings are cut into blocks of windows,
+    which are strings of groups of their own.
     """
-    held = saved(stretches, "crowded")
-    active: DataFrame | None = None
-    marks: DataFrame | None = None
-    schema = "anchor long, digest long, n int, k int, first int, last int, i1 long, i2 long, u1 long, u2 long"
-    for i, step in enumerate(STEPS):
-        source = held.withColumn("active", F.lit(None).cast("array<int>")) if i == 0 else held.join(active, ["anchor", "digest"])
-        rows = saved(source.mapInArrow(thrifty(_blocks(step, STEPS[max(i - 1, 0)], size)), schema), "blocks")
-        inner, outer = ["i1", "i2"], ["u1", "u2"]
-        each = saved(rows.groupBy(*inner, *outer).agg(F.sum("n").alias("all")), "outer")
-        hit = rows.filter("n = 1").join(each.filter(F.col("all") > 1).select(*inner, *outer), [*inner, *outer]).select("anchor", "digest", "first", "last")
-        marks = hit if marks is None else marks.unionByName(hit)
-        if step > 1:
-            open_ = each.groupBy(*inner).agg(F.sum("all").alias("n"), F.min("all").alias("least")).filter("n > 1 AND least = 1")
-            left = rows.join(saved(open_.select(*inner), "open"), inner)
-            active = saved(left.groupBy("anchor", "digest").agg(F.collect_list("k").alias("active")), "active")
-    return marks
-
-
-def with_spans(docs: DataFrame, keep: dict[str, Column], size: int = SIZE, text_of_all: bool = False, crowd: int = CROWD) -> DataFrame:
-    """The columns ``keep`` of every row of ``docs``, its text, and ``spans``: what of it is repeated.
+    found = _indexed(strings.filter(F.col("many") <= crowd) if steps else strings, size)
+    full = strings.filter(F.col("many") > crowd)
+    if not steps or full.isEmpty():
+        return found
+    schema = "pg long, pd long, n int, start int, off int, bytes binary, g long, d long"
+    rows = saved(full.dropDuplicates(["g", "d"]).mapInArrow(thrifty(_blocks(steps[0], size)), schema), "blocks")
+    kinds = rows.groupBy("g", "d").agg(F.sum("n").cast("int").alias("n"), F.count("*").alias("parents"), F.min("off").alias("off"), F.min("bytes").alias("bytes"))
+    kinds = saved(kinds, "kinds")
+    many = saved(kinds.groupBy("g").agg(F.count("*").alias("many"), F.sum("n").alias("all")).filter(F.col("all") > 1).drop("all"), "many")
+    inner = saved(kinds.join(many, "g"), "inner")
+    marks = _decided(inner.drop("parents"), size, crowd, steps[1:]).join(inner.select("g", "d", "parents"), ["g", "d"])
+    up = hot_join(rows.select("pg", "pd", "g", "d", "start"), saved(marks, "marks"), ["g", "d"], "parents", rows.count())
+    return found.unionByName(up.select(F.col("pg").alias("g"), F.col("pd").alias("d"), (F.col("first") + F.col("start")).alias("first"), (F.col("last") + F.col("start")).alias("last")))
+
+
+def with_spans(docs: DataFrame, keep: dict[str, Column], size: int = SIZE, text_of_all: bool = False, crowd: int = CROWD, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` of every row of ``docs``, its text as bytes, and ``spans``: what of it is repeated.
 
     spans: array of (start, end) in bytes, unordered and overlapping, null where
     there is none. Text is null for rows without spans unless ``text_of_all``.
+    Rows of equal text are equal places: each row counts, and all get the same
+    spans. key: columns that tell most rows of equal text apart.
     """
-    small_batches(docs.sparkSession)
-    rows = docs.select(*(c.alias(f"_{n}") for n, c in keep.items()), F.xxhash64("doc_id").alias("k"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    occ = saved(_stretches(rows, size), "stretches")
-    often = saved(occ.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor"), "anchors")
-    again = saved(occ.join(often, "anchor"), "again")
-    place = F.struct("k", "th", F.col("los")[0].alias("lo"), "w", "off")
-    kinds = saved(again.groupBy("anchor", "digest").agg(F.sum("n").alias("n"), F.min(place).alias("at")), "kinds")
-    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("d"), F.min("n").alias("least")).filter("d > 1 AND least = 1")
-    mixed = saved(mixed.select("anchor", "d"), "mixed")
-    wanted = kinds.join(mixed, "anchor")
-    whole = again.join(saved(kinds.filter("n > 1").select("anchor", "digest"), "twice"), ["anchor", "digest"])
-    reps = wanted.select("at.k", "at.th", F.struct("anchor", "digest", "n", "d", "at.lo", "at.w", "at.off").alias("rep"), F.lit(None).cast("array<struct<start:int,end:int>>").alias("span"))
-    spans = whole.select("k", "th", F.lit(None).cast(reps.schema["rep"].dataType).alias("rep"), F.transform("los", lambda lo: F.struct(lo.alias("start"), (lo + F.col("w") - 1 + size).alias("end"))).alias("span"))
-    by_doc = reps.unionByName(spans).groupBy("k", "th").agg(F.collect_list("rep").alias("reps"), F.flatten(F.collect_list("span")).alias("spans"))
-    joined = rows.join(by_doc, ["k", "th"], "left")
+    text = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
+    rows = docs.select(*(c.alias(f"_{n}") for n, c in keep.items()), *_two_hashes(text), F.xxhash64(*key).alias("k"), text.alias("text"))
+    with batches_of(docs.sparkSession):
+        occ = saved(_stretches(rows, size), "stretches")
+    total = occ.count()
+    often = saved(occ.groupBy("anchor").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).filter("n > 1").select("anchor", "rows"), "anchors")
+    again = saved(hot_join(occ, often, ["anchor"], "rows", total).drop("rows"), "again")
+    place = F.struct("t1", "t2", "k", F.col("los")[0].alias("lo"), "w", "off")
+    kinds = saved(again.groupBy("anchor", "digest").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.min(place).alias("at")), "kinds")
+    many = saved(kinds.groupBy("anchor").agg(F.count("*").alias("many")), "many")
+    rep = F.struct(F.col("anchor").alias("g"), F.col("digest").alias("d"), F.least("n", F.lit(2)).cast("int").alias("n"), "many", "at.lo", "at.w", "at.off")
+    reps = kinds.join(many, "anchor").groupBy(F.col("at.t1").alias("t1"), F.col("at.t2").alias("t2")).agg(F.min("at.k").alias("rk"), F.collect_list(rep).alias("reps"))
+    met = again.select("t1", "t2").distinct().join(reps, ["t1", "t2"], "left").withColumn("met", F.lit(True))
+    joined = rows.join(met, ["t1", "t2"], "left").withColumn("reps", F.when(F.col("k") == F.col("rk"), F.col("reps"))).drop("k", "rk")
     if not text_of_all:
-        joined = joined.withColumn("text", F.when(F.col("reps").isNotNull(), F.col("text")))
+        joined = joined.withColumn("text", F.when(F.col("met"), F.col("text")))
     joined = saved(joined, "candidates")
-    text = joined.filter(F.size("reps") > 0).select(F.explode("reps").alias("r"), F.col("text").cast("binary").alias("b"))
-    text = text.select("r.anchor", "r.digest", "r.n", "r.d", "r.off", F.substr(F.col("b"), F.col("r.lo") + 1, F.col("r.w") + size - 1).alias("bytes"))
-    few = text.filter(F.col("d") <= crowd).drop("d", "off").repartition("anchor").sortWithinPartitions("anchor", "digest")
-    many = text.filter(F.col("d") > crowd).drop("d")
-    marks = _indexed(few, size).unionByName(_counted(many, size))
-    single = kinds.filter("n = 1").select("anchor", "digest", "at")
-    more = marks.join(single, ["anchor", "digest"]).select("at.k", "at.th", F.struct((F.col("at.lo") + F.col("first")).alias("start"), (F.col("at.lo") + F.col("last") + size).alias("end")).alias("span"))
-    more = saved(more.groupBy("k", "th").agg(F.collect_list("span").alias("more")), "more")
-    some = joined.filter("reps IS NOT NULL").join(more, ["k", "th"], "left")
+    with batches_of(docs.sparkSession):
+        strings = saved(_strings(joined, size), "strings")
+        marks = saved(_decided(strings, size, crowd), "marks")
+    marks = marks.groupBy("g", "d").agg(F.collect_set(F.struct("first", "last")).alias("marks")).select(F.col("g").alias("anchor"), F.col("d").alias("digest"), "marks")
+    told = saved(marks.join(kinds.select("anchor", "digest", "rows"), ["anchor", "digest"]), "told")
+    hit = hot_join(again.select("t1", "t2", "anchor", "digest", "los"), told, ["anchor", "digest"], "rows", again.count())
+    each = F.flatten(F.transform("los", lambda lo: F.transform("marks", lambda m: F.struct((lo + m["first"]).alias("start"), (lo + m["last"] + size).alias("end")))))
+    spans = saved(hit.select("t1", "t2", each.alias("s")).groupBy("t1", "t2").agg(F.flatten(F.collect_set("s")).cast(_SPANS).alias("spans")), "spans")
     names = [F.col(f"_{n}").alias(n) for n in keep]
-    every = F.concat("spans", F.coalesce("more", F.array().cast("array<struct<start:int,end:int>>")))
-    with_some = some.select(*names, "text", every.alias("spans"))
-    without = joined.filter("reps IS NULL").select(*names, "text", F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"))
-    return with_some.unionByName(without)
+    some = joined.filter("met").join(spans, ["t1", "t2"], "left").select(*names, "text", "spans")
+    return some.unionByName(joined.filter("met IS NULL").select(*names, "text", F.lit(None).cast(_SPANS).alias("spans")))
+
+
+def _two_hashes(text: Column) -> list[Column]:
+    """t1, t2: what stands for a text, 128 bits of two hashes."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -331,8 +380,8 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
             texts = [cut(t, merged(s)).decode("utf-8", "ignore") for t, s in zip(utf8(b.column("text")), b.column("spans").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string()), pa.array([True] * len(texts))], ["row", "text", "changed"])
 
-    plain = found.filter("spans IS NULL").select("row", "text", F.lit(False).alias("changed"))
-    cut_ = found.filter("spans IS NOT NULL").mapInArrow(thrifty(run), plain.schema)
+    plain = found.filter("spans IS NULL").select("row", F.col("text").cast("string").alias("text"), F.lit(False).alias("changed"))
+    cut_ = found.filter("spans IS NOT NULL").select("row", "text", "spans").mapInArrow(thrifty(run), plain.schema)
     both = plain.unionByName(cut_)
     columns = {n: F.col(f"row.c{i}") for i, n in enumerate(rest)} | {"text": F.when(~F.col("row.null"), F.col("text"))}
     if "n_chars" in rest:
@@ -341,25 +390,57 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return both.select(*(columns[n].alias(n) for n in docs.columns))
 
 
+def _runs(found: DataFrame, least: int) -> DataFrame:
+    """t1, t2, start, text: the maximal runs of ``least`` bytes or more that the spans of each text cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b for whole in batches for b in pieces_of(whole, "text", 4 << 20)):
+            of, starts, parts = [], [], []
+            for i, (t, spans) in enumerate(zip(utf8(b.column("text")), b.column("spans").to_pylist(), strict=True)):
+                for s, e in merged(spans):
+                    if e - s >= least:
+                        of.append(i)
+                        starts.append(s)
+                        parts.append(t[s:e])
+            rows = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("t1").take(rows), b.column("t2").take(rows), pa.array(starts, pa.int32()), pa.array(parts, pa.binary())], ["t1", "t2", "start", "text"])
+
+    return found.filter("spans IS NOT NULL").select("t1", "t2", "text", "spans").mapInArrow(thrifty(run), "t1 long, t2 long, start int, text binary")
+
+
 def op3(documents: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``documents``.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage for every row of ``documents``.
 
     A null text is empty. Rows that are repeated as they stand count as two
-    places. Texts shorter than 400 bytes hold nothing repeated.
+    places. Texts shorter than 400 bytes hold nothing repeated. n_passage counts
+    the bytes covered by strings of ``PASSAGE`` bytes that also start elsewhere.
+
+    Strings of 256 bytes are found first: a repeated string of 400 bytes lies
+    within what they cover, so only the runs of 400 bytes or more that they
+    cover are searched for it.
     """
     text = F.coalesce("text", F.lit(""))
-    keep = {"doc_id": F.col("doc_id"), "n_bytes": F.octet_length(text).cast("long"), "sha": F.sha2(text, 256)}
-    found = with_spans(documents.select("doc_id", "text"), keep)
-    schema = documents.select("doc_id").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
+    hashes = dict(zip(("t1", "t2"), _two_hashes(text.cast("binary")), strict=True))
+    keep = {"doc_id": F.col("doc_id"), "n_bytes": F.octet_length(text).cast("long"), "sha": F.sha2(text, 256)} | hashes
+    found = saved(with_spans(documents.select("doc_id", "text"), keep, PASSAGE), "passages")
+    with batches_of(documents.sparkSession):
+        runs = saved(_runs(found, SIZE), "runs")
+    long = with_spans(runs, {"t1": F.col("t1"), "t2": F.col("t2"), "from": F.col("start")}, SIZE, key=("t1", "t2", "start")).filter("spans IS NOT NULL")
+    placed = F.transform("spans", lambda s: F.struct((s["start"] + F.col("from")).alias("start"), (s["end"] + F.col("from")).alias("end")))
+    long = saved(long.select("t1", "t2", placed.alias("s")).groupBy("t1", "t2").agg(F.flatten(F.collect_set("s")).alias("removed")), "long")
+    schema = documents.select("doc_id").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string").add("n_passage", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def covered(runs: list[list[tuple[int, int]]]) -> pa.Array:
+            return pa.array([sum(e - s for s, e in r) for r in runs], pa.int64())
+
         for b in (b for whole in batches for b in pieces_of(whole, "text", 4 << 20)):
-            runs = [merged(s) for s in b.column("spans").to_pylist()]
+            runs, passages = ([merged(s) for s in b.column(c).to_pylist()] for c in ("removed", "spans"))
             kept = [hashlib.sha256(cut(t, r)).hexdigest() for t, r in zip(utf8(b.column("text")), runs, strict=True)]
-            gone = pa.array([sum(e - s for s, e in r) for r in runs], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), gone, pa.array([len(r) for r in runs], pa.int64()), pa.array(kept, pa.string())], schema.names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), covered(runs), pa.array([len(r) for r in runs], pa.int64()), pa.array(kept, pa.string()), covered(passages)], schema.names)
 
-    changed = found.filter("spans IS NOT NULL").select("doc_id", "n_bytes", "text", "spans").mapInArrow(thrifty(run), schema)
+    some = found.filter("spans IS NOT NULL").join(long, ["t1", "t2"], "left")
+    changed = some.select("doc_id", "n_bytes", "text", "spans", "removed").mapInArrow(thrifty(run), schema)
     zero = F.lit(0).cast("long")
-    plain = found.filter("spans IS NULL").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"))
+    plain = found.filter("spans IS NULL").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"), zero.alias("n_passage"))
     return plain.unionByName(changed)

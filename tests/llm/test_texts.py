@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cellweave.llm import chunks, components, fingerprint, packing, pieces, repeats, secrets, simhash
+from cellweave.llm import anchors, chunks, components, fingerprint, packing, pieces, repeats, secrets, simhash
 
 ODD = [(None, "q w e r t y u"), (1, None), (1, ""), (2, "same words here for all of us"), (2, "same words here for all of us"), (3, "é😀 " * 30), (4, "\x00\t\n a"), (5, "long " * 30000), (6, "same words here for all of us")]
 
@@ -32,21 +32,30 @@ def as_rows(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
 
-def brute_repeats(rows, size=400):
+def repeated_bytes(rows, size):
+    """For each row a mask of the bytes that repeated windows cover."""
     c = Counter()
     for _, t in rows:
         b = (t or "").encode()
         c.update(b[i : i + size] for i in range(len(b) - size + 1))
     out = []
-    for d, t in rows:
+    for _, t in rows:
         b = (t or "").encode()
         gone, e = bytearray(len(b)), 0
         for i in range(len(b) - size + 1):
             if c[b[i : i + size]] > 1:
                 gone[max(i, e) : i + size] = b"\1" * (i + size - max(i, e))
                 e = i + size
+        out.append(gone)
+    return out
+
+
+def brute_repeats(rows, size=400, passage=256):
+    out = []
+    for (d, t), gone, seen in zip(rows, repeated_bytes(rows, size), repeated_bytes(rows, passage), strict=True):
+        b = (t or "").encode()
         runs = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
-        out.append((d, len(b), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+        out.append((d, len(b), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest(), sum(seen)))
     return sorted(out, key=str)
 
 
@@ -61,7 +70,7 @@ def passages(n=60, seed=4):
 def test_repeats_crowded_passage(spark, crowd, monkeypatch):
     rows = [*passages(), (None, "ab" * 400), (100, "é" * 300), (101, None), (102, "x" * 399)]
     plain = repeats.with_spans
-    monkeypatch.setattr(repeats, "with_spans", lambda d, k: plain(d, k, crowd=crowd))
+    monkeypatch.setattr(repeats, "with_spans", lambda *a, **k: plain(*a, **k, crowd=crowd))
     assert as_rows(repeats.op3(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_repeats(rows)
 
 
@@ -80,6 +89,47 @@ def test_repeats_of_texts_whose_short_hashes_meet(spark):
     assert as_rows(repeats.op3(df)) == brute_repeats([tuple(r) for r in df.collect()])
 
 
+def test_repeats_of_repeated_rows(spark):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    one, two, three = text(900), text(1000), text(700)
+    rows = [(1, one)] * 5 + [(1, two), (2, two), (3, three), (4, three[:500] + one[:450]), (4, text(600))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert as_rows(repeats.op3(df)) == brute_repeats(rows)
+    every = repeats.with_spans(df, {"doc_id": F.col("doc_id")}).filter("doc_id = 1 AND spans IS NOT NULL").collect()
+    assert len(every) == 6 and len({len(r.spans) for r in every if r.text == one.encode()}) == 1  # spans of a text, not of its copies
+
+
+def test_repeats_of_long_texts_and_clashing_names(spark):
+    rng = random.Random(3)
+    p = "".join(rng.choices("abcdef ", k=500))
+    rows = [(1, "long " * 4000), (2, p + "x" * 3000 + p), (3, "é" * 2500), (4, "".join(rng.choices("abcdefgh ", k=300_000)) + p)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clash = df.withColumns({c: F.lit(7) for c in ("k", "t1", "t2", "spans", "reps", "met", "anchor", "bytes", "row")})
+    short = [(d, t if d < 4 else p) for d, t in rows]  # the rest of the fourth text is random
+    got = {r.doc_id: r for r in repeats.op3(clash).collect()}
+    for d, n, gone, runs, sha, seen in brute_repeats(short):
+        r = got[d]
+        assert (r.n_removed, r.n_spans, r.n_passage) == (gone, runs, seen) and (d == 4 or (r.n_bytes, r.kept_sha256) == (n, sha))
+    out = repeats.remove_repeats(clash)
+    assert out.columns == clash.columns and out.filter("spans != 7 OR k != 7").isEmpty() and out.count() == 4
+
+
+def test_anchors_do_not_depend_on_what_stands_around(monkeypatch):
+    rng = np.random.default_rng(6)
+    plain = anchors._grams
+    monkeypatch.setattr(anchors, "_grams", lambda codes, gram: plain(codes, gram) & np.uint64(0xFFF))  # hashes that differ in low bits only, and often tie
+    for n in (300, 5000, 200_000):
+        text = bytes(rng.integers(97, 105, 2000).astype(np.uint8))
+        around = bytes(rng.integers(97, 105, n).astype(np.uint8))
+        of, lo, hi, at = anchors.anchors([around, text], 400)
+        alone = anchors.anchors([text], 400)
+        assert all((a[of == 1] == b).all() for a, b in zip((lo, hi, at), alone[1:], strict=True))
+        h = anchors._grams(np.frombuffer(text, np.uint8), anchors.GRAM)
+        for s, e, p in zip(*(x.tolist() for x in alone[1:]), strict=True):
+            assert all(i + int(np.argmin(h[i : i + 337])) == p for i in (s, e))
+
+
 def test_run_index():
     rng = random.Random(9)
     for t in range(60):

@@ -75,7 +75,7 @@ def test_pipeline(spark, folder):
     assert {r.doc_id for r in second.collect()} == {r.component_id for r in op7(first).collect()}
     from .test_texts import brute_repeats
 
-    lost = {d: n - g for d, n, g, *_ in brute_repeats([(r.doc_id, r.text) for r in second.collect()])}
+    lost = {d: n - g for d, n, g, *_ in brute_repeats([(r.doc_id, r.text) for r in second.collect()], corpus_pipeline.PASSAGE)}
     left = {r.doc_id: r.text for r in third.collect()}
     assert left.keys() == lost.keys() and all(lost[d] - 6 * 9 <= len(t.encode()) <= lost[d] for d, t in left.items())
     assert fourth.count() == third.count()
