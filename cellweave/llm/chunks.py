@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_of, saved, thrifty, utf8
+from .common import hot_join, pieces_of, saved, thrifty, utf8
 from .repeats import cut, merged
 
 #: A chunk has LEAST bytes at least, unless it is a whole text, and MOST at most
@@ -90,14 +90,20 @@ def chunks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def duplicate_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, th, repeated, spans: for each text with chunks that occur elsewhere, how many, and (start, end) of those that are not the first."""
+    """doc_id, th, repeated, repeated_bytes, spans: for each text with chunks that occur elsewhere, how many, their bytes, and (start, end) of those that are not the first.
+
+    Rows that repeat doc_id and text are one place.
+    """
     every = saved(chunks(docs), "chunks")
+    place = F.xxhash64("doc_id", "th", "start")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th", "start")).alias("first")
-    again = saved(every.groupBy("d1", "d2").agg(F.count("*").alias("n"), first).filter("n > 1").drop("n"), "repeated")
-    met = every.join(again, ["d1", "d2"])
+    again = every.groupBy("d1", "d2").agg(F.count("*").alias("rows"), F.min(place).alias("low"), F.max(place).alias("high"), first)
+    again = saved(again.filter("low < high").select("d1", "d2", "rows", "first"), "repeated")
+    met = hot_join(every, again, ["d1", "d2"], "rows", every.count())
     keeps = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.th") == F.col("th")) & (F.col("first.start") == F.col("start"))
-    span = F.when(~keeps, F.struct("start", (F.col("start") + F.col("size")).alias("end")))
-    return met.groupBy("doc_id", "th").agg(F.count("*").alias("repeated"), F.sum("size").alias("repeated_bytes"), F.collect_set(span).alias("spans"))
+    each = met.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "size", keeps.alias("keeps"))).alias("c"))
+    spans = F.transform(F.filter("c", lambda x: ~x["keeps"]), lambda x: F.struct(x["start"].alias("start"), (x["start"] + x["size"]).alias("end")))
+    return each.select("doc_id", "th", F.size("c").alias("repeated"), F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x["size"]).alias("repeated_bytes"), spans.alias("spans"))
 
 
 def op4(documents: DataFrame) -> DataFrame:
@@ -123,4 +129,4 @@ def op4(documents: DataFrame) -> DataFrame:
             gone = pa.array([len(t) - len(k) for t, k in zip(texts, kept, strict=True)], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), sizes, b.column("repeated_bytes"), gone, pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())], schema.names)
 
-    return both.select("doc_id", "text", F.coalesce("repeated_bytes", F.lit(0)).alias("repeated_bytes"), "spans").mapInArrow(thrifty(run), schema)
+    return both.select("doc_id", "text", F.coalesce("repeated_bytes", F.lit(0).cast("long")).alias("repeated_bytes"), "spans").mapInArrow(thrifty(run), schema)
