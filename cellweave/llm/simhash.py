@@ -104,7 +104,7 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """doc_id, fp (signed), component_id of every row of ``docs``.
+    """doc_id, th (hash of the text), fp (signed), component_id of every row of ``docs``.
 
     component_id is the smallest doc_id reachable over fingerprints at two or
     fewer differing bits. Equal fingerprints are one node, so a group of copies
@@ -112,23 +112,26 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     texts have fingerprint 0. A null doc_id gets its group's component_id, null
     if no row of the group has a doc_id. Repeated rows get equal rows.
     """
-    of = saved(fingerprints(docs.select("doc_id", "text")), "fingerprints")
+    of = saved(fingerprints(docs.select("doc_id", F.xxhash64("text").alias("th"), "text")), "fingerprints")
     groups = saved(of.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
     linked = saved(links(groups.select("fp"), crowd), "pairs")
     joined = components(linked).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     rooted = saved(groups.join(joined, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     least = saved(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = saved(rooted.join(least, "root").select("fp", "component_id"), "named")
-    return of.join(named, "fp").select("doc_id", "fp", "component_id")
+    return of.join(named, "fp").select("doc_id", "th", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """One row of each group of near-duplicates of ``docs``: the one of smallest doc_id.
 
-    Rows that repeat a kept doc_id and rows without a doc_id stay.
+    Rows are told apart by doc_id and text, so unlike texts of one doc_id go or
+    stay each with its own group. Rows of a group that share its smallest doc_id
+    stay, and so do rows without a doc_id.
     """
-    gone = near_duplicates(docs, crowd).filter("doc_id != component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = near_duplicates(docs, crowd).filter("doc_id != component_id").select(F.col("doc_id").alias("_gone"), F.col("th").alias("_th")).distinct()
+    d = docs.alias("d")
+    return d.join(gone, (F.col("d.doc_id") == F.col("_gone")) & (F.xxhash64("d.text") == F.col("_th")), "left_anti").select(*(F.col(f"d.`{c}`") for c in docs.columns))
 
 
 def op7(documents: DataFrame) -> DataFrame:
