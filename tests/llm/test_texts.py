@@ -189,6 +189,13 @@ def test_simhash_edges(spark, odd):
     assert simhash.op7(odd.limit(0)).isEmpty()
 
 
+def test_keep_one_tells_texts_of_one_doc_id_apart(spark):
+    rng = random.Random(5)
+    t, v = (" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(60)) for _ in range(2))
+    df = spark.createDataFrame([(1, t, 8), (5, t, 8), (5, v, 8), (None, t, 8), (7, None, 8), (8, "", 8)], "doc_id long, text string, fp int")
+    assert as_rows(simhash.keep_one(df)) == sorted([(1, t, 8), (5, v, 8), (None, t, 8), (7, None, 8)], key=str)
+
+
 @pytest.mark.parametrize("crowd", [2, 1000])
 def test_simhash_crowds(spark, crowd):
     rng = np.random.default_rng(1)
@@ -392,6 +399,43 @@ def test_chunks(spark, small, odd):
     assert len(got) == len(ODD) and chunks.op4(odd.limit(0)).isEmpty()
 
 
+def plain_boundaries(b):
+    """Ends of chunks, byte by byte."""
+    ends, start, window = [], 0, []
+    for i, x in enumerate(b):
+        window = [*window, x][-chunks.WINDOW :]
+        h = sum(int(chunks._GEAR[c]) << age for age, c in enumerate(reversed(window))) % (1 << 32)
+        if i - start == chunks.MOST:
+            ends.append(i)
+            start = i
+        if (h >> (chunks.WINDOW - 1)) % (1 << chunks.MASK_BITS) == 0 and i + 1 - start >= chunks.LEAST:
+            ends.append(i + 1)
+            start = i + 1
+    if start < len(b):
+        if ends and len(b) - start < chunks.LEAST:
+            ends.pop()
+        ends.append(len(b))
+    return ends
+
+
+def test_boundaries_byte_by_byte(small):
+    rng = random.Random(7)
+    texts = [r.text.encode() for r in small.limit(20).collect()] + [b"", b"a", b"a" * 5000, bytes(rng.choices(b"ab", k=3000)), bytes(rng.choices(b"abcdefgh ", k=33))]
+    for t in texts:
+        assert chunks.boundaries(t) == plain_boundaries(t)
+
+
+def test_chunks_of_repeated_rows(spark):
+    rng = random.Random(12)
+    t, u, v = ("".join(rng.choices("abcdefgh ", k=n)) for n in (471, 600, 500))
+    df = spark.createDataFrame([(1, t), (1, t), (2, u), (3, v), (3, v + t), (None, u)], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("th", "start", "spans", "d1", "first")})
+    got = {(r.doc_id, r.n_bytes): (r.n_repeated, r.n_removed) for r in chunks.op4(df).collect()}
+    assert len(got) == 5 and got[2, 600] == (600, 0) and got[None, 600] == (600, 600)
+    assert got[1, 471][1] == 0 and got[1, 471][0] <= 471 and got[3, 971][0] > 800 and got[3, 500][1] + got[3, 971][1] > 800
+    alone = chunks.op4(df.filter("doc_id = 1")).collect()
+    assert [(r.n_repeated, r.n_removed) for r in alone] == [(0, 0)] * 2
+
+
 def test_chunks_resist_shifts():
     rng = random.Random(2)
     b = bytes(rng.choices(b"abcdefghijklmnop qrstuvwxyz", k=20000))

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cellweave.llm import components, embeddings, packing, queries, quality
@@ -40,6 +41,43 @@ def test_embedding_edges(spark):
     assert embeddings.op9(df.limit(0)).isEmpty()
 
 
+def test_embeddings_of_very_different_lengths(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k, dims in enumerate((10, 4106)):
+        base = rng.standard_normal((10, dims))
+        rows += [(20 * k + i, x.tolist()) for i, x in enumerate(np.concatenate([base, base * 3 + 0.01 * rng.standard_normal((10, dims))]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(5) for c in ("id", "v", "n", "t", "code")})
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.op9(df).collect()}
+    exp = {}
+    for k in (0, 1):
+        own = rows[20 * k : 20 * k + 20]
+        exp |= brute([i for i, _ in own], np.array([x for _, x in own]))
+    assert got == exp
+
+
+def test_embeddings_of_repeated_keys(spark):
+    df = spark.createDataFrame([(3, [1.0, 0.0]), (3, [0.0, 1.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0]), (9, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.op9(df).collect())
+    assert got == [(3, 1, 3, True)] * 3 + [(4, 1, 3, False), (9, 0, 9, True)]
+
+
+@pytest.mark.parametrize("stack", [1, 8, 64])
+def test_pairs_of_stacks_and_blocks(stack, monkeypatch):
+    monkeypatch.setattr(embeddings, "STACK", stack)
+    rng = np.random.default_rng(stack)
+    sizes = rng.integers(1, 30, 40)
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    unit = embeddings._unit(rng.standard_normal((bounds[-1], 4)))
+    left = np.concatenate([np.ones(n, bool) if i % 3 else rng.random(n) < 0.5 for i, n in enumerate(sizes)])
+    got = sorted(tuple(sorted(x)) for x in zip(*(v.tolist() for v in embeddings._pairs(unit, bounds, left, 0.9)), strict=True))
+    exp = []
+    for s, e in zip(bounds, bounds[1:], strict=False):
+        whole = left[s:e].all()
+        exp += [(i, j) for i in range(s, e) for j in range(i + 1, e) if unit[i] @ unit[j] >= 0.9 and (whole or left[i] != left[j])]
+    assert got == sorted(exp)
+
+
 def test_layout():
     for n in (10, 10**4, 10**9):
         signs, tables = embeddings.layout(n)
