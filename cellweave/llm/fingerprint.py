@@ -1,30 +1,34 @@
 """Threshold-scaled document fingerprints, in DataFrame operations only.
 
-A sketch keeps every distinct shingle hash below a fixed fraction of the hash
-range. Sketches of one fraction merge by union, and a share of the hashes of
-one text that another holds estimates containment, whatever the two lengths. A
-text with fewer than ``LEAST`` hashes below the fraction keeps its ``LEAST``
-smallest instead, and its sketch states the bound that this amounts to; two
-sketches are compared below the smaller of their bounds.
+A sketch keeps every distinct shingle hash below a fraction of the hash range,
+the threshold. It is ``2**-SHIFT`` for all texts of ``LEAST * 2**SHIFT`` distinct
+shingles or more; for shorter texts it is scaled up with the number of their
+shingles, by powers of two, so that about ``LEAST`` hashes stay. Below the
+smaller of two thresholds both sketches hold every hash, whatever the lengths of
+the texts: there they merge by union (``union``), and the share of the hashes of
+one that the other holds estimates containment.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORDS = 5
-SHIFT = 3  # the fraction is 2**-SHIFT
+SHIFT = 3
 LEAST = 32
 _TOP = (1 << 63) - 1
 
 
 def sketch(df: DataFrame, text: str, hashes: str, bound: str, words: int = WORDS, shift: int = SHIFT, least: int = LEAST) -> DataFrame:
-    """``df`` with ``hashes`` (sorted distinct 63-bit hashes) and ``bound`` of the column ``text``.
+    """``df`` with ``hashes`` (sorted distinct 63-bit hashes) and ``bound`` (the threshold) of the column ``text``.
 
     Words are what stands between white space, lower-cased. A text of fewer
     words than a shingle has one shingle, of all its words; one without words,
-    or null, has an empty sketch.
+    or null, has an empty sketch. A text of n distinct shingles has the threshold
+    2**-k, k the largest up to ``shift`` for which n >= least * 2**k, or 0.
     """
     keep = [F.col(c) for c in df.columns]
     of_words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \t-\r]+"), lambda w: w != "")
@@ -34,21 +38,22 @@ def sketch(df: DataFrame, text: str, hashes: str, bound: str, words: int = WORDS
         f"CASE WHEN size(_w) >= {words} THEN transform(sequence(0, size(_w) - {words}), i -> xxhash64({shingle}) & {_TOP}L) "
         f"WHEN size(_w) > 0 THEN array(xxhash64(_w) & {_TOP}L) ELSE CAST(array() AS array<bigint>) END"
     )
-    step2 = step1.select(*keep, every.alias("_all"))
-    top = 1 << (63 - shift)
-    step3 = step2.select(*keep, "_all", F.array_distinct(F.filter("_all", lambda h: h < F.lit(top))).alias("_low"))
-    enough = F.size("_low") >= least
-    smallest = F.when(enough, F.lit(None)).otherwise(F.slice(F.sort_array(F.array_distinct("_all")), 1, least + 1))
-    step4 = step3.select(*keep, "_low", smallest.alias("_few"))
-    return step4.select(
-        *keep,
-        F.when(F.col("_few").isNull(), F.sort_array("_low")).otherwise(F.slice("_few", 1, least)).alias(hashes),
-        F.when(F.col("_few").isNull(), F.lit(top)).when(F.size("_few") > least, F.element_at("_few", -1)).otherwise(F.lit(_TOP)).alias(bound),
-    )
+    step2 = step1.select(*keep, F.array_distinct(every).alias("_all"))
+    scale = F.lit(_TOP)
+    for k in range(1, shift + 1):
+        scale = F.when(F.size("_all") >= least << k, F.lit(_TOP >> k)).otherwise(scale)
+    step3 = step2.select(*keep, "_all", scale.alias(bound))
+    return step3.select(*keep, F.sort_array(F.filter("_all", lambda h: h <= F.col(bound))).alias(hashes), bound)
+
+
+def union(a: tuple[Column, Column], b: tuple[Column, Column]) -> tuple[Column, Column]:
+    """(hashes, bound) of both texts together, from (hashes, bound) of each: what is below the smaller bound."""
+    bound = F.least(a[1], b[1])
+    return F.sort_array(F.array_union(_below(a[0], bound), _below(b[0], bound))), bound
 
 
 def _below(hashes: Column, bound: Column) -> Column:
-    return F.filter(hashes, lambda h: h < bound)
+    return F.filter(hashes, lambda h: h <= bound)
 
 
 def likeness(df: DataFrame, a: tuple[str, str], b: tuple[str, str], out: str, contained: str) -> DataFrame:
@@ -73,48 +78,51 @@ def as_text(hashes: str, bound: str) -> Column:
 def with_next(docs: DataFrame, per_bucket: int = 512, most_buckets: int = 65536) -> DataFrame:
     """doc_id, text and bucket of every row, plus one row a bucket that repeats the head of the next.
 
-    Rows stand in descending order of doc_id (nulls last; equal ids by text). A
-    bucket is a stretch of this order between quantiles of doc_id, so all are
-    of a like size. The extra rows (tail = 1) let a window inside each bucket
-    see the row after its last; the last bucket is followed by the first.
-    There are at most ``most_buckets`` buckets, so what the driver holds is bounded.
+    Rows stand in descending order of doc_id, a whole number (nulls last; equal
+    ids by text). A bucket is a stretch of this order between quantiles of
+    doc_id, one for each bucket, so all are of a like size however the ids lie.
+    The extra rows (tail = 1) let a window inside each bucket see the row after
+    its last; the last bucket is followed by the first. There are at most
+    ``most_buckets`` buckets, so what the driver holds is bounded; from 3e7 rows
+    on they grow, and a window sorts and spills more, but holds two rows.
     """
     spark = docs.sparkSession
     ids = docs.select("doc_id")
     n = ids.count()
     many = max(1, min(most_buckets, n // per_bucket))
-    coarse = min(many, 256)
-    fan = -(-many // coarse)
-    shares = [k / coarse for k in range(coarse + 1)]
-    found = ids.agg(F.percentile_approx("doc_id", shares, 10000).alias("q")).first()["q"]  # at most 257 numbers
+    fan = math.isqrt(many - 1) + 1  # bounds are looked up among every fan-th of them first
+    shares = F.split(F.lit(",".join(repr(k / many) for k in range(many + 1))), ",").cast("array<double>")  # folded to a constant
+    found = ids.agg(F.percentile_approx("doc_id", shares, F.lit(max(10000, 4 * many))).alias("q")).first()["q"]  # one number a bucket
     bounds = sorted(set(found or []), reverse=True)
-    last = (len(bounds) + 1) * fan
     if bounds:
-        literal = f"array({', '.join(f'{b}L' for b in bounds)})"
-        step = F.expr(f"size(filter({literal}, q -> q > doc_id))")  # bounds above this id
-        high, low = F.element_at(F.expr(literal), F.greatest(step, F.lit(1))), F.coalesce(F.get(F.expr(literal), step), F.lit(bounds[-1]))
-        fine = F.floor((high - F.col("doc_id")) / (high - low + 1).cast("double") * fan)
-        bucket = F.coalesce(step * fan + F.greatest(F.lit(0), F.least(F.lit(fan - 1), fine)), F.lit(last))
+        flat, heads = (F.split(F.lit(",".join(map(str, v))), ",").cast("array<bigint>") for v in (bounds, bounds[::fan]))
+
+        def above(values: Column) -> Column:
+            return F.size(F.filter(values, lambda q: q > F.col("doc_id")))
+
+        row = F.greatest(above(heads), F.lit(1)) - 1
+        bucket = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(row * fan + above(F.slice(flat, row * fan + 1, F.lit(fan))))
     else:
-        bucket = F.lit(last)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), bucket.cast("int").alias("bucket"))
-    heads = rows.groupBy("bucket").agg(F.max("doc_id").alias("doc_id")).collect()  # one id for each of a bounded number of buckets
-    order = sorted(r["bucket"] for r in heads)
+        bucket = F.lit(1)
+    placed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), bucket.cast("int").alias("bucket"))
+    heads_of = placed.groupBy("bucket").agg(F.max("doc_id").alias("doc_id")).collect()  # one id for each of a bounded number of buckets
+    order = sorted(r["bucket"] for r in heads_of)
     before = {b: order[i - 1] for i, b in enumerate(order)}
-    if not heads:
-        return rows.withColumn("tail", F.lit(0))
-    small = spark.createDataFrame([(r["bucket"], r["doc_id"], before[r["bucket"]]) for r in heads], "b int, head long, prior int")
-    at_head = rows.join(F.broadcast(small), (F.col("bucket") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("head")))
+    if not heads_of:
+        return placed.withColumn("tail", F.lit(0))
+    small = spark.createDataFrame([(r["bucket"], r["doc_id"], before[r["bucket"]]) for r in heads_of], "b int, head long, prior int")
+    at_head = placed.join(F.broadcast(small), (F.col("bucket") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("head")))
     first = at_head.groupBy("prior", "head").agg(F.min("text").alias("text"))
     copies = first.select(F.col("head").alias("doc_id"), "text", F.col("prior").alias("bucket"), F.lit(1).alias("tail"))
-    return rows.withColumn("tail", F.lit(0)).unionByName(copies)
+    return placed.withColumn("tail", F.lit(0)).unionByName(copies)
 
 
 def op6(documents: DataFrame) -> DataFrame:
     """Fingerprints of every whole text of ``documents`` and of its edited text.
 
-    A null text is an empty one. A null doc_id comes after all others, rows of
-    one doc_id are ordered by text, and a table of one row is its own next.
+    A null text is an empty one. doc_id is a whole number; a null one comes after
+    all others, rows of one doc_id are ordered by text, and a table of one row is
+    its own next.
     """
     rows = with_next(documents.select("doc_id", "text"))
     own = sketch(rows, "text", "h", "b")

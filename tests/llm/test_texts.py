@@ -277,6 +277,52 @@ def test_fingerprints(spark, small):
         assert texts.setdefault(r.text, got[r.doc_id].fingerprint) == got[r.doc_id].fingerprint
 
 
+def test_sketches_from_their_rule(spark, small):
+    """Hashes of words and shingles made again with the xxhash library; thresholds and likeness from the rule."""
+    h64 = lambda data, seed: xxhash.xxh64_intdigest(data, seed)
+
+    def signed(v):
+        return v - (1 << 64) if v >> 63 else v
+
+    def of(t):
+        words = [h64(w.encode(), 42) for w in re.split(r"[ \t-\r]+", t.lower()) if w]
+        if not words:
+            return set()
+        rows = [words[i : i + 5] for i in range(len(words) - 4)] if len(words) >= 5 else [words]
+        out = set()
+        for r in rows:
+            h = 42
+            for w in r:
+                h = h64(w.to_bytes(8, "little"), h)
+            out.add(h & fingerprint._TOP)
+        return out
+
+    def sketch(hs):
+        k = max((k for k in range(1, fingerprint.SHIFT + 1) if len(hs) >= fingerprint.LEAST << k), default=0)
+        bound = fingerprint._TOP >> k
+        return {h for h in hs if h <= bound}, bound
+
+    rows = sorted(small.collect(), key=lambda r: -r.doc_id)
+    got = {r.doc_id: r for r in fingerprint.op6(small).collect()}
+    for i, r in enumerate(rows):
+        (a, p), (b, q) = sketch(of(r.text)), sketch(of(rows[(i + 1) % len(rows)].text))
+        text = f"{p:x}:" + ",".join(f"{h:x}" for h in sorted(a))
+        assert got[r.doc_id].fingerprint == text
+        a, b = ({h for h in x if h <= min(p, q)} for x in (a, b))
+        assert got[r.doc_id].near_next == (len(a & b) / len(a | b) if a | b else float(a == b))
+
+
+def test_sketches_merge(spark):
+    rng = random.Random(6)
+    word = lambda n: " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(n))
+    short, long = word(40), word(900)
+    df = spark.createDataFrame([(short, long)], "a string, b string")
+    df = fingerprint.sketch(fingerprint.sketch(df, "a", "ah", "ab"), "b", "bh", "bb")
+    hashes, bound = fingerprint.union((F.col("ah"), F.col("ab")), (F.col("bh"), F.col("bb")))
+    r = df.select("ah", "bh", hashes.alias("h"), bound.alias("b")).first()
+    assert r.b == fingerprint._TOP >> fingerprint.SHIFT and r.h == sorted({h for h in [*r.ah, *r.bh] if h <= r.b}) and len(r.ah) == 36
+
+
 def test_fingerprint_edges(spark, odd):
     got = fingerprint.op6(odd).collect()
     assert len(got) == len(ODD) and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
@@ -297,6 +343,13 @@ def test_next_across_buckets(spark):
     assert all(after[last[r.bucket]] == r.doc_id for r in order if r.tail) and sum(r.tail for r in order) == len(last)
 
 
+def test_buckets_of_clustered_ids(spark):
+    ids = [*range(2000), 10**15, 10**15 + 1, -(10**12)]
+    df = spark.createDataFrame([(i, "t") for i in ids], "doc_id long, text string").repartition(3)
+    sizes = Counter(r.bucket for r in fingerprint.with_next(df, per_bucket=20).filter("tail = 0").collect())
+    assert max(sizes.values()) <= 60 and len(sizes) > 80
+
+
 def test_packing(spark, small):
     from tokenizers import Tokenizer
 
