@@ -3,7 +3,9 @@
 Every text is scanned for candidate secrets. The value of each candidate is
 hashed, and for each hash the distinct owners and repositories that hold it
 are counted over the whole corpus: a value that many owners hold is a copied
-example, one that few hold looks like a live credential.
+example, and so is one that an owner has in very many repositories, as a
+template has; what few owners hold in few repositories looks like a live
+credential.
 
 Base kinds are always reported. Wider kinds, which alone would give too many
 false alarms, are reported only where their ownership says that they are live.
@@ -11,6 +13,8 @@ false alarms, are reported only where their ownership says that they are live.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,19 +27,45 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]+", 0, 24),
 )
-#: Kinds that ownership has to confirm.
+#: Kinds that ownership has to confirm. A match begins where a run
+#: of its first class does and takes runs whole, so that a scan stays linear.
 WIDER = (
     ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+", 0, 64),
-    ("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+    ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++", 0, 40),
     ("prefixed", r"(?:gh[pousr]_|glpat-|xox[abprs]-|sk_live_|rk_live_|AIza)[A-Za-z0-9_-]+", 0, 20),
-    ("url", r"[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s:/@]+@", 0, 10),
+    ("url", r"(?<![a-z0-9+.-])[a-z0-9+.-]++://[^\s:/@]++:[^\s:/@]++@", 0, 10),
 )
 #: A value that more distinct owners than this hold is an example.
 OWNERS = 2
+#: A value that more distinct repositories of one owner hold is a template.
+REPOSITORIES = 16
+_BLOCK = 64
 #: A quick test that any text with a candidate passes.
 _ANY = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|-----BEGIN |eyJ|gh[pousr]_|glpat-|xox[abprs]-|[sr]k_live_|AIza|://"
 
 
+def _folded(items: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """(at, out) of a walk over ``items`` from at = 0: each step gives the next place and an array, of type ``kind``, of what it adds.
+
+    Arrays grow by copying, so items are walked in blocks and the blocks joined
+    at the end: the work is linear in all but arrays of very many blocks.
+    """
+    empty = F.array().cast(f"array<{kind}>")
+    last = F.greatest(F.size(items) - 1, F.lit(0))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(last / _BLOCK).cast("int")), lambda k: F.slice(items, k * _BLOCK + 1, F.lit(_BLOCK)))
+
+    def one(acc: Column, item: Column) -> Column:
+        at, added = step(acc["at"], item)
+        return F.struct(at.cast("int").alias("at"), F.concat(acc["out"], added).alias("out"))
+
+    def block(acc: Column, part: Column) -> Column:
+        start = F.struct(acc["at"].alias("at"), empty.alias("out"))
+        return F.aggregate(part, start, one, lambda x: F.struct(x["at"].alias("at"), F.array_append(acc["out"], x["out"]).alias("out")))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.aggregate(blocks, begin, block, lambda x: F.struct(x["at"].alias("at"), F.flatten(x["out"]).alias("out")))
+
+
 def _found(text: Column, kind: tuple[str, str, int, int]) -> Column:
     """Array of (start, end, value) of the leftmost non-overlapping matches of a kind, failing ones dropped.
 
@@ -47,15 +77,16 @@ def _found(text: Column, kind: tuple[str, str, int, int]) -> Column:
     value = whole if group == 0 else F.regexp_extract_all(text, rule, F.lit(group))
     between = F.transform(F.split(text, pattern, -1), F.char_length)
     pairs = F.arrays_zip(whole.alias("m"), value.alias("v"), F.slice(between, 1, F.size(whole)).alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    of = "struct<start:int,end:int,value:string>"
+    none = F.array().cast(f"array<{of}>")
 
-    def step(acc: Column, p: Column) -> Column:
-        s = acc["at"] + p["gap"]
+    def step(at: Column, p: Column) -> tuple[Column, Column]:
+        s = at + p["gap"]
         e = s + F.char_length(p["m"])
         hit = F.struct(s.alias("start"), e.alias("end"), p["v"].alias("value"))
-        return F.struct(e.alias("at"), F.when(F.char_length(p["v"]) >= least, F.array_append(acc["out"], hit)).otherwise(acc["out"]).alias("out"))
+        return e, F.when(F.char_length(p["v"]) >= least, F.array(hit)).otherwise(none)
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(start["out"])
+    return F.when(text.rlike(pattern), _folded(pairs, of, step)["out"]).otherwise(none)
 
 
 def candidates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -95,20 +126,23 @@ def _is_base(s: Column) -> Column:
     return s["rank"] < len(BASE)
 
 
-def scan(docs: DataFrame, key: str = "doc_id", owner: str = "source", repository: str = "doc_id", owners: int = OWNERS) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", owner: str = "source", repository: str = "doc_id", owners: int = OWNERS, repositories: int = REPOSITORIES) -> DataFrame:
     """``key`` and ``spans`` of every row of ``docs``: base spans and confirmed wider ones.
 
-    Each span has kind, start, end, hash and live (few owners hold the value).
-    Rows that repeat a key are scanned on their own. No candidates gives an
-    empty list; an empty table gives no rows.
+    Each span has kind, start, end, hash and live: at most ``owners`` owners
+    hold the value, in at most ``repositories`` repositories each, on average.
+    Rows that repeat a key are scanned on their own. Without a column ``owner``
+    all rows have one owner. No candidates gives an empty list; an empty table
+    gives no rows.
     """
-    wanted = docs.select(F.col(key).alias("_key"), F.col(owner).alias("_own"), F.col(repository).alias("_repo"), "text")
+    own = F.col(owner) if owner in docs.columns else F.lit(None).cast("string")
+    wanted = docs.select(F.col(key).alias("_key"), own.alias("_own"), F.col(repository).alias("_repo"), "text")
     found = candidates(wanted, ("_key", "_own", "_repo")).withColumn("_row", F.when(F.size("spans") > 0, F.uuid()))
     found = saved(found, "candidates")
     some = found.filter("_row IS NOT NULL")
     freq = saved(ownership(some, "_own", "_repo"), "ownership")
     lists = some.select("_row", F.explode(F.array_distinct(F.col("spans.hash"))).alias("hash")).join(freq, "hash")
-    live = lists.filter(F.col("n_owners") <= owners).groupBy("_row").agg(F.collect_set("hash").alias("_live"))
+    live = lists.filter((F.col("n_owners") <= owners) & (F.col("n_repositories") <= F.col("n_owners") * repositories)).groupBy("_row").agg(F.collect_set("hash").alias("_live"))
     joined = some.join(live, "_row", "left")
     none = F.array().cast("array<string>")
     marked = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["hash"].alias("hash"), F.array_contains(F.coalesce("_live", none), s["hash"]).alias("live")))
@@ -129,19 +163,18 @@ def redact(docs: DataFrame, owner: str = "source", owners: int = OWNERS, mark: s
     may = text.rlike(_ANY)
     ident = F.xxhash64(F.col("text"), F.col("doc_id"))
     row = F.struct(*(F.col(n).alias(f"c{i}") for i, n in enumerate(docs.columns)))  # no name of ``docs`` meets one of ours
-    keyed = docs.filter(may).select(F.struct("doc_id", ident.alias("h")).alias("id"), F.col("doc_id").alias("repository"), F.col(owner).alias("owner"), "text", row.alias("row"))
+    keyed = docs.filter(may).select(F.struct("doc_id", ident.alias("h")).alias("id"), F.col("doc_id").alias("repository"), (F.col(owner) if owner in docs.columns else F.lit(None).cast("string")).alias("owner"), "text", row.alias("row"))
     spans = scan(keyed.select("id", "repository", "owner", "text"), "id", "owner", "repository", owners)
     spans = spans.filter(F.size("spans") > 0).groupBy("id").agg(F.first("spans").alias("spans"))
     joined = keyed.join(spans, "id", "left")
 
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        gap = F.substr(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        gap = F.substr(F.col("text"), at + 1, F.greatest(s["start"] - at, F.lit(0)))
         mark_of = F.concat(F.lit(mark.split("{}")[0]), s["kind"], F.lit(mark.split("{}")[1]))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, mark_of)).alias("out"))
+        return F.greatest(at, s["end"]), F.when(s["start"] < at, F.array().cast("array<string>")).otherwise(F.array(gap, mark_of))
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    new = F.aggregate(F.col("spans"), begin, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1)))
+    joined = joined.withColumn("_new", F.when(F.col("spans").isNotNull(), _folded(F.col("spans"), "string", step)))
+    new = F.concat(F.array_join("_new.out", ""), F.substr(F.col("text"), F.col("_new.at") + 1))
     changed = joined.select("row", F.col("spans").isNotNull().alias("hit"), F.when(F.col("spans").isNotNull(), new).otherwise(F.col("text")).alias("text"))
     columns = {n: F.col(f"row.c{i}") for i, n in enumerate(docs.columns)} | {"text": F.col("text")}
     if "n_chars" in docs.columns:
@@ -150,8 +183,11 @@ def redact(docs: DataFrame, owner: str = "source", owners: int = OWNERS, mark: s
 
 
 def op8(documents: DataFrame) -> DataFrame:
-    """Counts and spans of the secrets in every whole text of ``documents``."""
-    found = scan(documents.select("doc_id", "source", "text"))
+    """Counts and spans of the secrets in every whole text of ``documents``; its source is the owner, each doc_id a repository.
+
+    A null text is an empty one. A table without a column source is one owner's.
+    """
+    found = scan(documents)
     base = F.filter("spans", _is_base)
 
     def joined(spans: Column) -> Column:
