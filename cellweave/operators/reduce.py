@@ -19,13 +19,21 @@ def stats(grid: Grid, column: str = "v") -> DataFrame:
     return out.agg(*aggs, F.count("*").alias("cells"), F.min(c).alias("least"), F.max(c).alias("most"), F.sum(c).alias("total"), F.avg(c).alias("mean"))
 
 
-def fold(values: DataFrame, column: str, zero: Column, op: Callable[[Column, Column], Column]) -> DataFrame:
+def fold(values: DataFrame, column: str, zero: Column, op: Callable[[Column, Column], Column], group: int = 1 << 16) -> DataFrame:
     """Reduce a column by any associative and commutative ``op`` with neutral ``zero``; one row, column ``v``.
 
-    Values are folded in 1024 groups first, so no task gathers more than a share.
+    Values are folded in groups of ``group`` rows at most, whatever the values,
+    then the results of groups, until one is left.
     """
-    groups = values.groupBy((F.xxhash64(column) % 1024).alias("g")).agg(F.aggregate(F.collect_list(column), zero, op).alias("v"))
-    return groups.agg(F.aggregate(F.collect_list("v"), zero, op).alias("v"))
+    n = values.count()
+    left = values.select(F.col(column).alias("v"))
+    while n > group:
+        row = F.monotonically_increasing_id()  # rows of a partition stand together
+        left = saved(left.groupBy(F.floor(row / group).alias("g")).agg(F.aggregate(F.collect_list("v"), zero, op).alias("v")).select("v"), "fold")
+        n, before = left.count(), n
+        if n * 2 > before:  # partitions of few rows each
+            left = left.coalesce(max(1, n // group))
+    return left.agg(F.aggregate(F.collect_list("v"), zero, op).alias("v"))
 
 
 def sum_differences(a: Grid, b: Grid, column: str = "v") -> DataFrame:
@@ -54,16 +62,27 @@ def integral(grid: Grid, column: str, out: str = "integral") -> Grid:
     return g
 
 
+def _ahead(sums: DataFrame, chunk: int) -> DataFrame:
+    """_c, _b: for each chunk number the sum of _s over all smaller ones, in chunks of chunks, so that no task holds them all."""
+    sums = saved(sums, "sums")
+    to_here = F.coalesce(F.sum("_s").over(Window.partitionBy("_g").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if sums.count() <= chunk:
+        return sums.withColumn("_g", F.lit(0)).select("_c", to_here.alias("_b"))
+    groups = sums.withColumn("_g", F.floor(F.col("_c") / chunk))
+    over = _ahead(groups.groupBy(F.col("_g").alias("_c")).agg(F.sum("_s").alias("_s")), chunk)
+    within = groups.select("_c", "_g", to_here.alias("_w"))
+    return within.join(over.select(F.col("_c").alias("_g"), "_b"), "_g").select("_c", (F.col("_w") + F.col("_b")).alias("_b"))
+
+
 def scan_long(df: DataFrame, order: str, column: str, out: str = "scan", chunk: int = 1 << 16) -> DataFrame:
     """Inclusive prefix sum over one row of any length, by chunks of ``order`` (whole numbers from 0).
 
-    Sums of chunks are scanned, and each chunk is scanned on its own with what
-    comes before it, so no task holds the whole row.
+    Sums of chunks are scanned, again by chunks where there are many, and each
+    chunk is scanned on its own with what comes before it, so no task holds more
+    than a chunk.
     """
     with_chunk = df.withColumn("_c", F.floor(F.col(order) / chunk))
-    sums = with_chunk.groupBy("_c").agg(F.sum(column).alias("_s"))
-    before = F.coalesce(F.sum("_s").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ahead = saved(sums.select("_c", before.alias("_b")), "chunks")
+    ahead = _ahead(with_chunk.groupBy("_c").agg(F.sum(column).alias("_s")), chunk)
     w = Window.partitionBy("_c").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return with_chunk.withColumn(out, F.sum(column).over(w)).join(ahead, "_c").withColumn(out, F.col(out) + F.col("_b")).drop("_c", "_b")
 
@@ -74,10 +93,8 @@ def dense_labels(labels: DataFrame, column: str = "label", start: int = 1, chunk
     Only distinct labels are numbered, in chunks of the label range, so the
     numbering is not one task's work either.
     """
-    distinct = labels.select(column).distinct().withColumn("_c", F.floor(F.col(column) / chunk))
-    sizes = distinct.groupBy("_c").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ahead = sizes.select("_c", before.alias("_b"))
+    distinct = saved(labels.select(column).distinct().withColumn("_c", F.floor(F.col(column) / chunk)), "distinct")
+    ahead = _ahead(distinct.groupBy("_c").agg(F.count("*").alias("_s")), chunk)
     rank = F.row_number().over(Window.partitionBy("_c").orderBy(column))
     table = saved(distinct.withColumn("_r", rank).join(ahead, "_c").select(column, (F.col("_r") + F.col("_b") + (start - 1)).alias("_new")), "labels")
     return labels.join(table, column).withColumn(column, F.col("_new")).drop("_new")

@@ -73,24 +73,30 @@ def components(links: DataFrame, a: str = "a", b: str = "b", small: int = SMALL)
     Nodes hook to the smallest of their closed neighbourhood, look one hook
     further, and the links are contracted; rounds grow with the logarithm of the
     longest path, not with its length. Once at most ``small`` links are left, one
-    task closes them.
+    task closes them; ``small`` of 0 leaves nothing to one task. Links may
+    repeat, point at themselves or hold nulls (passed over). Rounds end in
+    written tables, so a lost executor costs the work of one.
     """
     u, v = F.col(a).cast("long"), F.col(b).cast("long")
     edges = saved(links.filter(u != v).select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct(), "links")
-    if edges.count() <= small:
-        return saved(edges.repartition(1).mapInArrow(_close_task, "id long, root long"), "closed")
     found: DataFrame | None = None
-    while not edges.isEmpty():
+
+    def moved(by: DataFrame) -> DataFrame:
+        """Roots so far, taken on by (id, root) of ``by``."""
+        if found is None:
+            return by
+        step = by.select(F.col("id").alias("root"), F.col("root").alias("to"))
+        return found.join(step, "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+
+    while (n := edges.count()) > small:
         both = edges.unionByName(edges.selectExpr("v AS u", "u AS v"))
         hook = saved(both.groupBy("u").agg(F.least("u", F.min("v")).alias("to")), "hook")
         hook = saved(hook.join(hook.selectExpr("u AS to", "to AS far"), "to").selectExpr("u", "far AS to"), "jump")
-        if found is None:
-            found = hook.selectExpr("u AS id", "to AS root")
-        else:
-            found = found.join(hook.selectExpr("u AS root", "to"), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
-        found = saved(found, "found")
-        moved = edges.join(hook.selectExpr("u", "to AS p"), "u").join(hook.selectExpr("u AS v", "to AS q"), "v").filter("p != q")
-        edges = saved(moved.select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct(), "links")
+        found = saved(moved(hook.selectExpr("u AS id", "to AS root")), "found")
+        between = edges.join(hook.selectExpr("u", "to AS p"), "u").join(hook.selectExpr("u AS v", "to AS q"), "v").filter("p != q")
+        edges = saved(between.select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct(), "links")
+    if n:
+        return saved(moved(saved(edges.repartition(1).mapInArrow(_close_task, "id long, root long"), "closed")), "found")
     return edges.selectExpr("u AS id", "v AS root") if found is None else found
 
 
