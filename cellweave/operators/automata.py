@@ -10,14 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..grid import Grid
-from ..plans.fixpoint import components, iterate, roots, until_stable
+from ..plans.fixpoint import SMALL, NotStable, components, iterate, roots, until_stable
 from ..plans.storage import saved
 from .filters import has_smaller, local_minima, lower_completion
 from .stencil import Offset, moore, neighbours, total, von_neumann
+from .tiles import map_tiles
 
 
 class Automaton:
@@ -30,32 +32,31 @@ class Automaton:
     def __init__(self, grid: Grid, offsets: list[Offset], rule: Callable[[dict[str, Column]], dict[str, Column]], border: str = "repeat"):
         self.grid, self.offsets, self.rule, self.border = grid, offsets, rule, border
 
-    def step(self, df: DataFrame) -> DataFrame:
+    def step(self, df: DataFrame, watched: Sequence[str] = ()) -> DataFrame:
+        """The next state; with ``watched`` also _changed: whether one of these columns is new."""
         g = self.grid.of(df)
         names = g.values
         for n in names:
             g = neighbours(g, n, self.offsets, self.border, out=f"n_{n}")
-        return g.add(**self.rule({n: F.col(f"n_{n}") for n in names})).of_without(*(f"n_{n}" for n in names)).df
+        new = self.rule({n: F.col(f"n_{n}") for n in names})
+        if watched:
+            changed = F.lit(False)
+            for c in watched:
+                changed = changed | (~new[c].eqNullSafe(F.col(f"n_{c}")[0]) if c in new else F.lit(False))
+            new = new | {"_changed": changed}
+        return g.add(**new).of_without(*(f"n_{n}" for n in names)).df
 
     def iterate(self, n: int) -> Grid:
         """The state after ``n`` steps."""
         return self.grid.of(iterate(self.grid.df, self.step, n))
 
     def until_stable(self, columns: Sequence[str], limit: int = 1000) -> Grid:
-        """The first state that a step leaves as it is, in ``columns``."""
-
-        def step(df: DataFrame) -> DataFrame:
-            before = df.drop("_changed").withColumns({f"_old_{c}": F.col(c) for c in columns})
-            new = self.grid.of(df.drop("_changed"))
-            done = self.grid.of(self.step(new.df)).df
-            joined = done.join(before.select(*self.grid.coords, *(f"_old_{c}" for c in columns)), list(self.grid.coords))
-            changed = F.lit(False)
-            for c in columns:
-                changed = changed | ~F.col(c).eqNullSafe(F.col(f"_old_{c}"))
-            return joined.select(*done.columns, changed.alias("_changed"))
-
+        """The first state that a step leaves as it is, in ``columns``; the first offset has to be the centre."""
+        if any(self.offsets[0]):
+            raise ValueError("the first offset is not the centre")
         start = self.grid.df.withColumn("_changed", F.lit(True))
-        return self.grid.of(until_stable(start, step, F.col("_changed"), limit).drop("_changed"))
+        done = until_stable(start, lambda df: self.step(df.drop("_changed"), columns), F.col("_changed"), limit)
+        return self.grid.of(done.drop("_changed"))
 
 
 def conway(n: dict[str, Column]) -> dict[str, Column]:
@@ -86,18 +87,19 @@ def _links(grid: Grid, offsets: list[Offset], keep: Callable[[Column, Column], C
     return pairs.filter(F.col("p.b").isNotNull() & keep(F.col("_v"), F.col("p.w"))).select("a", F.col("p.b").alias("b"))
 
 
-def label_components(grid: Grid, column: str = "v", offsets: list[Offset] | None = None, same: bool = False, out: str = "label") -> Grid:
+def label_components(grid: Grid, column: str = "v", offsets: list[Offset] | None = None, same: bool = False, out: str = "label", small: int = SMALL) -> Grid:
     """Connected components of foreground cells: the smallest linear index plus one of each, 0 for background.
 
     offsets: the neighbourhood (all cells around). same: only cells of equal
-    value are connected. For frames of one grid.
+    value are connected. small: lists of at most so many links are closed in
+    one task. For frames of one grid.
     """
     offsets = offsets or moore(len(grid.axes))
 
     def keep(a: Column, b: Column) -> Column:
         return (a != 0) & (b != 0) & ((a == b) if same else F.lit(True))
 
-    found = components(_links(grid, offsets, keep, column))
+    found = components(_links(grid, offsets, keep, column), small=small)
     df = grid.df.withColumn("id", grid.index()).join(found, "id", "left")
     return grid.of(df.withColumn(out, F.when(F.col(column) != 0, F.coalesce("root", "id") + 1).otherwise(F.lit(0))).drop("id", "root"))
 
@@ -116,28 +118,66 @@ def _plateaus(grid: Grid, column: str) -> Grid:
     return grid.of(df.withColumn("_plateau", F.coalesce("root", "id")).drop("id", "root"))
 
 
-def watershed_distance(grid: Grid, column: str = "v", offsets: list[Offset] | None = None, limit: int = 10000) -> Grid:
-    """Label and distance of the nearest regional minimum, where entering a cell costs its value.
-
-    Of neighbours at equal distance the first in the order of offsets gives its
-    label; a cell only changes for a smaller distance. Steps run until stable.
+def _relax(offsets: list[Offset]) -> Callable[[list[np.ndarray], list[tuple[int, int]]], list[np.ndarray]]:
+    """Distances, hops and labels of a tile from those around it, until they stand."""
+    steps = [tuple(reversed(o)) for o in offsets[1:]]
+
+    def solve(arrays: list[np.ndarray], pads: list[tuple[int, int]]) -> list[np.ndarray]:
+        v, seed, dist, hops, label = (a.copy() for a in arrays)
+        inside = tuple(slice(b, n - e) for n, (b, e) in zip(v.shape, pads, strict=True))
+        outside = np.ones(v.shape, dtype=bool)
+        outside[inside] = False
+        dist[outside] = np.inf  # nothing comes from beyond the grid
+        inner = tuple(slice(1, n - 1) for n in v.shape)
+        free = seed[inner] == 0
+        before = [a[inner].copy() for a in (dist, hops, label)]
+        for _ in range(v.size + 1):
+            low = [np.full(free.shape, np.inf), np.full(free.shape, np.inf), np.zeros(free.shape)]
+            for o in steps:
+                at = tuple(slice(1 + d, n - 1 + d) for d, n in zip(o, v.shape, strict=True))
+                d, h = dist[at] + v[inner], hops[at] + 1
+                better = (d < low[0]) | ((d == low[0]) & (h < low[1]))
+                for a, new in zip(low, (d, h, label[at]), strict=True):
+                    a[better] = new[better]
+            moved = free & np.isfinite(low[0]) & ((low[0] != dist[inner]) | (low[1] != hops[inner]) | (low[2] != label[inner]))
+            if not moved.any():
+                break
+            for a, new in zip((dist, hops, label), low, strict=True):
+                a[inner][moved] = new[moved]
+        changed = np.zeros(v.shape)
+        changed[inner] = sum((a[inner] != b) for a, b in zip((dist, hops, label), before, strict=True))
+        return [dist, hops, label, changed]
+
+    return solve
+
+
+def watershed_distance(grid: Grid, column: str = "v", offsets: list[Offset] | None = None, limit: int = 10000, tile: int | None = None) -> Grid:
+    """Label and distance of the nearest regional minimum, where entering a cell costs its value, which is not below 0.
+
+    Of paths of equal distance the one of fewest cells counts, and of equal ones
+    that which comes from the first neighbour in the order of offsets: so it is
+    in synchronous steps in which a cell only changes for a smaller distance.
+    Tiles are solved on their own from the cells around them, until none
+    changes; rounds grow with the tiles that a path crosses, not with its cells.
     """
     offsets = offsets or von_neumann(len(grid.axes))
+    tile = tile or (128 if len(grid.axes) == 2 else 32)
     seeds = regional_minima(grid, column)
-    state = seeds.add(distance=F.when(F.col("label") > 0, F.lit(0.0)))
-
-    def step(df: DataFrame) -> DataFrame:
-        g = neighbours(grid.of(df.drop("changed")), "label", offsets[1:], "none", out="_l")
-        g = neighbours(g, "distance", offsets[1:], "none", out="_d")
-        ranked = F.transform(F.sequence(F.lit(0), F.lit(len(offsets) - 2)), lambda i: F.struct(F.get("_d", i).alias("d"), i.alias("k"), F.get("_l", i).alias("l")))
-        best = F.array_min(F.filter(ranked, lambda s: s["d"].isNotNull() & (s["l"] != 0)))
-        new = best["d"] + F.col(column)
-        better = F.coalesce(new < F.coalesce("distance", F.lit(float("inf"))), F.lit(False))
-        df = g.df.withColumn("_b", best)
-        return df.withColumns({"changed": better, "label": F.when(better, F.col("_b.l")).otherwise(F.col("label")), "distance": F.when(better, F.col("_b.d") + F.col(column)).otherwise(F.col("distance"))}).drop("_l", "_d", "_b")
-
-    done = until_stable(state.df.withColumn("changed", F.lit(True)), step, F.col("changed"), limit)
-    return grid.of(done.drop("changed"))
+    number = F.col("label").cast("double")
+    far = F.lit(float("inf"))
+    state = seeds.map(_v=F.col(column).cast("double"), _seed=number, _d=F.when(number > 0, 0.0).otherwise(far), _h=F.when(number > 0, 0.0).otherwise(far), _l=number)
+    for _ in range(limit):
+        state = state.of(saved(state.df, "distances"))
+        done = map_tiles(state, ["_v", "_seed", "_d", "_h", "_l"], 1, _relax(offsets), ["_d", "_h", "_l", "_changed"], tile)
+        done = done.of(saved(done.df, "relaxed"))
+        one_tile = all(n <= tile for n in grid.size) and not grid.keys
+        if one_tile or done.df.filter("_changed > 0").isEmpty():
+            break
+        state = state.of(state.df.select(*grid.coords, "_v", "_seed").join(done.df.drop("_changed"), list(grid.coords)))
+    else:
+        raise NotStable(f"not stable after {limit} rounds")
+    found = done.df.select(*grid.coords, F.when(F.col("_d") < far, F.col("_d")).alias("distance"), F.col("_l").cast("long").alias("label"))
+    return grid.of(grid.df.join(found, list(grid.coords)))
 
 
 def _descent(grid: Grid, column: str, offsets: list[Offset], out: str) -> Grid:
@@ -264,7 +304,7 @@ def _simple(grid: Grid, *args, **kwargs) -> Grid:
 #: Methods of watershed by name.
 WATERSHEDS = {
     "distance": watershed_distance,
-    "distance_async": watershed_distance,
+    "distance_async": lambda *args: watershed_distance(*args, tile=16),
     "descent_pointer": watershed_pointers,
     "descent_gs": watershed_merged,
     "descent_smaller": watershed_smaller,
