@@ -74,6 +74,11 @@ def truncated_div(a: Column, d: int) -> Column:
     return F.transform(a, lambda x: ((x - x % d) / d).cast("long"))
 
 
+def quotients(a: Column, b: Column) -> Column:
+    """Integer division of each component by that of ``b``, towards zero; null where it is 0."""
+    return F.zip_with(a, b, lambda x, y: F.when(y != 0, (x - x % y) / y).cast("long"))
+
+
 def insert(a: Column, at: int, value) -> Column:
     """A vector of one more dimension, with ``value`` at place ``at``."""
     return F.concat(F.slice(a, 1, at), F.array(F.lit(value)), F.slice(a, at + 1, F.size(a)))

@@ -12,7 +12,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions.vectors import PACKED, unpack
 from ..grid import Grid
 from .filters import DERIVE, SMOOTH, gaussian_kernel
 
@@ -95,30 +94,43 @@ def _convolve(a: np.ndarray, taps: Sequence[float], axis: int) -> np.ndarray:
 
 
 def _sobel(a: np.ndarray) -> list[np.ndarray]:
-    """Sobel derivatives along x, y, z of an array indexed z, y, x."""
+    """Sobel derivatives along x, y (and z) of an array indexed by the axes in reverse."""
     out = []
-    for d in (2, 1, 0):
+    for d in reversed(range(a.ndim)):
         g = a
-        for axis in range(3):
+        for axis in range(a.ndim):
             g = _convolve(g, DERIVE if axis == d else SMOOTH, axis)
         out.append(g)
     return out
 
 
+def _packed(dims: int) -> tuple[tuple[int, int], ...]:
+    """Row and column of each component of a packed symmetric tensor."""
+    return tuple((i, j) for i in range(dims) for j in range(i, dims))
+
+
 def diffusion_tensor(tensor: np.ndarray, alpha: float, contrast: float) -> np.ndarray:
-    """Packed diffusion tensors of packed structure tensors (rows of six).
+    """Packed diffusion tensors of packed structure tensors (rows of six in space, of three in the plane).
 
     All directions get alpha; the one of least change gets (1 - alpha) ·
     exp(-contrast / coherence) more, where the coherence, the sum of squared
     differences of eigenvalues, is not nearly 0.
     """
-    values, vectors = np.linalg.eigh(unpack(tensor))
-    k = (values[:, 0] - values[:, 1]) ** 2 + (values[:, 0] - values[:, 2]) ** 2 + (values[:, 1] - values[:, 2]) ** 2
+    dims = 3 if tensor.shape[1] == 6 else 2
+    values, vectors = np.linalg.eigh(_full(tensor, dims))
+    k = sum((values[:, i] - values[:, j]) ** 2 for i in range(dims) for j in range(i + 1, dims))
     new = np.full_like(values, alpha)
     strong = k >= 1e-8
     new[strong, 0] += (1 - alpha) * np.exp(-contrast / k[strong])
     full = np.einsum("nij,nj,nkj->nik", vectors, new, vectors)
-    return np.stack([full[:, i, j] for i, j in PACKED], axis=1)
+    return np.stack([full[:, i, j] for i, j in _packed(dims)], axis=1)
+
+
+def _full(packed: np.ndarray, dims: int) -> np.ndarray:
+    full = np.empty((len(packed), dims, dims))
+    for k, (i, j) in enumerate(_packed(dims)):
+        full[:, i, j] = full[:, j, i] = packed[:, k]
+    return full
 
 
 def _hold(a: np.ndarray, pads: Sequence[tuple[int, int]]) -> np.ndarray:
@@ -128,28 +140,43 @@ def _hold(a: np.ndarray, pads: Sequence[tuple[int, int]]) -> np.ndarray:
 
 
 def coherence_step(v: np.ndarray, pads: Sequence[tuple[int, int]], dt: float, alpha: float, contrast: float) -> np.ndarray:
-    """One explicit step of coherence-enhancing diffusion on a 3-D array with ``pads`` cells beyond the border."""
+    """One explicit step of coherence-enhancing diffusion on an array of two or three axes with ``pads`` cells beyond the border."""
     g = _sobel(v)
     tensor = []
-    for i, j in PACKED:
+    for i, j in _packed(v.ndim):
         t = _hold(g[i] * g[j], pads)
-        for axis in range(3):
+        for axis in range(v.ndim):
             t = _convolve(t, gaussian_kernel(2), axis)
         tensor.append(t)
     d = diffusion_tensor(np.stack([t.ravel() for t in tensor], axis=1), alpha, contrast)
-    full = unpack(d)
-    flux = np.einsum("nij,nj->ni", full, np.stack([a.ravel() for a in g], axis=1))
-    div = sum(_sobel(_hold(flux[:, i].reshape(v.shape), pads))[i] for i in range(3))
+    flux = np.einsum("nij,nj->ni", _full(d, v.ndim), np.stack([a.ravel() for a in g], axis=1))
+    div = sum(_sobel(_hold(flux[:, i].reshape(v.shape), pads))[i] for i in range(v.ndim))
     return v + dt * div
 
 
-def coherence_diffusion(grid: Grid, column: str = "v", steps: int = 1, dt: float = 0.05, alpha: float = 0.001, contrast: float = 15.0, out: str = "v", tile: int = 32) -> Grid:
-    """Coherence-enhancing diffusion of a volume, a fixed number of explicit steps."""
+def coherence_diffusion(grid: Grid, column: str = "v", steps: int = 1, dt: float = 0.05, alpha: float = 0.001, contrast: float = 15.0, out: str = "v", tile: int = 32, together: int = 1) -> Grid:
+    """Coherence-enhancing diffusion of a plane or a volume, a fixed number of explicit steps.
+
+    together: steps between two exchanges of tiles; halos grow with them.
+    """
     from ..plans.storage import saved
 
     g = grid.map(**{out: F.col(column).cast("double")})
-    for i in range(steps):
-        g = map_tiles(g, [out], 6, lambda arrays, pads: [coherence_step(arrays[0], pads, dt, alpha, contrast)], [out], tile)
-        if i + 1 < steps:
+
+    def several(n: int):
+        def solve(arrays: list[np.ndarray], pads: list[tuple[int, int]]) -> list[np.ndarray]:
+            v = arrays[0]
+            for _ in range(n):
+                v = _hold(coherence_step(v, pads, dt, alpha, contrast), pads)
+            return [v]
+
+        return solve
+
+    done = 0
+    while done < steps:
+        n = min(together, steps - done)
+        g = map_tiles(g, [out], 6 * n, several(n), [out], tile)
+        done += n
+        if done < steps:
             g = g.of(saved(g.df, "diffusion"))
     return g

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells as C
 from ..grid import Grid
-from ..operators import automata, filters, maxflow, reduce
+from ..operators import automata, filters, maxflow, reduce, tiles
 from ..operators.stencil import moore
 from ..sources.generate import lattice
 from .storage import saved
@@ -69,6 +69,20 @@ def region_segmentation(grid: Grid, mask: Grid, column: str = "v", strong: float
     return regions.of(regions.df.join(segments.select(F.col("id").alias("label"), "side"), "label").select(*grid.axes, "label", "side"))
 
 
+def minima_colours(gray: Grid, column: str = "v") -> Grid:
+    """Regional minima of a gray image, and the colours of their labels."""
+    found = automata.regional_minima(gray, column)
+    c0, c1, c2 = C.colour(F.col("label"))
+    return found.map(label=F.col("label"), c0=c0, c1=c1, c2=c2)
+
+
+def diffuse_image(gray: Grid, column: str = "v", steps: int = 80, dt: float = 0.1, together: int = 8) -> Grid:
+    """Coherence-enhancing diffusion of an image of bytes, and the bytes after it."""
+    unit = gray.map(v=F.col(column) / 255.0)
+    done = tiles.coherence_diffusion(unit, steps=steps, dt=dt, tile=128, together=together)
+    return done.map(v=C.to_byte(F.col("v") * 255))
+
+
 def image_watershed(rgb: Grid, method: str = "distance") -> Grid:
     """Sum of channels, gradient with negative values cut, watershed, colours of labels."""
     v = C.total(*(F.col(c) for c in rgb.values))

@@ -51,6 +51,16 @@ def cleanup(spark: SparkSession) -> None:
     fs.delete(path, True)
 
 
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """Write one file through Spark's file systems, from the driver."""
+    fs, where = _hadoop(spark, path)
+    out = fs.create(where, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
 def saved(df: DataFrame, name: str = "step") -> DataFrame:
     """``df`` as a parquet table in the shared folder, read back.
 

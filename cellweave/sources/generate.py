@@ -152,6 +152,18 @@ def lattice(grid: Grid, column: str, capacity, directed: bool = False) -> DataFr
     return out.withColumn("w_fwd", F.col("w_fwd").cast("double"))
 
 
+def full_lattice(grid: Grid, column: str, capacity) -> DataFrame:
+    """Edges (eid, a, b, w_fwd, w_bwd) between all cells around each other (8 or 26), a the lower id; capacities as for ``lattice``."""
+    from ..operators.stencil import moore, neighbours
+
+    half = [o for o in moore(len(grid.axes)) if tuple(reversed(o)) > (0,) * len(o)]
+    g = grid.add(_id=grid.index())
+    g = neighbours(neighbours(g, "_id", half, "none", out="_ids"), column, half, "none", out="_vs")
+    each = g.df.select(F.col("_id").alias("a"), F.col(column).alias("v1"), F.posexplode(F.arrays_zip(F.col("_ids").alias("b"), F.col("_vs").alias("v2"))).alias("k", "p"))
+    each = each.filter("p.b IS NOT NULL").withColumn("c", capacity(F.col("v1"), F.col("p.v2")).cast("double"))
+    return each.select((F.col("a") * len(half) + F.col("k")).alias("eid"), "a", F.col("p.b").alias("b"), F.col("c").alias("w_fwd"), F.col("c").alias("w_bwd"))
+
+
 def layered_graph(spark: SparkSession, layers: int, width: int, degree: int, weak: int) -> tuple[DataFrame, DataFrame]:
     """(vertices, edges) of a graph in layers, each vertex joined to ``degree`` of the next layer.
 

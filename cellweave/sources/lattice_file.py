@@ -9,11 +9,14 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.storage import put
+
 #: Magic; dimension, connectivity, width, height, depth; maximum
 #: flow; symmetric; metadata; active cells, type of terminal and of neighbour
 #: capacities (0, 1, 2: 8, 16, 32 bits unsigned).
@@ -25,6 +28,9 @@ STEPS = {
     4: ((-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0)),
     6: ((-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)),
 }
+#: All cells around, x fastest, in the plane and in space.
+for _n, _dims in ((8, 2), (26, 3)):
+    STEPS[_n] = tuple((*reversed(o), *(0,) * (3 - _dims)) for o in product((-1, 0, 1), repeat=_dims) if any(o))
 
 
 @dataclass
@@ -52,6 +58,8 @@ class Lattice:
         if data[:3] != MAGIC:
             raise ValueError("no lattice file")
         _, many, w, h, d, flow, _, metadata, _, terminal, neighbour = HEADER.unpack_from(data, 3)
+        if many not in STEPS:
+            raise ValueError(f"no lattice of {many} neighbours; there are {', '.join(map(str, STEPS))}")
         at, cells = 3 + HEADER.size, w * h * d
 
         def take(kind: str) -> np.ndarray:
@@ -104,9 +112,4 @@ def read_lattices(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 def write_lattice(spark: SparkSession, lattice: Lattice, path: str) -> None:
     """Write one instance through Spark's file systems."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    out = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop, True)
-    try:
-        out.write(bytearray(lattice.pack()))
-    finally:
-        out.close()
+    put(spark, path, lattice.pack())

@@ -57,16 +57,17 @@ def _triple(group: int, rule: str) -> Column:
 
 
 def parse_shapes(lines: DataFrame) -> DataFrame:
-    """kind, centre, direction, radius, extent, value of lines ``e[c] r v``, ``t[c][d] r len v``, ``p[c][n] r thick v``."""
+    """kind, centre, direction, radius, extent, value of lines ``e[c] r v``, ``t[c][d] r len v``, ``p[c][n] r thick v``; and ord, if the lines have one."""
+    rank = ["ord"] if "ord" in lines.columns else []
     number = r"\s+([-+.\deE]+)"
     e = r"^\s*(e)\[([^\]]*)\]" + number * 2
     o = r"^\s*([tp])\[([^\]]*)\]\[([^\]]*)\]" + number * 3
     first = lines.filter(F.col("value").rlike(e)).select(
-        F.lit("e").alias("kind"), _triple(2, e).alias("centre"), F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)).alias("direction"),
+        *rank, F.lit("e").alias("kind"), _triple(2, e).alias("centre"), F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)).alias("direction"),
         F.regexp_extract("value", e, 3).cast("double").alias("radius"), F.lit(0.0).alias("extent"), F.regexp_extract("value", e, 4).cast("double").alias("value"),
     )
     second = lines.filter(F.col("value").rlike(o)).select(
-        F.regexp_extract("value", o, 1).alias("kind"), _triple(2, o).alias("centre"), _triple(3, o).alias("direction"),
+        *rank, F.regexp_extract("value", o, 1).alias("kind"), _triple(2, o).alias("centre"), _triple(3, o).alias("direction"),
         F.regexp_extract("value", o, 4).cast("double").alias("radius"), F.regexp_extract("value", o, 5).cast("double").alias("extent"), F.regexp_extract("value", o, 6).cast("double").alias("value"),
     )
     return first.unionByName(second)
