@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +14,8 @@ from .grid import Grid, coords_of, empty_grid
 from .operators import automata as A
 from .operators import filters, maps, maxflow, reduce, stencil, tiles
 from .plans import pipelines
-from .sources import generate, tables, text
+from .plans.storage import run_dir
+from .sources import generate, lattice_file, tables, text
 
 # ---------------------------------------------------------------- grids
 
@@ -155,6 +159,31 @@ def tensor_math(spark, sf_dir):
     return df.select("x", "y", F.round(value[0] + value[1] + value[2], 4).alias("trace"), F.round(F.round(value[0] * value[1] * value[2], 6), 4).alias("det"), F.round(m0, 4).alias("m0"), (err < 1e-6).alias("rebuilt"))
 
 
+@query(f"""WITH {LI}, a AS (SELECT x, y, v, x + 1.0 AS a0, y - 3.0 AS a1, v / 100.0 AS a2, v - 900 AS i0, x - 16 AS i1, y AS i2 FROM li)
+SELECT x, y, round(CAST(2.5 * a2 AS DOUBLE), 6) AS scaled, true AS same, x = 0 AS other, CAST(i0 // 7 AS BIGINT) AS d0, CAST(i1 // 7 AS BIGINT) AS d1, CAST(i0 // nullif(i1, 0) AS BIGINT) AS q0, CAST(i2 // nullif(i0, 0) AS BIGINT) AS q2,
+CAST(a0 AS DOUBLE) AS n0, CAST(9 AS DOUBLE) AS n1, CAST(a1 AS DOUBLE) AS n2, round(CAST(least(a0, a1, a2) AS DOUBLE), 6) AS low, round(CAST(greatest(a0, a1, a2) AS DOUBLE), 6) AS high,
+round(a1 / sqrt(a0 * a0 + a1 * a1), 6) AS o0, round(-a0 / sqrt(a0 * a0 + a1 * a1), 6) AS o1, CAST(0 AS DOUBLE) AS o2, round(a2 / sqrt(a0 * a0 + a1 * a1 + a2 * a2), 6) AS u2 FROM a""")
+def vector_forms(spark, sf_dir):
+    g = li(spark, sf_dir)
+    a = F.array(F.col("x") + 1.0, F.col("y") - 3.0, F.col("v") / 100.0)
+    i = F.array(F.col("v") - 900, F.col("x") - 16, F.col("y"))
+    d, q = V.truncated_div(i, 7), V.quotients(i, F.array(F.col("x") - 16, F.lit(1), F.col("v") - 900))
+    n, o, s = V.insert(a, 1, 9.0), V.orthonormal(a), F.array_sort(a)
+    r = lambda c: F.round(c, 6)
+    other = F.array(F.lit(1.0), F.col("y") - 3.0, F.col("v") / 100.0)
+    return g.map(scaled=r(V.scale(2.5, a)[2]), same=a == F.array(F.col("x") + 1.0, F.col("y") - 3.0, F.col("v") / 100.0), other=a == other, d0=d[0], d1=d[1], q0=q[0], q2=q[2], n0=n[0], n1=n[1], n2=n[2], low=r(s[0]), high=r(s[2]), o0=r(o[0]), o1=r(o[1]), o2=r(o[2]), u2=r(V.normalise(a)[2])).df
+
+
+@query(f"""WITH {LI}, m AS (SELECT x, y, v % 11 + 1.0 AS a, x % 5 - 2.0 AS b, y % 3 + 0.0 AS c, v % 7 + 2.0 AS d, x % 4 - 1.0 AS e, y % 6 + 1.0 AS f FROM li)
+SELECT x, y, CAST(a + d + f AS DOUBLE) AS trace, CAST(a * d + b * f AS DOUBLE) AS p00, CAST(a * e + b * c AS DOUBLE) AS p01, CAST(c * d + d * f AS DOUBLE) AS p10, CAST(c * e + d * c AS DOUBLE) AS p11, CAST(a * 1 + b * 2 + c * 3 AS DOUBLE) AS t0, CAST(c * 1 + e * 2 + f * 3 AS DOUBLE) AS t2 FROM m""")
+def matrix_math(spark, sf_dir):
+    g = li(spark, sf_dir)
+    a, b, c, d, e, f = t = [F.col("v") % 11 + 1.0, F.col("x") % 5 - 2.0, F.col("y") % 3 + 0.0, F.col("v") % 7 + 2.0, F.col("x") % 4 - 1.0, F.col("y") % 6 + 1.0]
+    p = V.matrix_product([[a, b], [c, d]], [[d, e], [f, c]])
+    k = V.times_vector(t, [F.lit(1.0), F.lit(2.0), F.lit(3.0)])
+    return g.map(trace=V.trace(t), p00=p[0][0], p01=p[0][1], p10=p[1][0], p11=p[1][1], t0=k[0], t2=k[2]).df
+
+
 # ---------------------------------------------------------------- generators
 
 
@@ -196,6 +225,16 @@ def shape_scene(spark, sf_dir):
     return generate.scene(spark, (16, 16, 16), SHAPES).df
 
 
+@query(ORACLE["shape_scene"])
+def shape_file(spark, sf_dir):
+    """The scene of shape_scene, from its lines of text."""
+    told = {"e": "e[{c}] {r} {v}", "t": "t[{c}][{d}] {r} {l} {v}", "p": "p[{c}][{d}] {r} {l} {v}"}
+    lines = [(i, told[s.kind].format(c=",".join(map(str, s.centre)), d=",".join(map(str, s.direction)), r=s.radius, l=s.extent, v=s.value)) for i, s in enumerate(SHAPES)]
+    rows = text.parse_shapes(spark.createDataFrame(lines, "ord int, value string")).orderBy("ord").collect()  # a scene has few shapes
+    shapes = [generate.Shape(r["kind"], tuple(int(c) for c in r["centre"]), r["radius"], r["value"], tuple(r["direction"]), r["extent"]) for r in rows]
+    return generate.scene(spark, text.parse_size("16x16x16"), shapes).df
+
+
 # ---------------------------------------------------------------- stencils and views
 
 
@@ -273,6 +312,12 @@ def sobel(spark, sf_dir):
     return g.map(sx=F.col("sx"), sy=F.col("sy"), s=F.round(filters.length("sx", "sy"), 6), lap=F.col("lap")).df
 
 
+@query(f"WITH {LI}, {MOORE2}, {NEAR_LI} SELECT x, y, CAST(0.5 * sum(nv * {SOBEL_X}) + sum(nv * {SOBEL_Y}) AS DOUBLE) AS div FROM n GROUP BY x, y")
+def sobel_divergence(spark, sf_dir):
+    g = li(spark, sf_dir)
+    return filters.sobel_divergence(g.add(w=F.col("v") * 2), ("v", "w"), 0.5).map(div=F.col("div")).df
+
+
 def _taps(r: int) -> str:
     return "k(i, w) AS (VALUES " + ", ".join(f"({i - r}, CAST({w!r} AS DOUBLE))" for i, w in enumerate(filters.gaussian_kernel(r))) + ")"
 
@@ -309,6 +354,11 @@ def grid_differences(spark, sf_dir):
     return one.crossJoin(two).crossJoin(three)  # one row each
 
 
+@query(f"WITH {LI} SELECT count(*) AS n, CAST(sum(v) AS BIGINT) AS s, min(v) AS least, max(v) AS most FROM li WHERE x BETWEEN 3 AND 12 AND y BETWEEN 5 AND 24")
+def region_fold(spark, sf_dir):
+    return maps.fold_region(li(spark, sf_dir), (3, 5), (10, 20), n=F.count("*"), s=F.sum("v"), least=F.min("v"), most=F.max("v"))
+
+
 @query("""SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, max(value) AS longest, arg_max(event_id, (value, -event_id)) AS longest_id, min(value) AS shortest, arg_min(event_id, (value, event_id)) AS shortest_id FROM events GROUP BY event_type""")
 def timer_report(spark, sf_dir):
     df = reduce.timer_report(_table(spark, sf_dir, "events"), "event_type", "event_id", "value")
@@ -395,6 +445,13 @@ def component_labels(spark, sf_dir):
     return A.label_components(g).map(label=F.col("label")).df
 
 
+@query(ORACLE["component_labels"])
+def component_labels_wide(spark, sf_dir):
+    """As component_labels, with no part of the graph given to one task."""
+    g = li(spark, sf_dir).map(v=C.threshold(F.col("v"), 950, 0, 1))
+    return A.label_components(g, small=0).map(label=F.col("label")).df
+
+
 def _life(n: int) -> str:
     steps, now = [f"g0 AS (SELECT x, y, {_ON} AS v FROM li)"], "g0"
     for i in range(1, n + 1):
@@ -445,7 +502,17 @@ def watershed_distance(spark, sf_dir):
     return A.watershed_distance(_plateau_grid(spark, sf_dir)).map(distance=F.col("distance")).df
 
 
-@query()
+#: Recursive parts of watersheds over a table c(id, x, y, v) of 32 x 32 cells and offsets o.
+_CLOSED = "r(id, u) AS (SELECT id, id FROM c UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.u), done AS (SELECT id, min(u) + 1 AS label FROM r GROUP BY id)"
+_AROUND = "n AS MATERIALIZED (SELECT c.id, c.x, c.y, c.v, o.k, b.id AS nid, b.v AS nv FROM c CROSS JOIN o JOIN c b ON o.k > 0 AND b.x = c.x + o.dx AND b.y = c.y + o.dy)"
+_RAISED = "c AS MATERIALIZED (SELECT x + 32 * y AS id, x, y, v + CAST(max(nv) <= v AND min(nv) < v AS INT) AS v FROM (SELECT a.x, a.y, a.v, b.v AS nv FROM li a JOIN li b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1) GROUP BY x, y, v)"
+_DOWN = "t AS MATERIALIZED (SELECT id, arg_min(nid, (nv, -k)) AS low FROM n WHERE nv <= v GROUP BY id)"
+
+
+@query(f"""{_MIN}, {MOORE2}, d(id, d) USING KEY (id) AS (SELECT id, CAST(0 AS BIGINT) FROM m WHERE label > 0 UNION SELECT c.id, min(a.d + c.v * 100000 + 1) FROM d a JOIN m s ON s.id = a.id JOIN m c ON c.id != s.id AND abs(c.x - s.x) <= 1 AND abs(c.y - s.y) <= 1 LEFT JOIN recurring.d o ON o.id = c.id WHERE o.d IS NULL OR a.d + c.v * 100000 + 1 < o.d GROUP BY c.id),
+w AS MATERIALIZED (SELECT c.id, arg_min(b.id, o.k) AS back FROM m c JOIN d e ON e.id = c.id CROSS JOIN o JOIN m b ON o.k > 0 AND b.x = c.x + o.dx AND b.y = c.y + o.dy JOIN d f ON f.id = b.id AND f.d = e.d - c.v * 100000 - 1 WHERE c.label = 0 GROUP BY c.id),
+p2(id, here) AS (SELECT id, id FROM m UNION SELECT p2.id, w.back FROM p2 JOIN w ON w.id = p2.here)
+SELECT c.x, c.y, s.label FROM p2 JOIN m c ON c.id = p2.id JOIN m s ON s.id = p2.here AND s.label > 0""")
 def watershed_labels(spark, sf_dir):
     return A.watershed(_plateau_grid(spark, sf_dir), method="distance").map(label=F.col("label")).df
 
@@ -456,17 +523,30 @@ def watershed_merged(spark, sf_dir):
     return A.watershed_merged(li(spark, sf_dir), complete=False).map(label=F.col("label")).df
 
 
-@query()
+def _minima(of: str) -> str:
+    """CTEs f, low, bad, m(id, label): regional minima of a table c."""
+    return f"""q AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM {of} a JOIN {of} b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND a.v = b.v), qr(id, u) AS (SELECT a, b FROM q UNION SELECT qr.id, q.b FROM qr JOIN q ON q.a = qr.u), f AS (SELECT id, min(u) AS root FROM qr GROUP BY id),
+low AS (SELECT a.id, max(CASE WHEN b.v < a.v THEN 1 ELSE 0 END) AS bad FROM {of} a JOIN {of} b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY a.id), bad AS (SELECT root, max(bad) AS bad FROM f JOIN low USING (id) GROUP BY root), m AS MATERIALIZED (SELECT id, CASE WHEN bad.bad = 0 THEN root + 1 ELSE 0 END AS label FROM f JOIN bad USING (root))"""
+
+
+@query(f"""WITH RECURSIVE {LI}, {MOORE2}, {_RAISED}, {_minima("c")}, {_AROUND}, {_DOWN}, p2(id, here) AS (SELECT id, id FROM c UNION SELECT p2.id, t.low FROM p2 JOIN t ON t.id = p2.here JOIN m ON m.id = p2.here AND m.label = 0)
+SELECT c.x, c.y, CAST(max(m.label) AS BIGINT) AS label FROM p2 JOIN c ON c.id = p2.id JOIN m ON m.id = p2.here GROUP BY c.x, c.y""")
 def watershed_pointers(spark, sf_dir):
     return A.watershed(li(spark, sf_dir), method="descent_pointer").map(label=F.col("label")).df
 
 
-@query()
+@query(f"""WITH RECURSIVE {LI}, {MOORE2}, c AS MATERIALIZED (SELECT x + 32 * y AS id, x, y, v // 60 AS v FROM li), {_AROUND}, l AS MATERIALIZED (SELECT id, max(CAST(nv < v AS INT)) AS lower FROM n GROUP BY id),
+e1 AS (SELECT n.id AS a, arg_min(nid, (nv, k)) AS b FROM n WHERE nv < v GROUP BY n.id UNION ALL SELECT n.id, n.nid FROM n JOIN l p ON p.id = n.id AND p.lower = 0 JOIN l q ON q.id = n.nid AND q.lower = 0 WHERE n.nv = n.v), e AS MATERIALIZED (SELECT a, b FROM e1 UNION SELECT b, a FROM e1), {_CLOSED}
+SELECT c.x, c.y, CAST(label AS BIGINT) AS label FROM c JOIN done USING (id)""")
 def watershed_plateaus(spark, sf_dir):
     return A.watershed(_plateau_grid(spark, sf_dir), method="plateaus").map(label=F.col("label")).df
 
 
-@query()
+_TWICE = ", ".join(f"s{i + 1} AS MATERIALIZED (SELECT a.id, b.root FROM s{i} a JOIN s{i} b ON b.id = a.root)" for i in range(11))
+
+
+@query(f"""WITH {LI}, {MOORE2}, {_RAISED}, {_AROUND}, {_DOWN}, s0 AS MATERIALIZED (SELECT c.id, coalesce(t.low, c.id) AS root FROM c LEFT JOIN t USING (id)), {_TWICE}
+SELECT c.x, c.y, CAST(s11.root + 1 AS BIGINT) AS label, NOT EXISTS (SELECT 1 FROM s11 a JOIN s0 b ON b.id = a.root WHERE b.root != a.root) AS stable FROM c JOIN s11 USING (id)""")
 def watershed_simple(spark, sf_dir):
     return A.watershed(li(spark, sf_dir), method="descent_simple").map(label=F.col("label"), stable=F.col("stable")).df
 
@@ -477,7 +557,8 @@ def merged_labels(spark, sf_dir):
     return A.merge_labels(e.select((F.col("l_partkey") % 50).alias("a"), (F.col("l_suppkey") % 50 + 50).alias("b")))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem), s AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(id, root) USING KEY (id) AS (SELECT a, a FROM s GROUP BY a UNION SELECT s.b, min(r.root) FROM r JOIN s ON s.a = r.id JOIN recurring.r o ON o.id = s.b WHERE r.root < o.root GROUP BY s.b) SELECT id, root FROM r""")
 def merged_keys(spark, sf_dir):
     """Classes of the keys of parts (2 · key) and suppliers (2 · key + 1) that any row of lineitem links."""
     e = _table(spark, sf_dir, "lineitem")
@@ -499,6 +580,38 @@ def lattice_edges(spark, sf_dir):
     return _lattice(spark, sf_dir)[1]
 
 
+@query(f"WITH {LI}, e AS (SELECT a.x + 32 * a.y AS a, b.x + 32 * b.y AS b, a.v AS v1, b.v AS v2 FROM li a JOIN li b ON greatest(abs(a.x - b.x), abs(a.y - b.y)) = 1 AND a.x + 32 * a.y < b.x + 32 * b.y) SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(1 + abs(v1 - v2) % 17 AS DOUBLE) AS w_fwd, CAST(1 + abs(v1 - v2) % 17 AS DOUBLE) AS w_bwd FROM e")
+def full_lattice_edges(spark, sf_dir):
+    return generate.full_lattice(li(spark, sf_dir), "v", lambda a, b: 1 + F.abs(a - b) % 17).drop("eid")
+
+
+@query(f"WITH {EV}, e AS (SELECT a.v AS v1, b.v AS v2 FROM ev a JOIN ev b ON greatest(abs(a.x - b.x), abs(a.y - b.y), abs(a.z - b.z)) = 1 AND a.x + 16 * (a.y + 16 * a.z) < b.x + 16 * (b.y + 16 * b.z)) SELECT count(*) AS n, CAST(sum(1 + abs(v1 - v2) % 17) AS DOUBLE) AS w FROM e")
+def full_volume_lattice(spark, sf_dir):
+    return generate.full_lattice(ev(spark, sf_dir), "v", lambda a, b: 1 + F.abs(a - b) % 17).agg(F.count("*").alias("n"), F.sum("w_fwd").alias("w"))
+
+
+@query(f"""WITH {LI}, e AS (SELECT a.x + 32 * a.y AS a, b.x + 32 * b.y AS b, 1 + abs(a.v - b.v) % 17 AS w FROM li a JOIN li b ON (b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y + 1))
+SELECT 0 AS part, '<graphml><key id="capacity" for="edge" attr.name="capacity" attr.type="double"/><graph edgedefault="directed">' AS value UNION ALL SELECT 1, '<node id="source"/>' UNION ALL SELECT 1, '<node id="sink"/>' UNION ALL SELECT 4, '</graph></graphml>'
+UNION ALL SELECT 2, '<node id="n' || (x + 32 * y) || '"/>' FROM li UNION ALL SELECT 3, '<edge source="source" target="n' || x || '"><data key="capacity">100000.0</data></edge>' FROM li WHERE y = 0
+UNION ALL SELECT 3, '<edge source="n' || (x + 32 * y) || '" target="sink"><data key="capacity">100000.0</data></edge>' FROM li WHERE y = 31 UNION ALL SELECT 3, '<edge source="n' || a || '" target="n' || b || '"><data key="capacity">' || w || '.0</data></edge>' FROM e""")
+def graphml_text(spark, sf_dir):
+    return text.graphml_lines(*_lattice(spark, sf_dir))
+
+
+@query("SELECT CAST(4 AS DOUBLE) AS flow, 16 AS cells, 8 AS terminals, CAST(48 AS BIGINT) AS arcs")
+def lattice_files(spark, sf_dir):
+    """A lattice of 4 x 4 cells whose middle arcs hold 1, written to a file and read back, and its maximum flow."""
+    n, folder = 4, f"{run_dir(spark)}/lattice-{uuid.uuid4().hex}"
+    cap = np.full(n * n, 5)
+    weak = np.where(np.arange(n * n) // n == 1, 1, 5)
+    top = np.where(np.arange(n * n) < n, 100, 0)
+    lattice_file.write_lattice(spark, lattice_file.Lattice((n, n, 1), top, top[::-1], [cap, cap, cap, weak], np.ones(n * n), 4), f"{folder}/one")
+    v, e = lattice_file.read_lattices(spark, f"{folder}/one")
+    flow = maxflow.max_flow(v.drop("path"), e.drop("path"))[0]
+    counts = v.agg(F.count("*").cast("int").alias("cells"), F.count_if((F.col("cap_src") > 0) | (F.col("cap_snk") > 0)).cast("int").alias("terminals"))
+    return counts.crossJoin(e.agg(F.count("*").alias("arcs"))).select(F.lit(flow).alias("flow"), "cells", "terminals", "arcs")  # one row each
+
+
 @query(f"""WITH RECURSIVE {LI}, e AS MATERIALIZED (SELECT a.x + 32 * a.y AS a, b.x + 32 * b.y AS b FROM li a JOIN li b ON abs(a.x - b.x) + abs(a.y - b.y) = 1 AND abs(a.v - b.v) % 17 > 6), r(id, level) AS (SELECT x + 32 * y, 1 FROM li WHERE y = 31 UNION SELECT e.a, r.level + 1 FROM r JOIN e ON e.b = r.id WHERE r.level < 400) SELECT CAST(id AS BIGINT) AS id, CAST(min(level) AS INT) AS level FROM r GROUP BY id""")
 def bfs_levels(spark, sf_dir):
     v, e = _lattice(spark, sf_dir)
@@ -506,13 +619,35 @@ def bfs_levels(spark, sf_dir):
     return maxflow.levels(v.select("id", F.col("cap_snk").alias("room")), arcs).select("id", "level")
 
 
-@query()
+#: The minimum cut of a flat lattice between its first and last row is the shortest way from its left to its right side across edges.
+_ACROSS = """g AS MATERIALIZED (SELECT CASE WHEN x = 0 THEN -1 ELSE (x - 1) + 31 * y END AS p, CASE WHEN x = 31 THEN -2 ELSE x + 31 * y END AS q, w FROM (SELECT a.x, a.y, 1 + abs(a.v - b.v) % 17 AS w FROM li a JOIN li b ON b.x = a.x AND b.y = a.y + 1)
+UNION ALL SELECT x + 31 * (y - 1), x + 31 * y, w FROM (SELECT a.x, a.y, 1 + abs(a.v - b.v) % 17 AS w FROM li a JOIN li b ON b.x = a.x + 1 AND b.y = a.y AND a.y BETWEEN 1 AND 30)), s AS MATERIALIZED (SELECT p, q, w FROM g UNION ALL SELECT q, p, w FROM g),
+d(id, d) USING KEY (id) AS (SELECT CAST(-1 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT s.q, min(d.d + s.w) FROM d JOIN s ON s.p = d.id LEFT JOIN recurring.d o ON o.id = s.q WHERE o.d IS NULL OR d.d + s.w < o.d GROUP BY s.q)"""
+
+
+@query(f"WITH RECURSIVE {LI}, {_ACROSS} SELECT CAST(d AS DOUBLE) AS flow, CAST(d AS DOUBLE) AS capacity FROM d WHERE id = -2")
 def max_flow(spark, sf_dir):
     v, e = _lattice(spark, sf_dir)
     flow, segments = maxflow.max_flow(v, e)
     return maxflow.cut_capacity(v, e, segments).select(F.lit(flow).alias("flow"), "capacity")
 
 
+@query(ORACLE["bfs_levels"])
+def bfs_levels_wide(spark, sf_dir):
+    """As bfs_levels, level by level over all executors."""
+    v, e = _lattice(spark, sf_dir)
+    arcs = maxflow.arcs_of(e).filter("res > 7")
+    return maxflow.levels(v.select("id", F.col("cap_snk").alias("room")), arcs, small=0).select("id", "level")
+
+
+@query("SELECT CAST(32 * 8 AS DOUBLE) AS flow, CAST(32 * 8 * 2 AS DOUBLE) AS swapped")
+def layered_flow(spark, sf_dir):
+    """Flow through a graph in layers, cut at its weak one, and with its ends swapped."""
+    v, e = generate.layered_graph(spark, 10, 32, 8, 4)
+    turned = v.select("id", F.col("cap_snk").alias("cap_src"), F.col("cap_src").alias("cap_snk"))
+    return spark.range(1).select(F.lit(maxflow.max_flow(v, e)[0]).alias("flow"), F.lit(maxflow.max_flow(turned, e)[0]).alias("swapped"))
+
+
 @query()
 def grid_segmentation(spark, sf_dir):
     g = li(spark, sf_dir)
@@ -563,18 +698,51 @@ def map_operators(spark, sf_dir):
     return both.zip(other.map(scaled=F.col("v"))).map(left_sum=F.col("left_sum"), doubled=F.col("doubled"), placed=F.col("placed"), scaled=F.col("scaled")).df
 
 
-@query()
+_GREY = "(SELECT x, y, CAST(v % 256 + v * 7 % 256 + v * 13 % 256 AS BIGINT) AS v FROM li)"
+_EDGE = f"g AS MATERIALIZED {_GREY}, li2 AS MATERIALIZED (SELECT c.x, c.y, abs(l.v - c.v) + abs(u.v - c.v) AS v FROM g c JOIN g l ON l.x = greatest(0, c.x - 1) AND l.y = c.y JOIN g u ON u.x = c.x AND u.y = greatest(0, c.y - 1))"
+
+
+@query(f"""WITH RECURSIVE {LI}, {_EDGE}, {MOORE2}, {_RAISED.replace("li a JOIN li b", "li2 a JOIN li2 b")}, {_AROUND}, {_DOWN}, e AS MATERIALIZED (SELECT id AS a, low AS b FROM t UNION SELECT low, id FROM t), {_CLOSED}
+SELECT c.x, c.y, CAST(label AS BIGINT) AS label, CAST(label * 123 % 256 AS INT) AS c0, CAST(label * 7 % 256 AS INT) AS c1, CAST(label * 13 % 256 AS INT) AS c2 FROM c JOIN done USING (id)""")
 def image_watershed(spark, sf_dir):
     g = li(spark, sf_dir).map(r=F.col("v") % 256, g=F.col("v") * 7 % 256, b=F.col("v") * 13 % 256)
     return pipelines.image_watershed(g, "descent_gs").df
 
 
-@query()
+@query(f"""WITH z AS ({_react(2).replace("v * 7 % 256", "v * 13 % 256").replace("round(u, 6)", "u").replace("round(w, 6)", "w")}), b AS (SELECT min(u) AS ul, max(u) AS uh, min(w) AS wl, max(w) AS wh FROM z)
+SELECT x, y, CAST(floor((u - ul) / (uh - ul) * 255) AS INT) AS c0, CAST(floor((w - wl) / (wh - wl) * 255) AS INT) AS c2 FROM z, b""")
 def reaction_image(spark, sf_dir):
     g = li(spark, sf_dir).map(r=F.col("v") % 256, g=F.col("v") * 7 % 256, b=F.col("v") * 13 % 256)
     return pipelines.reaction_image(g, 2).df
 
 
+@query(f"{_MIN} SELECT x, y, label, CAST(label * 123 % 256 AS INT) AS c0, CAST(label * 7 % 256 AS INT) AS c1, CAST(label * 13 % 256 AS INT) AS c2 FROM m")
+def minima_colours(spark, sf_dir):
+    return pipelines.minima_colours(_plateau_grid(spark, sf_dir)).df
+
+
+@query()
+def diffuse_image(spark, sf_dir):
+    return pipelines.diffuse_image(li(spark, sf_dir).map(v=F.col("v") % 256)).df
+
+
+@query(f"WITH {LI} SELECT x, y, CAST(v % 256 AS INT) AS c0, CAST(v * 7 % 256 AS INT) AS c1, CAST(v * 13 % 256 AS INT) AS c2 FROM li")
+def image_files(spark, sf_dir):
+    """The colours of a grid, written as an image file and read back."""
+    g = li(spark, sf_dir).map(**{f"c{i}": F.col("v") * k % 256 for i, k in enumerate((1, 7, 13))})
+    folder = f"{run_dir(spark)}/images-{uuid.uuid4().hex}"
+    tables.write_images(g, ("c0", "c1", "c2"), folder)
+    return tables.read_images(spark, folder).drop("img")
+
+
+@query(f"WITH {EV} SELECT x, y, z, CAST(v AS DOUBLE) AS v FROM ev")
+def volume_files(spark, sf_dir):
+    """A volume, written as header and raw file and read back."""
+    folder = f"{run_dir(spark)}/volume-{uuid.uuid4().hex}"
+    tables.write_volume(ev(spark, sf_dir), f"{folder}/v.mhd")
+    return tables.read_volume(spark, f"{folder}/v.mhd").df
+
+
 @query()
 def region_segmentation(spark, sf_dir):
     g = li(spark, sf_dir)
@@ -583,7 +751,10 @@ def region_segmentation(spark, sf_dir):
     return pipelines.region_segmentation(g, mask).df
 
 
-@query()
+@query(f"""WITH RECURSIVE {EMB}, h AS MATERIALIZED (SELECT c.x, c.y, c.x + 64 * c.y AS id, abs(l.v - c.v) + abs(u.v - c.v) AS v FROM emb c JOIN emb l ON l.x = greatest(0, c.x - 1) AND l.y = c.y JOIN emb u ON u.x = c.x AND u.y = greatest(0, c.y - 1)), {MOORE2}, c AS (SELECT * FROM h), {_AROUND}, {_DOWN},
+e AS MATERIALIZED (SELECT id AS a, low AS b FROM t UNION SELECT low, id FROM t), {_CLOSED}, reg AS MATERIALIZED (SELECT h.x, h.y, h.v, CAST(dense_rank() OVER (ORDER BY label) AS BIGINT) AS label FROM h JOIN done USING (id))
+SELECT 'n' AS tag, label AS l1, CAST(0 AS BIGINT) AS l2, count(*) AS n, round(CAST(sum(v) AS DOUBLE), 6) AS s FROM reg GROUP BY label
+UNION ALL SELECT 'e', least(a.label, b.label), greatest(a.label, b.label), count(*), round(sum(pow(1.0 / (1.0 + greatest(a.v, b.v)), 2)), 6) FROM reg a JOIN reg b ON ((b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y + 1)) AND a.label != b.label GROUP BY 2, 3""")
 def flagship(spark, sf_dir):
     """Gradient, watershed and region graph of the embeddings."""
     return pipelines.region_graph(emb(spark, sf_dir))
