@@ -51,18 +51,19 @@ def _smallest(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(texts: list[bytes], size: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text, first window start, last window start, anchor) of every stretch of windows with one anchor.
+    """(text, first window start, last window start, place and hash of the anchor) of every stretch of windows with one anchor.
 
-    Positions count bytes from the start of the text. Texts shorter than a
+    Places count bytes from the start of the text. Texts shorter than a
     window have none.
     """
-    none = (np.zeros(0, np.int64),) * 4
+    none = (*(np.zeros(0, np.int64),) * 4, np.zeros(0, np.uint64))
     joined = np.frombuffer(b"".join(texts), dtype=np.uint8)
     if len(joined) < size:
         return none
     ends = np.cumsum([len(t) for t in texts])
     starts = ends - [len(t) for t in texts]
-    at = _smallest(_grams(joined, gram), size - gram + 1)
+    h = _grams(joined, gram)
+    at = _smallest(h, size - gram + 1)
     of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])[: len(at)]
     inside = np.flatnonzero(np.arange(len(at)) + size <= ends[of])
     if not len(inside):
@@ -71,4 +72,4 @@ def anchors(texts: list[bytes], size: int, gram: int = GRAM) -> tuple[np.ndarray
     new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (of[1:] != of[:-1]))))
     last = np.concatenate((new[1:], [len(at)])) - 1
     t = of[new]
-    return t, inside[new] - starts[t], inside[last] - starts[t], at[new] - starts[t]
+    return t, inside[new] - starts[t], inside[last] - starts[t], at[new] - starts[t], h[at[new]]

@@ -31,16 +31,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import GRAM, anchors
+from .anchors import anchors
 from .common import batches_of, hot_join, pieces_of, saved, thrifty, utf8
 
 SIZE = 400
-#: Bytes of the passages that ``op3`` reports beside its contract: fewer than 51 short words have.
-PASSAGE = 256
-CROWD = 64
+CROWD = 256
 #: Windows in a block of a crowded anchor, from one round to the next.
 STEPS = (64, 8, 1)
-BATCH = 1 << 19
+#: Bytes of a batch: its arrays stay in the cache of a core.
+BATCH = 1 << 16
+_MARKS = "array<struct<first:int,last:int>>"
 _SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -50,7 +50,7 @@ class RunIndex:
     Byte 0xFF does not occur in UTF-8; codes are ranks of the bytes that occur,
     and 0 ends each string. ``heads`` and ``tails`` are text positions of the
     first and last row of each run, ``runs`` the first row and code of each run.
-    Suffixes are sorted by their first codes, then by twice as many with each
+    The ends of strings differ, in the order of the strings. Suffixes are sorted by their first codes, then by twice as many with each
     round; ``ranks`` keeps the order by so many codes.
     """
 
@@ -63,6 +63,8 @@ class RunIndex:
         code[255] = 0
         self.text = text = code[raw]
         n = len(text)
+        sizes = np.array([len(s) + 1 for s in strings])
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)  # codes of each suffix up to the end of its string
         place, width = n.bit_length(), max(int(code[254]).bit_length(), 1)
         self.first = depth = max(min((64 - place) // width, n), 1)
         key = np.zeros(n, dtype=np.uint64)
@@ -70,18 +72,21 @@ class RunIndex:
         for j in range(depth):
             key <<= np.uint64(width)
             key |= padded[j : j + n]
+        after = (np.maximum(depth - left, 0) * width).astype(np.uint64)
+        key = (key >> after) << after  # nothing of the next string
         self.ranks: dict[int, np.ndarray] = {}
         while True:
-            order, rank = self._sorted(key, place)
+            order, rank = self._sorted(key, place, left <= depth)
             self.ranks[depth] = rank
             if int(rank[order[-1]]) == n:
                 break
-            key = rank.astype(np.uint64) << np.uint64(place)
+            key = rank.astype(np.uint64)
+            key <<= np.uint64(place)
             key[: max(n - depth, 0)] |= rank[depth:]
             depth *= 2
         last = text[order - 1].astype(np.int16)  # the code before each suffix
-        last[order == 0] = -1  # nothing stands before the first: a run of its own
-        new = np.concatenate(([True], last[1:] != last[:-1]))
+        last[order == 0] = 0
+        new = np.concatenate(([True], (last[1:] != last[:-1]) | (last[1:] == 0)))  # ends of strings differ: each is a run of its own
         first = np.flatnonzero(new)
         end = np.concatenate((first[1:], [n])) - 1
         self.runs = (first, last[first])
@@ -90,18 +95,31 @@ class RunIndex:
         self.border = self._common(self.heads[1:], self.tails[:-1])
 
     @staticmethod
-    def _sorted(key: np.ndarray, place: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in the order of ``key``, and the rank from 1 of each position, equal for equal keys."""
+    def _sorted(key: np.ndarray, place: int, ended: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in the order of ``key``, and the rank from 1 of each position, equal for equal keys.
+
+        Positions whose string has ``ended`` within the key differ by where they
+        stand: the ends of strings are codes of their own, in this order.
+        """
         n = len(key)
         if int(key.max()).bit_length() + place <= 64:  # key and position in one word: sorting words is fast
-            word = np.sort((key << np.uint64(place)) | np.arange(n, dtype=np.uint64))
-            order = (word & np.uint64((1 << place) - 1)).astype(np.int64)
-            ordered = word >> np.uint64(place)
+            key <<= np.uint64(place)
+            key |= np.arange(n, dtype=np.uint64)
+            key.sort()
+            mask = np.uint64((1 << place) - 1)
+            new = (key[1:] ^ key[:-1]) > mask
+            key &= mask
+            order = key.view(np.int64)
         else:
             order = np.argsort(key, kind="stable")
             ordered = key[order]
+            new = ordered[1:] != ordered[:-1]
+        count = np.empty(n, dtype=np.uint32)
+        count[0] = 1
+        count[1:] = new | ended[order[1:]]
+        np.cumsum(count, out=count)
         rank = np.empty(n, dtype=np.uint32)
-        rank[order] = np.cumsum(np.concatenate(([True], ordered[1:] != ordered[:-1])), dtype=np.uint32)
+        rank[order] = count
         return order, rank
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -145,14 +163,15 @@ def ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
-def repeated_windows(strings: list[bytes], size: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each string the runs (first, last) of window starts that also occur elsewhere in ``strings``."""
-    match = RunIndex(strings).matches() >= size
-    out, at = [], 0
-    for s in strings:
-        out.append(ranges(match[at : at + max(len(s) - size + 1, 0)]))
-        at += len(s) + 1
-    return out
+def repeated_windows(strings: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, first, last) of the runs of window starts that also occur elsewhere in ``strings``, in order."""
+    sizes = np.array([len(s) + 1 for s in strings])
+    ends = np.cumsum(sizes)
+    whole = np.arange(ends[-1]) + size < np.repeat(ends, sizes)  # a window that ends with its string
+    first, last = ranges((RunIndex(strings).matches() >= size) & whole)
+    of = np.searchsorted(ends, first, side="right")
+    start = (ends - sizes)[of]
+    return of, first - start, last - start
 
 
 def _signed(values: list[int]) -> pa.Array:
@@ -172,26 +191,19 @@ def _stretches(docs: DataFrame, size: int) -> DataFrame:
         for whole in batches:
             for b in pieces_of(whole, "text", 1 << 20):
                 texts = utf8(b.column("text"))
-                t, lo, hi, at = anchors(texts, size)
-                of, los, w, off, anchor, digest = [], [], [], [], [], []
-                text, seen = -1, {}
-                for i, s, e, p in zip(t.tolist(), lo.tolist(), hi.tolist(), at.tolist(), strict=True):
-                    if i != text:
-                        text, x, seen = i, texts[i], {}
-                    d = h64(x[s : e + size], p - s)
-                    if d in seen:
-                        los[seen[d]].append(s)
-                        continue
-                    seen[d] = len(of)
-                    of.append(i)
-                    los.append([s])
-                    w.append(e - s + 1)
-                    off.append(p - s)
-                    anchor.append(h64(x[p : p + GRAM]))
-                    digest.append(d)
-                rows = pa.array(of, pa.int64())
+                t, lo, hi, at, anchor = anchors(texts, size)
+                off = at - lo
+                digest = np.array([h64(texts[i][s:e], o) for i, s, e, o in zip(t.tolist(), lo.tolist(), (hi + size).tolist(), off.tolist(), strict=True)], dtype=np.uint64)
+                # equal stretches of one text are one row
+                order = np.lexsort((lo, digest, t))
+                new = np.concatenate(([True], (digest[order[1:]] != digest[order[:-1]]) | (t[order[1:]] != t[order[:-1]])))[: len(order)]
+                first = order[new]
+                cuts = np.append(np.flatnonzero(new), len(order))
+                rows = pa.array(t[first])
+                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(lo[order], pa.int32()))
+                made = (np.diff(cuts), (hi - lo + 1)[first], off[first])
                 yield pa.RecordBatch.from_arrays(
-                    [*(b.column(c).take(rows) for c in ("t1", "t2", "k")), pa.array(los, pa.list_(pa.int32())), pa.array([len(v) for v in los], pa.int32()), pa.array(w, pa.int32()), pa.array(off, pa.int32()), _signed(anchor), _signed(digest)],
+                    [*(b.column(c).take(rows) for c in ("t1", "t2", "k")), lists, *(pa.array(c, pa.int32()) for c in made), pa.array(anchor[first].view(np.int64)), pa.array(digest[first].view(np.int64))],
                     ["t1", "t2", "k", "los", "n", "w", "off", "anchor", "digest"],
                 )
 
@@ -220,20 +232,22 @@ def _strings(candidates: DataFrame, size: int) -> DataFrame:
 
 
 def _indexed(strings: DataFrame, size: int) -> DataFrame:
-    """g, d, first, last: repeated windows of strings, by run-length indexes.
+    """g, d, marks: runs (first, last) of repeated windows of each string that has any, by run-length indexes.
 
     strings: g, d, n, bytes; those of one g are together. One that occurs twice
     (n) stands in its index twice.
     """
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        copies = [min(r[2], 2) for r in rows]
-        found = repeated_windows([r[3] for r, n in zip(rows, copies, strict=True) for _ in range(n)], size)
-        at = np.cumsum([0, *copies[:-1]]).tolist()
-        out = [(r[0], r[1], x, y) for r, i in zip(rows, at, strict=True) for x, y in zip(found[i][0].tolist(), found[i][1].tolist(), strict=True)]
-        cols = list(zip(*out, strict=True)) or [()] * 4
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["g", "d", "first", "last"])
+        copies = np.array([min(r[2], 2) for r in rows])
+        of, first, last = repeated_windows([r[3] for r in rows for _ in range(min(r[2], 2))], size)
+        at = np.cumsum(copies) - copies  # the first copy of each row
+        row = np.searchsorted(at, of, side="right") - 1
+        own = at[row] == of
+        hit, begin = np.unique(row[own], return_index=True)
+        pairs = pa.StructArray.from_arrays([pa.array(first[own], pa.int32()), pa.array(last[own], pa.int32())], ["first", "last"])
+        marks = pa.ListArray.from_arrays(pa.array(np.append(begin, own.sum()), pa.int32()), pairs)
+        return pa.RecordBatch.from_arrays([*(pa.array([rows[i][c] for i in hit], pa.int64()) for c in (0, 1)), marks], ["g", "d", "marks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -251,7 +265,7 @@ def _indexed(strings: DataFrame, size: int) -> DataFrame:
             yield solve(held)
 
     ordered = strings.select("g", "d", "n", "bytes").repartition("g").sortWithinPartitions("g", "d")
-    return ordered.mapInArrow(thrifty(run), "g long, d long, first int, last int")
+    return ordered.mapInArrow(thrifty(run), f"g long, d long, marks {_MARKS}")
 
 
 def _blocks(step: int, size: int):
@@ -297,22 +311,25 @@ def _decided(strings: DataFrame, size: int, crowd: int, steps: tuple[int, ...] =
     kinds = saved(kinds, "kinds")
     many = saved(kinds.groupBy("g").agg(F.count("*").alias("many"), F.sum("n").alias("all")).filter(F.col("all") > 1).drop("all"), "many")
     inner = saved(kinds.join(many, "g"), "inner")
-    marks = _decided(inner.drop("parents"), size, crowd, steps[1:]).join(inner.select("g", "d", "parents"), ["g", "d"])
-    up = hot_join(rows.select("pg", "pd", "g", "d", "start"), saved(marks, "marks"), ["g", "d"], "parents", rows.count())
-    return found.unionByName(up.select(F.col("pg").alias("g"), F.col("pd").alias("d"), (F.col("first") + F.col("start")).alias("first"), (F.col("last") + F.col("start")).alias("last")))
+    marks = saved(_decided(inner.drop("parents"), size, crowd, steps[1:]).join(inner.select("g", "d", "parents"), ["g", "d"]), "marks")
+    up = hot_join(rows.select("pg", "pd", "g", "d", "start"), marks, ["g", "d"], "parents", rows.count())
+    moved = F.transform("marks", lambda m: F.struct((m["first"] + F.col("start")).alias("first"), (m["last"] + F.col("start")).alias("last")))
+    whole = up.select("pg", "pd", moved.alias("m")).groupBy(F.col("pg").alias("g"), F.col("pd").alias("d")).agg(F.flatten(F.collect_list("m")).alias("marks"))
+    return found.unionByName(whole)
 
 
-def with_spans(docs: DataFrame, keep: dict[str, Column], size: int = SIZE, text_of_all: bool = False, crowd: int = CROWD, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of every row of ``docs``, its text as bytes, and ``spans``: what of it is repeated.
+def with_spans(docs: DataFrame, keep: dict[str, Column], size: int = SIZE, text_of_all: bool = False, crowd: int = CROWD) -> DataFrame:
+    """The columns ``keep`` of every row of ``docs``, its text as bytes, ``spans``: what of it is repeated, and ``shared``.
 
     spans: array of (start, end) in bytes, unordered and overlapping, null where
-    there is none. Text is null for rows without spans unless ``text_of_all``.
-    Rows of equal text are equal places: each row counts, and all get the same
-    spans. key: columns that tell most rows of equal text apart.
+    there is none. shared: how many anchors of its windows also occur elsewhere.
+    Text is null for rows without such anchors unless ``text_of_all``. Rows of
+    equal text are equal places: each row counts, and all get the same spans.
     """
+    spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
-    rows = docs.select(*(c.alias(f"_{n}") for n, c in keep.items()), *_two_hashes(text), F.xxhash64(*key).alias("k"), text.alias("text"))
-    with batches_of(docs.sparkSession):
+    rows = docs.select(*(c.alias(f"_{n}") for n, c in keep.items()), *_two_hashes(text), F.xxhash64("doc_id").alias("k"), text.alias("text"))
+    with batches_of(spark):
         occ = saved(_stretches(rows, size), "stretches")
     total = occ.count()
     often = saved(occ.groupBy("anchor").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).filter("n > 1").select("anchor", "rows"), "anchors")
@@ -322,22 +339,22 @@ def with_spans(docs: DataFrame, keep: dict[str, Column], size: int = SIZE, text_
     many = saved(kinds.groupBy("anchor").agg(F.count("*").alias("many")), "many")
     rep = F.struct(F.col("anchor").alias("g"), F.col("digest").alias("d"), F.least("n", F.lit(2)).cast("int").alias("n"), "many", "at.lo", "at.w", "at.off")
     reps = kinds.join(many, "anchor").groupBy(F.col("at.t1").alias("t1"), F.col("at.t2").alias("t2")).agg(F.min("at.k").alias("rk"), F.collect_list(rep).alias("reps"))
-    met = again.select("t1", "t2").distinct().join(reps, ["t1", "t2"], "left").withColumn("met", F.lit(True))
-    joined = rows.join(met, ["t1", "t2"], "left").withColumn("reps", F.when(F.col("k") == F.col("rk"), F.col("reps"))).drop("k", "rk")
+    shared = again.groupBy("t1", "t2", "anchor").agg(F.lit(1).alias("one")).groupBy("t1", "t2").agg(F.count("*").alias("shared"))
+    joined = rows.join(shared.join(reps, ["t1", "t2"], "left"), ["t1", "t2"], "left").withColumn("reps", F.when(F.col("k") == F.col("rk"), F.col("reps"))).drop("k", "rk")
     if not text_of_all:
-        joined = joined.withColumn("text", F.when(F.col("met"), F.col("text")))
+        joined = joined.withColumn("text", F.when(F.col("shared").isNotNull(), F.col("text")))
     joined = saved(joined, "candidates")
-    with batches_of(docs.sparkSession):
+    with batches_of(spark):
         strings = saved(_strings(joined, size), "strings")
         marks = saved(_decided(strings, size, crowd), "marks")
-    marks = marks.groupBy("g", "d").agg(F.collect_set(F.struct("first", "last")).alias("marks")).select(F.col("g").alias("anchor"), F.col("d").alias("digest"), "marks")
+    marks = marks.select(F.col("g").alias("anchor"), F.col("d").alias("digest"), "marks")
     told = saved(marks.join(kinds.select("anchor", "digest", "rows"), ["anchor", "digest"]), "told")
     hit = hot_join(again.select("t1", "t2", "anchor", "digest", "los"), told, ["anchor", "digest"], "rows", again.count())
     each = F.flatten(F.transform("los", lambda lo: F.transform("marks", lambda m: F.struct((lo + m["first"]).alias("start"), (lo + m["last"] + size).alias("end")))))
     spans = saved(hit.select("t1", "t2", each.alias("s")).groupBy("t1", "t2").agg(F.flatten(F.collect_set("s")).cast(_SPANS).alias("spans")), "spans")
     names = [F.col(f"_{n}").alias(n) for n in keep]
-    some = joined.filter("met").join(spans, ["t1", "t2"], "left").select(*names, "text", "spans")
-    return some.unionByName(joined.filter("met IS NULL").select(*names, "text", F.lit(None).cast(_SPANS).alias("spans")))
+    some = joined.filter("shared IS NOT NULL").join(spans, ["t1", "t2"], "left").select(*names, "text", "spans", "shared")
+    return some.unionByName(joined.filter("shared IS NULL").select(*names, "text", F.lit(None).cast(_SPANS).alias("spans"), F.lit(0).cast("long").alias("shared")))
 
 
 def _two_hashes(text: Column) -> list[Column]:
@@ -390,57 +407,28 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return both.select(*(columns[n].alias(n) for n in docs.columns))
 
 
-def _runs(found: DataFrame, least: int) -> DataFrame:
-    """t1, t2, start, text: the maximal runs of ``least`` bytes or more that the spans of each text cover."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (b for whole in batches for b in pieces_of(whole, "text", 4 << 20)):
-            of, starts, parts = [], [], []
-            for i, (t, spans) in enumerate(zip(utf8(b.column("text")), b.column("spans").to_pylist(), strict=True)):
-                for s, e in merged(spans):
-                    if e - s >= least:
-                        of.append(i)
-                        starts.append(s)
-                        parts.append(t[s:e])
-            rows = pa.array(of, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("t1").take(rows), b.column("t2").take(rows), pa.array(starts, pa.int32()), pa.array(parts, pa.binary())], ["t1", "t2", "start", "text"])
-
-    return found.filter("spans IS NOT NULL").select("t1", "t2", "text", "spans").mapInArrow(thrifty(run), "t1 long, t2 long, start int, text binary")
-
-
-def op3(documents: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage for every row of ``documents``.
+def op3(documents: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared for every row of ``documents``.
 
     A null text is empty. Rows that are repeated as they stand count as two
-    places. Texts shorter than 400 bytes hold nothing repeated. n_passage counts
-    the bytes covered by strings of ``PASSAGE`` bytes that also start elsewhere.
-
-    Strings of 256 bytes are found first: a repeated string of 400 bytes lies
-    within what they cover, so only the runs of 400 bytes or more that they
-    cover are searched for it.
+    places. Texts shorter than 400 bytes hold nothing repeated. n_shared takes
+    part in no other column: it counts the anchors of the text, strings of 64
+    bytes that its own windows choose, that also occur elsewhere, so it also
+    tells of shared passages that are shorter than 400 bytes.
     """
     text = F.coalesce("text", F.lit(""))
-    hashes = dict(zip(("t1", "t2"), _two_hashes(text.cast("binary")), strict=True))
-    keep = {"doc_id": F.col("doc_id"), "n_bytes": F.octet_length(text).cast("long"), "sha": F.sha2(text, 256)} | hashes
-    found = saved(with_spans(documents.select("doc_id", "text"), keep, PASSAGE), "passages")
-    with batches_of(documents.sparkSession):
-        runs = saved(_runs(found, SIZE), "runs")
-    long = with_spans(runs, {"t1": F.col("t1"), "t2": F.col("t2"), "from": F.col("start")}, SIZE, key=("t1", "t2", "start")).filter("spans IS NOT NULL")
-    placed = F.transform("spans", lambda s: F.struct((s["start"] + F.col("from")).alias("start"), (s["end"] + F.col("from")).alias("end")))
-    long = saved(long.select("t1", "t2", placed.alias("s")).groupBy("t1", "t2").agg(F.flatten(F.collect_set("s")).alias("removed")), "long")
-    schema = documents.select("doc_id").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string").add("n_passage", "long")
+    keep = {"doc_id": F.col("doc_id"), "n_bytes": F.octet_length(text).cast("long"), "sha": F.sha2(text, 256)}
+    found = with_spans(documents.select("doc_id", "text"), keep, crowd=crowd)
+    schema = documents.select("doc_id").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string").add("n_shared", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def covered(runs: list[list[tuple[int, int]]]) -> pa.Array:
-            return pa.array([sum(e - s for s, e in r) for r in runs], pa.int64())
-
         for b in (b for whole in batches for b in pieces_of(whole, "text", 4 << 20)):
-            runs, passages = ([merged(s) for s in b.column(c).to_pylist()] for c in ("removed", "spans"))
+            runs = [merged(s) for s in b.column("spans").to_pylist()]
             kept = [hashlib.sha256(cut(t, r)).hexdigest() for t, r in zip(utf8(b.column("text")), runs, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), covered(runs), pa.array([len(r) for r in runs], pa.int64()), pa.array(kept, pa.string()), covered(passages)], schema.names)
+            gone = pa.array([sum(e - s for s, e in r) for r in runs], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), gone, pa.array([len(r) for r in runs], pa.int64()), pa.array(kept, pa.string()), b.column("shared")], schema.names)
 
-    some = found.filter("spans IS NOT NULL").join(long, ["t1", "t2"], "left")
-    changed = some.select("doc_id", "n_bytes", "text", "spans", "removed").mapInArrow(thrifty(run), schema)
+    changed = found.filter("spans IS NOT NULL").select("doc_id", "n_bytes", "text", "spans", "shared").mapInArrow(thrifty(run), schema)
     zero = F.lit(0).cast("long")
-    plain = found.filter("spans IS NULL").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"), zero.alias("n_passage"))
+    plain = found.filter("spans IS NULL").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"), F.col("shared").alias("n_shared"))
     return plain.unionByName(changed)

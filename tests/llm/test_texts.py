@@ -50,12 +50,24 @@ def repeated_bytes(rows, size):
     return out
 
 
-def brute_repeats(rows, size=400, passage=256):
+def brute_anchors(rows, size=400):
+    """For each row how many of its anchor grams occur elsewhere."""
+    own, many = [], Counter()
+    for _, t in rows:
+        b = (t or "").encode()
+        _, _, _, at, _ = anchors.anchors([b], size)
+        grams = [b[p : p + anchors.GRAM] for p in at.tolist()]
+        own.append(set(grams))
+        many.update(grams)
+    return [sum(many[g] > 1 for g in x) for x in own]
+
+
+def brute_repeats(rows, size=400):
     out = []
-    for (d, t), gone, seen in zip(rows, repeated_bytes(rows, size), repeated_bytes(rows, passage), strict=True):
+    for (d, t), gone, shared in zip(rows, repeated_bytes(rows, size), brute_anchors(rows, size), strict=True):
         b = (t or "").encode()
         runs = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
-        out.append((d, len(b), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest(), sum(seen)))
+        out.append((d, len(b), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest(), shared))
     return sorted(out, key=str)
 
 
@@ -67,11 +79,9 @@ def passages(n=60, seed=4):
 
 
 @pytest.mark.parametrize("crowd", [repeats.CROWD, 3])
-def test_repeats_crowded_passage(spark, crowd, monkeypatch):
+def test_repeats_crowded_passage(spark, crowd):
     rows = [*passages(), (None, "ab" * 400), (100, "é" * 300), (101, None), (102, "x" * 399)]
-    plain = repeats.with_spans
-    monkeypatch.setattr(repeats, "with_spans", lambda *a, **k: plain(*a, **k, crowd=crowd))
-    assert as_rows(repeats.op3(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_repeats(rows)
+    assert as_rows(repeats.op3(spark.createDataFrame(rows, "doc_id long, text string"), crowd)) == brute_repeats(rows)
 
 
 def test_repeats_small_table(spark, small, odd):
@@ -108,9 +118,9 @@ def test_repeats_of_long_texts_and_clashing_names(spark):
     clash = df.withColumns({c: F.lit(7) for c in ("k", "t1", "t2", "spans", "reps", "met", "anchor", "bytes", "row")})
     short = [(d, t if d < 4 else p) for d, t in rows]  # the rest of the fourth text is random
     got = {r.doc_id: r for r in repeats.op3(clash).collect()}
-    for d, n, gone, runs, sha, seen in brute_repeats(short):
+    for d, n, gone, runs, sha, _ in brute_repeats(short):
         r = got[d]
-        assert (r.n_removed, r.n_spans, r.n_passage) == (gone, runs, seen) and (d == 4 or (r.n_bytes, r.kept_sha256) == (n, sha))
+        assert (r.n_removed, r.n_spans) == (gone, runs) and r.n_shared >= 0 and (d == 4 or (r.n_bytes, r.kept_sha256) == (n, sha))
     out = repeats.remove_repeats(clash)
     assert out.columns == clash.columns and out.filter("spans != 7 OR k != 7").isEmpty() and out.count() == 4
 
@@ -122,22 +132,24 @@ def test_anchors_do_not_depend_on_what_stands_around(monkeypatch):
     for n in (300, 5000, 200_000):
         text = bytes(rng.integers(97, 105, 2000).astype(np.uint8))
         around = bytes(rng.integers(97, 105, n).astype(np.uint8))
-        of, lo, hi, at = anchors.anchors([around, text], 400)
+        of, *both = anchors.anchors([around, text], 400)
         alone = anchors.anchors([text], 400)
-        assert all((a[of == 1] == b).all() for a, b in zip((lo, hi, at), alone[1:], strict=True))
+        assert all((a[of == 1] == b).all() for a, b in zip(both, alone[1:], strict=True))
         h = anchors._grams(np.frombuffer(text, np.uint8), anchors.GRAM)
-        for s, e, p in zip(*(x.tolist() for x in alone[1:]), strict=True):
+        for s, e, p in zip(*(x.tolist() for x in alone[1:4]), strict=True):
             assert all(i + int(np.argmin(h[i : i + 337])) == p for i in (s, e))
 
 
 def test_run_index():
     rng = random.Random(9)
-    for t in range(60):
+    for t in range(400):
         size = rng.choice([3, 5, 12])
-        texts = list({bytes(rng.choices(b"ab" if t % 2 else b"abc", k=rng.randint(1, 60))) for _ in range(rng.randint(1, 12))})
+        texts = list({bytes(rng.choices((b"a", b"ab", b"abc", b"abcdefghijk")[t % 4], k=rng.randint(1, 60))) for _ in range(rng.randint(1, 12))})
+        texts += rng.choices(texts, k=rng.randint(0, 3))  # strings may repeat
         c = Counter(x[i : i + size] for x in texts for i in range(len(x) - size + 1))
-        for x, (first, last) in zip(texts, repeats.repeated_windows(texts, size), strict=True):
-            got = {i for a, z in zip(first, last, strict=True) for i in range(a, z + 1)}
+        found = list(zip(*(v.tolist() for v in repeats.repeated_windows(texts, size)), strict=True))
+        for k, x in enumerate(texts):
+            got = {i for of, a, z in found if of == k for i in range(a, z + 1)}
             assert got == {i for i in range(len(x) - size + 1) if c[x[i : i + size]] > 1}
 
 
@@ -254,6 +266,57 @@ def test_secrets_ownership_and_redaction(spark):
     assert out[0].text == rows[0][1] and out[10].text is None
 
 
+def test_secrets_in_many_repositories_of_an_owner(spark):
+    value, few = "ghp_" + "Ab1" * 8, "ghp_" + "Zz9" * 8
+    rows = [(i, f"see {value} ok", "one") for i in range(secrets.REPOSITORIES + 1)] + [(100 + i, f"see {few} ok", "one") for i in range(secrets.REPOSITORIES)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for table in (df, df.drop("source")):
+        got = {r.doc_id: r.spans for r in secrets.op8(table).collect()}
+        assert {got[i] for i in range(secrets.REPOSITORIES + 1)} == {""} and {got[100 + i] for i in range(secrets.REPOSITORIES)} == {"prefixed:4:32"}
+
+
+def plain_wider(t):
+    """Wider kinds by the same rules, in Python's own expressions."""
+    rules = (
+        ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+", 64),
+        ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
+        ("prefixed", r"(?:gh[pousr]_|glpat-|xox[abprs]-|sk_live_|rk_live_|AIza)[A-Za-z0-9_-]+", 20),
+        ("url", r"(?<![a-z0-9+.-])[a-z0-9+.-]+://[^\s:/@]+:[^\s:/@]+@", 10),
+    )
+    return [(m.start(), 3 + k, kind, m.end(), m[0]) for k, (kind, rule, least) in enumerate(rules) for m in re.finditer(rule, t or "", re.ASCII) if len(m[0]) >= least]
+
+
+def test_wider_secrets_and_their_owners(spark):
+    rng = random.Random(11)
+    key = lambda n: "".join(rng.choices("ABCDEFabcdef0123456789", k=n))
+    values = ["eyJ" + key(20) + "." + key(20) + "." + key(9), "xoxb-" + key(30), "postgres://me:" + key(9) + "@", "-----BEGIN RSA PRIVATE KEY-----\n" + key(70) + "\n", "sk_live_" + key(24), "AIza" + key(30), "eyJeyJ.a.b", "://x:y@"]
+    rows = [(i, " \u00e9 ".join(rng.choices(values, k=rng.randint(0, 6))) + " token=" + key(8), f"s{rng.randint(0, 3)}") for i in range(40)]
+    rows += [(99, "https://" * 3 + "u:p@h", "s1"), (98, None, None)]
+    holders = {}
+    for i, t, o in rows:
+        for x in plain_wider(t):
+            holders.setdefault(x[4], set()).add((o or "", i))
+    live = {v for v, h in holders.items() if len({o for o, _ in h}) <= secrets.OWNERS and len(h) <= len({o for o, _ in h}) * secrets.REPOSITORIES}
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.spans for r in secrets.op8(df).collect()}
+    for i, t, _ in rows:
+        spans = sorted([*plain_secrets(t), *(x[:4] for x in plain_wider(t) if x[4] in live)])
+        assert got[i] == ",".join(f"{k}:{s}:{e}" for s, _, k, e in spans)
+    assert 0 < len(live) < len(holders)
+
+
+def test_secrets_in_long_texts(spark):
+    run = "abcdefghijklmnop.+-" * 15000  # one run of the class that addresses begin with
+    many = "token=abcdef12 " * 5000
+    rows = [(1, run + " ftp://u:p4ss@host", "s", 0), (2, "eyJ" * 60000 + " x", "s", 0), (3, many, "s", 0), (4, " " * 200000 + "é", "s", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = {r.doc_id: r for r in secrets.op8(df).collect()}
+    assert got[1].spans == f"url:{len(run) + 1}:{len(run) + 14}" and got[3].n_assign == 5000 and got[2].spans == got[4].spans == ""
+    assert got[3].base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, k, e in plain_secrets(many)).encode()).hexdigest()
+    out = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert out[3] == "<assign> " * 5000 and out[1] == run + " <url>host" and out[4] == rows[3][1]
+
+
 def shingles(t, n=5):
     w = t.lower().split()
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
@@ -499,3 +562,12 @@ def test_chunks_resist_shifts():
     h = chunks.gear(np.frombuffer(b, np.uint8))
     i = 5000
     assert int(h[i]) == sum(int(chunks._GEAR[b[i - j]]) << j for j in range(chunks.WINDOW)) % (1 << 32)
+
+
+@pytest.mark.parametrize("op", [pieces.op2, chunks.op4, packing.op5, fingerprint.op6, simhash.op7, secrets.op8])
+def test_further_columns_do_not_matter(spark, odd, op):
+    names = ["th", "start", "spans", "row", "key", "id", "bucket", "tail", "piece", "length", "fp", "root", "h", "b", "e", "n", "k", "_t", "_key", "_row", "_bucket", "component_id", "n_bytes", "score"]
+    plain = spark.createDataFrame(odd.collect(), odd.schema)
+    clash = plain.withColumns({c: F.lit("x") for c in names})
+    columns = [c for c in op(plain).columns if c not in ("sequence_id", "offset")]  # any numbers will do
+    assert as_rows(op(clash).select(*columns)) == as_rows(op(plain).select(*columns))
