@@ -3,44 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import saved
+from ..plans import fixpoint
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node of ``links``: the smallest node reachable.
 
-    Each round every node takes the smallest node of its closed neighbourhood,
-    looks once at what that node has taken, and the links are rewritten between
-    the nodes taken; a round at least halves what a component has left, so the
-    rounds grow with the logarithm of the longest chain. The smallest node of a
-    component always keeps itself, so it is what the last round leaves.
-
-    Links may repeat, point at themselves or hold nulls (passed over). Results
-    of rounds are tables in the shared folder: a lost executor costs the work
-    of one round, and a hub with a large share of the links is one side of a
-    plain join, which adaptive execution splits.
+    The library's components with nothing left to one task: links may repeat,
+    point at themselves or hold nulls (passed over), and a hub with a large
+    share of the links is one side of a plain join, which adaptive execution
+    splits.
     """
-    x, y = F.col(a), F.col(b)
-    edges = links.filter(x.isNotNull() & y.isNotNull() & (x != y))
-    edges = saved(edges.select(F.least(x, y).alias("u"), F.greatest(x, y).alias("v")).distinct(), "links")
-    found: DataFrame | None = None
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        taken = saved(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("to")), "taken")
-        far = taken.select(F.col("u").alias("to"), F.col("to").alias("further"))
-        taken = saved(taken.join(far, "to").select("u", F.col("further").alias("to")), "jumped")
-        if found is None:
-            found = taken.select(F.col("u").alias("node"), F.col("to").alias("component"))
-        else:
-            step = taken.select(F.col("u").alias("component"), "to")
-            found = found.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        found = saved(found, "found")
-        left = taken.select("u", F.col("to").alias("a"))
-        right = taken.select(F.col("u").alias("v"), F.col("to").alias("b"))
-        edges = edges.join(left, "u").join(right, "v").filter("a != b")
-        edges = saved(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "links")
-    if found is None:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return found
+    return fixpoint.components(links, a, b, small=0).selectExpr("id AS node", "root AS component")

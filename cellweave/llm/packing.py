@@ -345,7 +345,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         counts[row["length"]] = row["count"]
     rows = places(plan(counts, capacity))
     slots = spark.createDataFrame(rows, "length long, first long, items long, base long, copies long, at long")
-    buckets = int(min(4096, max(1, counts.sum() // 256)))
+    buckets = int(min(1 << 16, max(1, counts.sum() // 256)))
     bucketed = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     sizes = bucketed.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))

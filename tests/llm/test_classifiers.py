@@ -1,5 +1,6 @@
 """Toxicity and quality: hashing, training, held-out accuracy."""
 
+import math
 import random
 import zlib
 
@@ -83,3 +84,41 @@ def test_training_is_sparse():
     bias, ids, w = hashed.train(rows, np.array([i % 2 for i in range(400)], float), hashed.Ftrl())
     assert 9000 in ids and w[ids.tolist().index(9000)] > 1 and len(ids) < 500
     assert hashed.train([], np.zeros(0), hashed.Ftrl())[0] == 0.0
+
+
+def plain_ftrl(rows, labels, p):
+    """Coordinate by coordinate, with dictionaries."""
+    count = {}
+    for r in rows:
+        for f in r.tolist():
+            count[f] = count.get(f, 0) + 1
+    z, n = {}, {}
+
+    def weight(f):
+        l1 = 0.0 if f == "bias" else p.l1
+        zi = z.get(f, 0.0)
+        if abs(zi) <= l1:
+            return 0.0
+        return -(zi - math.copysign(l1, zi)) / ((p.beta + math.sqrt(n.get(f, 0.0))) / p.alpha + p.l2)
+
+    for epoch in range(p.epochs):
+        for i in np.random.default_rng(epoch).permutation(len(rows)):
+            own = [f for f in rows[i].tolist() if count[f] >= p.least_docs] + ["bias"]
+            w = {f: weight(f) for f in own}
+            g = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w.values()))))) - labels[i]
+            for f in own:
+                before = n.get(f, 0.0)
+                n[f] = before + g * g
+                z[f] = z.get(f, 0.0) + g - (math.sqrt(n[f]) - math.sqrt(before)) / p.alpha * w[f]
+    return weight("bias"), {f: weight(f) for f in z if f != "bias" and weight(f)}
+
+
+@pytest.mark.parametrize("p", [hashed.Ftrl(), hashed.Ftrl(alpha=0.3, beta=2.0, l1=0.5, l2=0.1, epochs=3, least_docs=2)])
+def test_training_against_a_plain_loop(p):
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.zipf(1.4, rng.integers(1, 40)).clip(0, 4000)).astype(np.int64) for _ in range(150)]
+    labels = np.array([float(3 in r or 7 in r) for r in rows])
+    bias, ids, w = hashed.train(rows, labels, p)
+    exp_bias, exp = plain_ftrl(rows, labels, p)
+    assert abs(bias - exp_bias) < 1e-9 and dict(zip(ids.tolist(), w.tolist(), strict=True)).keys() == exp.keys()
+    assert all(abs(w[i] - exp[f]) < 1e-9 for i, f in enumerate(ids.tolist())) and exp

@@ -1,5 +1,7 @@
 """Embeddings against brute force, the pipeline against its stages, and the registry."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -133,6 +135,25 @@ def test_pipeline_of_nothing(spark, folder):
     assert docs.isEmpty()
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    rng = random.Random(2)
+    word = lambda n: " ".join("".join(rng.choices("abcdefghijkl", k=6)) for _ in range(n))
+    one, two, passage = word(300), word(300), word(60)
+    rows = [(1, one), (1, one), (5, one), (5, two + " " + passage), (6, passage + " " + word(200)), (7, None), (8, ""), (None, word(50)), (9, "token=abcdef123 " + word(40))]
+    docs = spark.createDataFrame([(d, t, "en", None if d == 6 else "s", len(t or ""), 4) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, spans int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (5, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    states = [spark.read.parquet(f"{tmp_path}/documents.parquet")]
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        states.append(saved(stage(spark, states[-1], str(tmp_path))))
+    kept, cut, clean, last = ({(r.doc_id, r.text) for r in s.collect()} if "text" in s.columns else s.collect() for s in states[1:])
+    assert (5, one) not in kept and (1, one) in kept and (5, rows[3][1]) in kept and (None, rows[7][1]) in kept and (7, None) in kept
+    assert {d for d, _ in cut} == {d for d, _ in kept} and all(passage not in (t or "") for _, t in cut) and (7, None) in cut
+    assert any("<assign>" in (t or "") for d, t in clean if d == 9) and states[3].columns == docs.columns
+    assert {r.doc_id for r in last} == {d for d, _ in clean}
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
+
+
 def test_registry():
     import __spark_entry__
 
