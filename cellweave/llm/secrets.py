@@ -51,8 +51,6 @@ def _folded(items: Column, kind: str, step: Callable[[Column, Column], tuple[Col
     at the end: the work is linear in all but arrays of very many blocks.
     """
     empty = F.array().cast(f"array<{kind}>")
-    last = F.greatest(F.size(items) - 1, F.lit(0))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(last / _BLOCK).cast("int")), lambda k: F.slice(items, k * _BLOCK + 1, F.lit(_BLOCK)))
 
     def one(acc: Column, item: Column) -> Column:
         at, added = step(acc["at"], item)
@@ -62,8 +60,13 @@ def _folded(items: Column, kind: str, step: Callable[[Column, Column], tuple[Col
         start = F.struct(acc["at"].alias("at"), empty.alias("out"))
         return F.aggregate(part, start, one, lambda x: F.struct(x["at"].alias("at"), F.array_append(acc["out"], x["out"]).alias("out")))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
-    return F.aggregate(blocks, begin, block, lambda x: F.struct(x["at"].alias("at"), F.flatten(x["out"]).alias("out")))
+    def walk(items: Column) -> Column:
+        last = F.greatest(F.size(items) - 1, F.lit(0))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(last / _BLOCK).cast("int")), lambda k: F.slice(items, k * _BLOCK + 1, F.lit(_BLOCK)))
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.aggregate(blocks, begin, block, lambda x: F.struct(x["at"].alias("at"), F.flatten(x["out"]).alias("out")))
+
+    return F.transform(F.array(items), walk)[0]  # binds items, which are thus made once and not for every block
 
 
 def _found(text: Column, kind: tuple[str, str, int, int]) -> Column:
