@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cellweave.llm import anchors, chunks, components, fingerprint, packing, pieces, repeats, secrets, simhash
+from cellweave.llm import anchors, chunks, common, components, fingerprint, packing, pieces, repeats, secrets, simhash
 
 ODD = [(None, "q w e r t y u"), (1, None), (1, ""), (2, "same words here for all of us"), (2, "same words here for all of us"), (3, "é😀 " * 30), (4, "\x00\t\n a"), (5, "long " * 30000), (6, "same words here for all of us")]
 
@@ -140,6 +140,24 @@ def test_anchors_do_not_depend_on_what_stands_around(monkeypatch):
             assert all(i + int(np.argmin(h[i : i + 337])) == p for i in (s, e))
 
 
+@pytest.mark.parametrize("share", [1, 3, 1000])
+def test_hot_join(spark, share):
+    big = spark.createDataFrame([(i % 5 if i < 50 else 9, i) for i in range(200)], "k int, v int")
+    small = spark.createDataFrame([(9, 150, "a"), (9, 150, "b"), (1, 10, "c"), (7, 0, "d")], "k int, n int, w string")
+    got = as_rows(common.hot_join(big, small, ["k"], "n", 200, share).select("k", "v", "w"))
+    assert got == as_rows(big.join(small, "k").select("k", "v", "w")) and len(got) == 310
+
+
+def test_settings_of_the_session_are_put_back(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with pytest.raises(ValueError), common.batches_of(spark, 7):
+        assert spark.conf.get(name) == "7"
+        raise ValueError
+    packing.op5(spark.createDataFrame(ODD[:3], "doc_id long, text string")).count()
+    assert spark.conf.get(name) == before
+
+
 def test_run_index():
     rng = random.Random(9)
     for t in range(400):
