@@ -189,6 +189,16 @@ def _descent(grid: Grid, column: str, offsets: list[Offset], out: str) -> Grid:
     return g.add(**{out: best["id"]}).of_without("_id", "_ids", "_vs")
 
 
+def lower_pointers(grid: Grid, column: str = "v", out: str = "pointer") -> Grid:
+    """Minus the linear index plus one of the smallest strictly lower cell around, the first of equals; 0 where there is none."""
+    offsets = moore(len(grid.axes))
+    g = grid.add(_id=grid.index())
+    g = neighbours(neighbours(g, "_id", offsets[1:], out="_ids"), column, offsets[1:], out="_vs")
+    each = F.transform(F.sequence(F.lit(0), F.lit(len(offsets) - 2)), lambda i: F.struct(F.get("_vs", i).alias("v"), i.alias("k"), F.get("_ids", i).alias("id")))
+    best = F.array_min(F.filter(each, lambda s: s["v"] < F.col(column)))
+    return g.add(**{out: F.coalesce(-(best["id"] + 1), F.lit(0))}).of_without("_id", "_ids", "_vs")
+
+
 def watershed_pointers(grid: Grid, column: str = "v", offsets: list[Offset] | None = None, complete: bool = True) -> Grid:
     """Steepest descent by pointers: cells of regional minima keep their label, others follow to the end.
 

@@ -523,6 +523,11 @@ def watershed_merged(spark, sf_dir):
     return A.watershed_merged(li(spark, sf_dir), complete=False).map(label=F.col("label")).df
 
 
+@query(f"WITH {LI}, {MOORE2}, {CUT_LI} SELECT x, y, CAST(coalesce(-1 - arg_min(ox + 32 * oy, (nv, k)) FILTER (nv < v), 0) AS BIGINT) AS pointer FROM n GROUP BY x, y")
+def lower_pointers(spark, sf_dir):
+    return A.lower_pointers(li(spark, sf_dir)).map(pointer=F.col("pointer")).df
+
+
 def _minima(of: str) -> str:
     """CTEs f, low, bad, m(id, label): regional minima of a table c."""
     return f"""q AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM {of} a JOIN {of} b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND a.v = b.v), qr(id, u) AS (SELECT a, b FROM q UNION SELECT qr.id, q.b FROM qr JOIN q ON q.a = qr.u), f AS (SELECT id, min(u) AS root FROM qr GROUP BY id),
