@@ -653,6 +653,13 @@ def layered_flow(spark, sf_dir):
     return spark.range(1).select(F.lit(maxflow.max_flow(v, e)[0]).alias("flow"), F.lit(maxflow.max_flow(turned, e)[0]).alias("swapped"))
 
 
+@query("SELECT CAST(32 * 8 AS DOUBLE) AS flow")
+def layered_flow_wide(spark, sf_dir):
+    """As layered_flow, by sweeps over all executors."""
+    v, e = generate.layered_graph(spark, 10, 32, 8, 4)
+    return spark.range(1).select(F.lit(maxflow.max_flow(v, e, small=0)[0]).alias("flow"))
+
+
 @query()
 def grid_segmentation(spark, sf_dir):
     g = li(spark, sf_dir)
