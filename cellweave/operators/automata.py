@@ -166,16 +166,23 @@ def watershed_distance(grid: Grid, column: str = "v", offsets: list[Offset] | No
     number = F.col("label").cast("double")
     far = F.lit(float("inf"))
     state = seeds.map(_v=F.col(column).cast("double"), _seed=number, _d=F.when(number > 0, 0.0).otherwise(far), _h=F.when(number > 0, 0.0).otherwise(far), _l=number)
-    for _ in range(limit):
-        state = state.of(saved(state.df, "distances"))
-        done = map_tiles(state, ["_v", "_seed", "_d", "_h", "_l"], 1, _relax(offsets), ["_d", "_h", "_l", "_changed"], tile)
-        done = done.of(saved(done.df, "relaxed"))
-        one_tile = all(n <= tile for n in grid.size) and not grid.keys
-        if one_tile or done.df.filter("_changed > 0").isEmpty():
-            break
-        state = state.of(state.df.select(*grid.coords, "_v", "_seed").join(done.df.drop("_changed"), list(grid.coords)))
+    names = ["_v", "_seed", "_d", "_h", "_l"]
+
+    def relaxed(g: Grid) -> Grid:
+        return map_tiles(g, names, 1, _relax(offsets), ["_d", "_h", "_l", "_changed"], tile)
+
+    if all(n <= tile for n in grid.size):  # nothing around a tile can change
+        done = relaxed(state)
     else:
-        raise NotStable(f"not stable after {limit} rounds")
+        for _ in range(limit):
+            state = state.of(saved(state.df, "distances"))
+            done = relaxed(state)
+            done = done.of(saved(done.df, "relaxed"))
+            if done.df.filter("_changed > 0").isEmpty():
+                break
+            state = state.of(state.df.select(*grid.coords, "_v", "_seed").join(done.df.drop("_changed"), list(grid.coords)))
+        else:
+            raise NotStable(f"not stable after {limit} rounds")
     found = done.df.select(*grid.coords, F.when(F.col("_d") < far, F.col("_d")).alias("distance"), F.col("_l").cast("long").alias("label"))
     return grid.of(grid.df.join(found, list(grid.coords)))
 
