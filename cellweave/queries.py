@@ -556,12 +556,6 @@ def watershed_simple(spark, sf_dir):
     return A.watershed(li(spark, sf_dir), method="descent_simple").map(label=F.col("label"), stable=F.col("stable")).df
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 50 AS a, l_suppkey % 50 + 50 AS b FROM lineitem WHERE l_quantity > 49 AND l_partkey % 7 = 0), s AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, u) AS (SELECT a, a FROM s UNION SELECT r.id, s.b FROM r JOIN s ON s.a = r.u) SELECT id, min(u) AS root FROM r GROUP BY id""")
-def merged_labels(spark, sf_dir):
-    e = _table(spark, sf_dir, "lineitem").filter("l_quantity > 49 AND l_partkey % 7 = 0")
-    return A.merge_labels(e.select((F.col("l_partkey") % 50).alias("a"), (F.col("l_suppkey") % 50 + 50).alias("b")))
-
-
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem), s AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r(id, root) USING KEY (id) AS (SELECT a, a FROM s GROUP BY a UNION SELECT s.b, min(r.root) FROM r JOIN s ON s.a = r.id JOIN recurring.r o ON o.id = s.b WHERE r.root < o.root GROUP BY s.b) SELECT id, root FROM r""")
 def merged_keys(spark, sf_dir):
@@ -637,14 +631,6 @@ def max_flow(spark, sf_dir):
     return maxflow.cut_capacity(v, e, segments).select(F.lit(flow).alias("flow"), "capacity")
 
 
-@query(ORACLE["bfs_levels"])
-def bfs_levels_wide(spark, sf_dir):
-    """As bfs_levels, level by level over all executors."""
-    v, e = _lattice(spark, sf_dir)
-    arcs = maxflow.arcs_of(e).filter("res > 7")
-    return maxflow.levels(v.select("id", F.col("cap_snk").alias("room")), arcs, small=0).select("id", "level")
-
-
 @query("SELECT CAST(32 * 8 AS DOUBLE) AS flow, CAST(32 * 8 * 2 AS DOUBLE) AS swapped")
 def layered_flow(spark, sf_dir):
     """Flow through a graph in layers, cut at its weak one, and with its ends swapped."""

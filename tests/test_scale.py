@@ -161,6 +161,13 @@ def test_flow_of_a_lattice_with_all_neighbours(spark, small):
     assert got == flow and {r.id for r in segments.filter("side = 1").collect()} == side
 
 
+def test_levels_over_all_executors(spark):
+    v, e = G.layered_graph(spark, 6, 8, 3, 2)
+    own, arcs = v.select("id", F.col("cap_snk").alias("room")), maxflow.arcs_of(e)
+    one, all_ = (maxflow.levels(own, arcs, small=n).select("id", "level") for n in (maxflow.SMALL, 0))
+    assert one.exceptAll(all_).isEmpty() and all_.exceptAll(one).isEmpty() and one.count() == 48
+
+
 def test_grid_segmentation_against_plain_flow(spark):
     v = array(queries.li(spark, SMALL)).astype(float)
     edges = []
