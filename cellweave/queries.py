@@ -48,6 +48,14 @@ def ev(spark: SparkSession, sf_dir: str) -> Grid:
     return tables.binned(df, (16, 16, 5), {"x": F.col("user_id") % 16, "y": F.col("event_id") % 16, "z": z}, F.count("*"), spark)
 
 
+def ord_(spark: SparkSession, sf_dir: str) -> Grid:
+    """Prices of orders in steps of 50,000: 64 columns, and rows that grow with the orders."""
+    df = _table(spark, sf_dir, "orders")
+    rows = df.agg(F.max("o_orderkey")).first()[0] // 64 + 1
+    return tables.binned(df, (64, rows), {"x": F.col("o_orderkey") % 64, "y": F.floor(F.col("o_orderkey") / 64)}, F.max(F.floor(F.col("o_totalprice") / 50000)), spark)
+
+
+ORD = "ord AS MATERIALIZED (SELECT CAST(i % 64 AS INT) AS x, CAST(i // 64 AS INT) AS y, i AS id, CAST(coalesce(v, 0) AS BIGINT) AS v FROM (SELECT unnest(range(0, (SELECT (max(o_orderkey) // 64 + 1) * 64 FROM orders))) AS i) LEFT JOIN (SELECT o_orderkey, max(floor(o_totalprice / 50000)) AS v FROM orders GROUP BY 1) ON o_orderkey = i)"
 EMB = "emb AS (SELECT CAST(i - 1 AS INT) AS x, CAST(vec_id AS INT) AS y, CAST(least(255, greatest(0, floor((CAST(embedding[i] AS DOUBLE) + 1) * 127.5))) AS BIGINT) AS v FROM embeddings, range(1, 65) t(i))"
 LI = "li AS (SELECT CAST(a.i AS INT) AS x, CAST(b.i AS INT) AS y, CAST(coalesce(s.v, 0) AS BIGINT) AS v FROM range(32) a(i) CROSS JOIN range(32) b(i) LEFT JOIN (SELECT l_partkey % 32 AS x, l_suppkey % 32 AS y, sum(CAST(l_quantity AS BIGINT)) AS v FROM lineitem GROUP BY ALL) s ON s.x = a.i AND s.y = b.i)"
 EV = "ev AS (SELECT CAST(a.i AS INT) AS x, CAST(b.i AS INT) AS y, CAST(c.i AS INT) AS z, CAST(coalesce(s.v, 0) AS BIGINT) AS v FROM range(16) a(i) CROSS JOIN range(16) b(i) CROSS JOIN range(5) c(i) LEFT JOIN (SELECT user_id % 16 AS x, event_id % 16 AS y, r - 1 AS z, count(*) AS v FROM (SELECT *, dense_rank() OVER (ORDER BY event_type) AS r FROM events) GROUP BY ALL) s ON s.x = a.i AND s.y = b.i AND s.z = c.i)"
@@ -528,6 +536,25 @@ def lower_pointers(spark, sf_dir):
     return A.lower_pointers(li(spark, sf_dir)).map(pointer=F.col("pointer")).df
 
 
+_ORDER_EDGES = f"{ORD}, {MOORE2}, n AS MATERIALIZED (SELECT c.id, c.v, o.k, b.id AS nid, b.v AS nv FROM ord c CROSS JOIN o JOIN ord b ON o.k > 0 AND b.x = c.x + o.dx AND b.y = c.y + o.dy)"
+_ORDER_FLAT = "f(id, root) USING KEY (id) AS (SELECT id, id FROM ord UNION SELECT n.nid, min(f.root) FROM f JOIN n ON n.id = f.id AND n.nv = n.v JOIN recurring.f o ON o.id = n.nid WHERE f.root < o.root GROUP BY n.nid)"
+
+
+@query(f"""WITH RECURSIVE {_ORDER_EDGES}, {_ORDER_FLAT}, low AS (SELECT id, max(CASE WHEN nv < v THEN 1 ELSE 0 END) AS bad FROM n GROUP BY id), bad AS (SELECT root, max(bad) AS bad FROM f JOIN low USING (id) GROUP BY root), m AS MATERIALIZED (SELECT id, CASE WHEN bad.bad = 0 THEN root + 1 ELSE 0 END AS label FROM f JOIN bad USING (root)),
+d(id, d) USING KEY (id) AS (SELECT id, CAST(0 AS BIGINT) FROM m WHERE label > 0 UNION SELECT n.id, min(d.d + n.v * 100000 + 1) FROM d JOIN n ON n.nid = d.id LEFT JOIN recurring.d o ON o.id = n.id WHERE o.d IS NULL OR d.d + n.v * 100000 + 1 < o.d GROUP BY n.id),
+w AS MATERIALIZED (SELECT n.id, arg_min(n.nid, n.k) AS back FROM n JOIN m ON m.id = n.id AND m.label = 0 JOIN d e ON e.id = n.id JOIN d b ON b.id = n.nid AND b.d = e.d - n.v * 100000 - 1 GROUP BY n.id), p2(id, here) AS (SELECT id, id FROM m UNION SELECT p2.id, w.back FROM p2 JOIN w ON w.id = p2.here)
+SELECT c.x, c.y, CAST(s.label AS BIGINT) AS label, CAST(d.d // 100000 AS DOUBLE) AS distance FROM p2 JOIN ord c ON c.id = p2.id JOIN m s ON s.id = p2.here AND s.label > 0 JOIN d ON d.id = p2.id""")
+def order_basins(spark, sf_dir):
+    """Labels and distances of basins on a grid that grows with the tables."""
+    return A.watershed(ord_(spark, sf_dir), method="distance").map(label=F.col("label"), distance=F.col("distance")).df
+
+
+@query(f"WITH RECURSIVE {_ORDER_EDGES}, {_ORDER_FLAT.replace('n.nv = n.v', 'n.nv > 6 AND n.v > 6')} SELECT c.x, c.y, CAST(CASE WHEN c.v > 6 THEN root + 1 ELSE 0 END AS BIGINT) AS label FROM f JOIN ord c USING (id)")
+def order_components(spark, sf_dir):
+    """Components of the orders above 350,000, on a grid that grows with the tables."""
+    return A.label_components(ord_(spark, sf_dir).map(v=C.threshold(F.col("v"), 7, 0, 1))).map(label=F.col("label")).df
+
+
 def _minima(of: str) -> str:
     """CTEs f, low, bad, m(id, label): regional minima of a table c."""
     return f"""q AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM {of} a JOIN {of} b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND a.v = b.v), qr(id, u) AS (SELECT a, b FROM q UNION SELECT qr.id, q.b FROM qr JOIN q ON q.a = qr.u), f AS (SELECT id, min(u) AS root FROM qr GROUP BY id),
