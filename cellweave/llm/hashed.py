@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_of, thrifty, utf8
+from .common import batches_of, pieces_of, thrifty, utf8
 
 BITS = 24
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -269,7 +269,8 @@ def fit(
         yield pa.RecordBatch.from_arrays([pa.array(np.append(ids, -1)), pa.array(np.append(w, bias))], ["id", "w"])
 
     made = rows.mapInArrow(thrifty(make), "doc_id long, y int, ids array<int>")
-    learned = made.repartition(1).mapInArrow(thrifty(learn), "id long, w double").toPandas().sort_values("id")
+    with batches_of(docs.sparkSession):
+        learned = made.repartition(1).mapInArrow(thrifty(learn), "id long, w double").toPandas().sort_values("id")
     if learned.empty:
         return Model(words, shape)
     bias = float(learned.w[learned.id < 0].iloc[0])

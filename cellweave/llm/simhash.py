@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_of, saved, thrifty, utf8
+from .common import batches_of, pieces_of, saved, thrifty, utf8
 from .components import components
 
 SEED = 42
@@ -112,7 +112,8 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     texts have fingerprint 0. A null doc_id gets its group's component_id, null
     if no row of the group has a doc_id. Repeated rows get equal rows.
     """
-    of = saved(fingerprints(docs.select("doc_id", F.xxhash64("text").alias("th"), "text")), "fingerprints")
+    with batches_of(docs.sparkSession):
+        of = saved(fingerprints(docs.select("doc_id", F.xxhash64("text").alias("th"), "text")), "fingerprints")
     groups = saved(of.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
     linked = saved(links(groups.select("fp"), crowd), "pairs")
     joined = components(linked).select(F.col("node").alias("fp"), F.col("component").alias("root"))
