@@ -3,14 +3,16 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the documents of the next. All but the
 last return the columns of ``documents``; an empty table goes through all
-stages and gives no rows. Texts that a stage empties stay documents.
+stages and gives no rows. Texts that a stage empties stay documents. Stages
+that send whole texts to Python write their result themselves, in small
+batches, so that the memory of an executor is bounded.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellweave.llm.common import saved, table
+from cellweave.llm.common import batches_of, saved, table
 from cellweave.llm.packing import pack_documents
 from cellweave.llm.quality import keep_quality, train_quality
 from cellweave.llm.repeats import remove_repeats
@@ -24,7 +26,9 @@ PASSAGE = 256
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality classifier, trained on the labelled ones, does not reject."""
-    return keep_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+    model = train_quality(docs, table(spark, sf_dir, "labels"))
+    with batches_of(spark):
+        return saved(keep_quality(docs, model), "kept")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +38,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes that repeated stretches of ``PASSAGE`` bytes cover."""
-    return remove_repeats(docs, PASSAGE)
+    with batches_of(spark):
+        return saved(remove_repeats(docs, PASSAGE), "cut")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
