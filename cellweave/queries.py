@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import cells as C
 from .functions import vectors as V
-from .grid import Grid, coords_of, empty_grid
+from .grid import Grid, coords_of
 from .operators import automata as A
 from .operators import filters, maps, maxflow, reduce, stencil, tiles
 from .plans import pipelines
