@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,13 +63,39 @@ def put(spark: SparkSession, path: str, content: bytes) -> None:
         out.close()
 
 
+_scratch: list[list[str]] = []
+
+
+def _stored(df: DataFrame, name: str, kept: bool) -> DataFrame:
+    path = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if _scratch and not kept:
+        _scratch[-1].append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def saved(df: DataFrame, name: str = "step") -> DataFrame:
     """``df`` as a parquet table in the shared folder, read back.
 
     Cuts lineage: what follows reads files that outlive any executor, and joins
     on the result are plain exchanges, which adaptive execution can split. The
-    table stays until the session ends or ``cleanup`` is called.
+    table stays until the session ends or ``cleanup`` is called, or the
+    ``scratch`` around it ends.
     """
-    path = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _stored(df, name, False)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables saved inside are deleted at the end, but for those saved by the function that this gives.
+
+    For work that is done inside: what that function saves has been written by
+    then and reads none of the others.
+    """
+    _scratch.append([])
+    try:
+        yield lambda df, name: _stored(df, name, True)
+    finally:
+        for path in _scratch.pop():
+            fs, where = _hadoop(spark, path)
+            fs.delete(where, True)

@@ -98,6 +98,16 @@ def test_tables_are_cleaned_up(spark):
     assert storage.saved(spark.range(5), "trial").count() == 5
 
 
+def test_scratch_tables_go_and_kept_ones_stay(spark):
+    with storage.scratch(spark) as kept:
+        step = storage.saved(spark.range(6), "trial")
+        out = kept(step.filter("id > 2"), "kept")
+    assert out.count() == 3
+    with pytest.raises(Exception):  # noqa: B017
+        step.count()
+    assert storage.saved(spark.range(2), "trial").count() == 2
+
+
 def least_side(n, edges, source, sink, least=0.0):
     """Vertices that reach the sink when no more can flow, by shortest paths one at a time."""
     room = {}
