@@ -3,9 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the documents of the next. All but the
 last return the columns of ``documents``; an empty table goes through all
-stages and gives no rows. Texts that a stage empties stay documents. Stages
-that send whole texts to Python write their result themselves, in small
-batches, so that the memory of an executor is bounded.
+stages and gives no rows. Texts that a stage empties stay documents. The third
+stage writes its result itself, in small batches, which bounds the memory of an
+executor, and deletes the tables that led to it.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from cellweave.llm.quality import keep_quality, train_quality
 from cellweave.llm.repeats import remove_repeats
 from cellweave.llm.secrets import redact
 from cellweave.llm.simhash import keep_one
+from cellweave.plans.storage import scratch
 
 #: Bytes of the shortest stretch that counts as a repeated passage: the passages
 #: looked for have over 50 words, which are 300 bytes at the least.
@@ -26,9 +27,7 @@ PASSAGE = 256
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality classifier, trained on the labelled ones, does not reject."""
-    model = train_quality(docs, table(spark, sf_dir, "labels"))
-    with batches_of(spark):
-        return saved(keep_quality(docs, model), "kept")
+    return keep_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +37,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes that repeated stretches of ``PASSAGE`` bytes cover."""
-    with batches_of(spark):
-        return saved(remove_repeats(docs, PASSAGE), "cut")
+    with batches_of(spark), scratch(spark) as kept:
+        return kept(remove_repeats(docs, PASSAGE), "cut")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
