@@ -10,16 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..grid import Grid
-from ..plans.fixpoint import SMALL, NotStable, components, iterate, roots, until_stable
+from ..plans.fixpoint import SMALL, components, iterate, roots, until_stable
 from ..plans.storage import saved
+from .blocks import Tiles
 from .filters import has_smaller, local_minima, lower_completion
 from .stencil import Offset, moore, neighbours, total, von_neumann
-from .tiles import map_tiles
 
 
 class Automaton:
@@ -104,87 +103,23 @@ def label_components(grid: Grid, column: str = "v", offsets: list[Offset] | None
     return grid.of(df.withColumn(out, F.when(F.col(column) != 0, F.coalesce("root", "id") + 1).otherwise(F.lit(0))).drop("id", "root"))
 
 
-def regional_minima(grid: Grid, column: str = "v", out: str = "label") -> Grid:
+def regional_minima(grid: Grid, column: str = "v", out: str = "label", tile: int | None = None) -> Grid:
     """Plateaus without a lower cell beside them, labelled by their smallest linear index plus one; 0 elsewhere."""
-    labelled = _plateaus(grid, column)
-    lower = has_smaller(labelled, column, "_lower")
-    bad = saved(lower.df.groupBy("_plateau").agg(F.max("_lower").alias("_bad")), "plateaus")
-    return grid.of(lower.df.join(bad, "_plateau").withColumn(out, F.when(F.col("_bad") == 0, F.col("_plateau") + 1).otherwise(F.lit(0))).drop("_plateau", "_lower", "_bad"))
+    return Tiles(grid, column, tile).minima(out)
 
 
-def _plateaus(grid: Grid, column: str) -> Grid:
-    found = components(_links(grid, moore(len(grid.axes)), lambda a, b: a == b, column))
-    df = grid.df.withColumn("id", grid.index()).join(found, "id", "left")
-    return grid.of(df.withColumn("_plateau", F.coalesce("root", "id")).drop("id", "root"))
-
-
-def _relax(offsets: list[Offset]) -> Callable[[list[np.ndarray], list[tuple[int, int]]], list[np.ndarray]]:
-    """Distances, hops and labels of a tile from those around it, until they stand."""
-    steps = [tuple(reversed(o)) for o in offsets[1:]]
-
-    def solve(arrays: list[np.ndarray], pads: list[tuple[int, int]]) -> list[np.ndarray]:
-        v, seed, dist, hops, label = (a.copy() for a in arrays)
-        inside = tuple(slice(b, n - e) for n, (b, e) in zip(v.shape, pads, strict=True))
-        outside = np.ones(v.shape, dtype=bool)
-        outside[inside] = False
-        dist[outside] = np.inf  # nothing comes from beyond the grid
-        inner = tuple(slice(1, n - 1) for n in v.shape)
-        free = seed[inner] == 0
-        before = [a[inner].copy() for a in (dist, hops, label)]
-        for _ in range(v.size + 1):
-            low = [np.full(free.shape, np.inf), np.full(free.shape, np.inf), np.zeros(free.shape)]
-            for o in steps:
-                at = tuple(slice(1 + d, n - 1 + d) for d, n in zip(o, v.shape, strict=True))
-                d, h = dist[at] + v[inner], hops[at] + 1
-                better = (d < low[0]) | ((d == low[0]) & (h < low[1]))
-                for a, new in zip(low, (d, h, label[at]), strict=True):
-                    a[better] = new[better]
-            moved = free & np.isfinite(low[0]) & ((low[0] != dist[inner]) | (low[1] != hops[inner]) | (low[2] != label[inner]))
-            if not moved.any():
-                break
-            for a, new in zip((dist, hops, label), low, strict=True):
-                a[inner][moved] = new[moved]
-        changed = np.zeros(v.shape)
-        changed[inner] = sum((a[inner] != b) for a, b in zip((dist, hops, label), before, strict=True))
-        return [dist, hops, label, changed]
-
-    return solve
-
-
-def watershed_distance(grid: Grid, column: str = "v", offsets: list[Offset] | None = None, limit: int = 10000, tile: int | None = None) -> Grid:
+def watershed_distance(grid: Grid, column: str = "v", offsets: list[Offset] | None = None, limit: int = 10000, tile: int | None = None, fill: float | None = None) -> Grid:
     """Label and distance of the nearest regional minimum, where entering a cell costs its value, which is not below 0.
 
     Of paths of equal distance the one of fewest cells counts, and of equal ones
     that which comes from the first neighbour in the order of offsets: so it is
     in synchronous steps in which a cell only changes for a smaller distance.
     Tiles are solved on their own from the cells around them, until none
-    changes; rounds grow with the tiles that a path crosses, not with its cells.
+    changes; rounds grow with the tiles that a path crosses, not with its cells,
+    and exchange packed tiles and the cells on their borders. fill: the value of
+    cells without a row or a value, in a grid of this one column.
     """
-    offsets = offsets or von_neumann(len(grid.axes))
-    tile = tile or (128 if len(grid.axes) == 2 else 32)
-    seeds = regional_minima(grid, column)
-    number = F.col("label").cast("double")
-    far = F.lit(float("inf"))
-    state = seeds.map(_v=F.col(column).cast("double"), _seed=number, _d=F.when(number > 0, 0.0).otherwise(far), _h=F.when(number > 0, 0.0).otherwise(far), _l=number)
-    names = ["_v", "_seed", "_d", "_h", "_l"]
-
-    def relaxed(g: Grid) -> Grid:
-        return map_tiles(g, names, 1, _relax(offsets), ["_d", "_h", "_l", "_changed"], tile)
-
-    if all(n <= tile for n in grid.size):  # nothing around a tile can change
-        done = relaxed(state)
-    else:
-        for _ in range(limit):
-            state = state.of(saved(state.df, "distances"))
-            done = relaxed(state)
-            done = done.of(saved(done.df, "relaxed"))
-            if done.df.filter("_changed > 0").isEmpty():
-                break
-            state = state.of(state.df.select(*grid.coords, "_v", "_seed").join(done.df.drop("_changed"), list(grid.coords)))
-        else:
-            raise NotStable(f"not stable after {limit} rounds")
-    found = done.df.select(*grid.coords, F.when(F.col("_d") < far, F.col("_d")).alias("distance"), F.col("_l").cast("long").alias("label"))
-    return grid.of(grid.df.join(found, list(grid.coords)))
+    return Tiles(grid, column, tile, fill).distances(offsets or von_neumann(len(grid.axes)), limit)
 
 
 def _descent(grid: Grid, column: str, offsets: list[Offset], out: str) -> Grid:

@@ -48,11 +48,11 @@ def ev(spark: SparkSession, sf_dir: str) -> Grid:
     return tables.binned(df, (16, 16, 5), {"x": F.col("user_id") % 16, "y": F.col("event_id") % 16, "z": z}, F.count("*"), spark)
 
 
-def ord_(spark: SparkSession, sf_dir: str) -> Grid:
-    """Prices of orders in steps of 50,000: 64 columns, and rows that grow with the orders."""
+def ord_(spark: SparkSession, sf_dir: str, dense: bool = True) -> Grid:
+    """Prices of orders in steps of 50,000: 64 columns, and rows that grow with the orders; ``dense`` false: only cells of an order."""
     df = _table(spark, sf_dir, "orders")
     rows = df.agg(F.max("o_orderkey")).first()[0] // 64 + 1
-    return tables.binned(df, (64, rows), {"x": F.col("o_orderkey") % 64, "y": F.floor(F.col("o_orderkey") / 64)}, F.max(F.floor(F.col("o_totalprice") / 50000)), spark)
+    return tables.binned(df, (64, rows), {"x": F.col("o_orderkey") % 64, "y": F.floor(F.col("o_orderkey") / 64)}, F.max(F.floor(F.col("o_totalprice") / 50000)), spark, dense)
 
 
 ORD = "ord AS MATERIALIZED (SELECT CAST(i % 64 AS INT) AS x, CAST(i // 64 AS INT) AS y, i AS id, CAST(coalesce(v, 0) AS BIGINT) AS v FROM (SELECT unnest(range(0, (SELECT (max(o_orderkey) // 64 + 1) * 64 FROM orders))) AS i) LEFT JOIN (SELECT o_orderkey, max(floor(o_totalprice / 50000)) AS v FROM orders GROUP BY 1) ON o_orderkey = i)"
@@ -546,7 +546,7 @@ w AS MATERIALIZED (SELECT n.id, arg_min(n.nid, n.k) AS back FROM n JOIN m ON m.i
 SELECT c.x, c.y, CAST(s.label AS BIGINT) AS label, CAST(d.d // 100000 AS DOUBLE) AS distance FROM p2 JOIN ord c ON c.id = p2.id JOIN m s ON s.id = p2.here AND s.label > 0 JOIN d ON d.id = p2.id""")
 def order_basins(spark, sf_dir):
     """Labels and distances of basins on a grid that grows with the tables."""
-    return A.watershed(ord_(spark, sf_dir), method="distance").map(label=F.col("label"), distance=F.col("distance")).df
+    return A.watershed_distance(ord_(spark, sf_dir, dense=False), offsets=stencil.moore(2), fill=0).map(label=F.col("label"), distance=F.col("distance")).df
 
 
 @query(f"WITH RECURSIVE {_ORDER_EDGES}, {_ORDER_FLAT.replace('n.nv = n.v', 'n.nv > 6 AND n.v > 6')} SELECT c.x, c.y, CAST(CASE WHEN c.v > 6 THEN root + 1 ELSE 0 END AS BIGINT) AS label FROM f JOIN ord c USING (id)")

@@ -155,7 +155,7 @@ def bytes_of(grid: Grid, column: str = "v", out: str = "v") -> Grid:
     return grid.add(**{out: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((F.col(column) + 1) * 127.5).cast("int")))})
 
 
-def binned(df: DataFrame, size: tuple[int, ...], coords: dict, value, spark: SparkSession) -> Grid:
-    """A grid of an aggregate ``value`` of rows by computed coordinates; 0 where there is no row."""
+def binned(df: DataFrame, size: tuple[int, ...], coords: dict, value, spark: SparkSession, dense: bool = True) -> Grid:
+    """A grid of an aggregate ``value`` of rows by computed coordinates; 0 where there is no row, or with ``dense`` false no cell."""
     cells = df.groupBy(*(c.cast("int").alias(a) for a, c in coords.items())).agg(value.alias("v"))
-    return densify(Grid(cells, size), spark, v=0)
+    return densify(Grid(cells, size), spark, v=0) if dense else Grid(cells, size)

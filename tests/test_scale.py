@@ -1,5 +1,7 @@
 """What large inputs need: folds and scans in levels, tiles, no session settings or tables left behind."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +67,45 @@ def test_distances_of_a_volume_and_a_limit(spark):
     assert set(array(A.watershed_distance(ramp, tile=4), "label")[0]) == {1}
 
 
+@pytest.mark.parametrize("tile", [6, 64])
+def test_basins_of_a_sparse_grid_with_odd_values(spark, tile):
+    v = np.random.default_rng(8).integers(0, 4, (17, 20))
+    cells = of(spark, v)
+    odd = cells.of(cells.df.filter("v > 0 OR (x + y) % 2 = 0").select("x", "y", F.when(F.col("v") > 0, F.col("v")).alias("v")))
+    a, b = A.watershed_distance(cells, tile=tile), A.watershed_distance(odd, tile=tile, fill=0)
+    assert sorted(a.df.collect()) == sorted(b.df.select(a.df.columns).collect()) and a.df.count() == v.size
+    with pytest.raises(ValueError):
+        A.watershed_distance(cells.add(w=F.lit(1)), fill=0)
+    marked = cells.map(v=F.when(F.col("v") == 1, F.lit(None)).when(F.col("v") == 2, F.lit(float("nan"))).otherwise(F.col("v").cast("double")))
+    got = A.regional_minima(marked, tile=tile)
+    null, nan, low = (got.df.filter(c) for c in ("v IS NULL", "isnan(v)", "v = 0"))
+    assert [d.count() for d in (null, nan, low)] == [(v == k).sum() for k in (1, 2, 0)]
+    assert null.filter("label != 0").isEmpty() and low.filter("label = 0").isEmpty()
+
+
+def test_minima_of_a_plateau_through_all_tiles(spark):
+    v = np.full((30, 31), 5)
+    v[::2] = 1
+    v[:, 0] = 1
+    g = A.regional_minima(of(spark, v), tile=8)
+    assert (array(g, "label") == (v == 1)).all()
+    v[29, 30] = 0  # one lower cell beside the far end
+    v[28, 30] = 1
+    label = array(A.regional_minima(of(spark, v), tile=8), "label")
+    assert label[29, 30] == 29 * 31 + 31 and (label > 0).sum() == 1
+
+
+def test_basins_write_borders_and_not_cells(spark):
+    v = np.random.default_rng(9).integers(0, 10, (256, 256))
+    storage.cleanup(spark)
+    cells = of(spark, v)
+    found = A.watershed_distance(cells, tile=64).df
+    folder = Path(storage.run_dir(spark).removeprefix("file://"))
+    written = sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    assert written < 8 * v.size, f"{written / v.size} bytes a cell"
+    assert found.filter("label = 0").isEmpty()
+
+
 def test_automaton_until_stable_watches_columns(spark):
     rows = of(spark, np.arange(12).reshape(1, 12))
     spread = lambda n: {"v": F.array_min(n["v"])}
