@@ -29,6 +29,8 @@ from .stencil import Offset
 CELLS, IN, OUT, LABEL = range(4)
 #: Whether a place of a tile has no cell, a cell without a value or one with a value.
 NOWHERE, NULL, VALUE = range(3)
+#: Lists of at most so many tiles are sent to all tasks.
+FEW = 100_000
 PACKED = "tile long, kind int, other long, label long, changed boolean, data binary"
 
 
@@ -389,14 +391,26 @@ class Tiles:
         return self._whole(df.select("*", F.when(F.col("_d") < far, F.col("_d")).alias("distance"), F.col("_l").cast("long").alias("label")), ["distance", "label"])
 
     def _rounds(self, tiles: DataFrame, step: Callable[[pd.DataFrame], pd.DataFrame], limit: int) -> DataFrame:
-        """Tiles with the strips that come in, once none of these is new."""
-        rows = tiles.withColumn("changed", F.lit(True))  # all are solved at first
+        """Tiles with the strips that come in, once none of these is new.
+
+        While many tiles have a new strip, all are grouped; then only those, whose
+        list goes to all tasks.
+        """
+        rows, rest = tiles.withColumn("changed", F.lit(True)), None  # all are solved at first
         for _ in range(limit):
-            strips = saved(self._groups(rows).applyInPandas(step, PACKED), "strips")
-            rows = tiles.unionByName(strips)
-            if strips.filter("changed").isEmpty():
-                return rows
-            rows = rows.unionByName(_rows(strips, OUT, "other", other="tile", data="data"))
+            sent = self._groups(rows).applyInPandas(step, PACKED)
+            strips = saved(sent if rest is None else sent.unionByName(rest), "strips")
+            active = strips.filter("changed").select("tile").distinct()
+            n = active.count()
+            if not n:
+                return tiles.unionByName(strips)
+            cells, before, rest = tiles, _rows(strips, OUT, "other", other="tile", data="data"), None
+            came = strips
+            if n <= FEW:
+                active = F.broadcast(active)
+                rest = strips.join(active.withColumnRenamed("tile", "other"), "other", "left_anti").withColumn("changed", F.lit(False))
+                cells, came, before = (d.join(active, "tile", "left_semi") for d in (cells, came, before))
+            rows = cells.unionByName(came).unionByName(before)
         raise NotStable(f"not stable after {limit} rounds")
 
 
